@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import mixing, neardup, quality, sharding
+from parley.llm import mixing, neardup, packing, quality, sharding, wavelet
 from parley.llm.text import tables
-from parley.plans.shared import materialize
+from parley.plans.shared import materialize, work_folder
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,10 +17,21 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, rows).select("doc_id", "size", "source_size", "target", "taken", "source", "whole", "extra")
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(materialize(found))
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(tables(spark, sf_dir, "documents"))
 
 
+def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    wavelet.write(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return wavelet.read(spark, folder)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(tables(spark, sf_dir, "documents")).drop("host_rate")
 
@@ -26,5 +40,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op3_shard": op3_shard, "op6_quality": op6_quality, "op7_simhash": op7_simhash}
+QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op3_shard": op3_shard, "op5_wavelet": op5_wavelet, "op6_quality": op6_quality, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {}
