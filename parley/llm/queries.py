@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import mixing, neardup, packing, quality, sharding, wavelet
+from parley.llm import licenses, mixing, neardup, packing, quality, sharding, topk, wavelet
 from parley.llm.text import tables
 from parley.plans.shared import materialize, work_folder
 
@@ -40,5 +40,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op3_shard": op3_shard, "op5_wavelet": op5_wavelet, "op6_quality": op6_quality, "op7_simhash": op7_simhash}
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(tables(spark, sf_dir, "documents"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(tables(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op2_pack": op2_pack,
+    "op3_shard": op3_shard,
+    "op5_wavelet": op5_wavelet,
+    "op6_quality": op6_quality,
+    "op7_simhash": op7_simhash,
+    "op9_license": op9_license,
+    "op10_topk": op10_topk,
+}
 ORACLE_SQL: dict[str, str] = {}
