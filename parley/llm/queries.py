@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import licenses, mixing, neardup, packing, quality, sharding, topk, wavelet
+from parley.llm import fst, licenses, mixing, neardup, packing, quality, sharding, topk, wavelet
 from parley.llm.text import tables
 from parley.plans.shared import materialize, work_folder
 
@@ -40,6 +40,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst.counted(tables(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(tables(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_wavelet": op5_wavelet,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op8_tokens": op8_tokens,
     "op9_license": op9_license,
     "op10_topk": op10_topk,
 }
