@@ -15,6 +15,7 @@ and a prefix scan over the chunks joins them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +205,12 @@ class Transducer:
         return total
 
 
+@lru_cache(maxsize=1)
+def transducer(path: str) -> Transducer:
+    """The worker's automaton: Python workers serve many tasks, and states compiled for one serve the next."""
+    return Transducer(path)
+
+
 def counted(docs: DataFrame, path: str, limit: int = 4096, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``) of every whole text.
 
@@ -214,7 +221,7 @@ def counted(docs: DataFrame, path: str, limit: int = 4096, text: str = "text", k
     schema = slim.select(*keep).withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(False)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Transducer(path)
+        automaton = transducer(path)
         for b in batches:
             column = b.column(b.num_columns - 1)
             texts = column.to_pylist()

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.llm import tokens
 from parley.llm.text import whole
-from parley.llm.tokens import WordEncoder
 from parley.plans.joins import gapless_rank
 
 CAPACITY = 1024
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     schema = slim.select(*keep, *[F.lit(0).cast("long").alias(n) for n in names]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = tokens.encoder(path)
         for b in batches:
             ids, sizes = encoder.encode(b.column(b.num_columns - 1).to_pylist())
             row, start, length, crc, total = [], [], [], [], []

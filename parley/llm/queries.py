@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import fst, licenses, mixing, neardup, packing, quality, sharding, topk, wavelet
+from parley.llm import fst, licenses, linededup, mixing, neardup, packing, quality, sharding, topk, wavelet
 from parley.llm.text import tables
 from parley.plans.shared import materialize, work_folder
 
@@ -26,6 +26,11 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(tables(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.without_copies(docs).withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
+
+
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     wavelet.write(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -56,6 +61,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_pack": op2_pack,
     "op3_shard": op3_shard,
+    "op4_lines": op4_lines,
     "op5_wavelet": op5_wavelet,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,

@@ -12,12 +12,13 @@ import gc
 import json
 import os
 import re
-from itertools import chain, repeat
+from functools import lru_cache
+from itertools import chain, compress, repeat
 
 import numpy as np
 
-#: Pieces kept in the table; it is emptied when there are more.
-PIECES = 300_000
+#: Pieces kept in the table; when there are more, those seen only once go.
+PIECES = 400_000
 #: Characters of text that are looked up in one go.
 AT_ONCE = 2_000_000
 
@@ -61,8 +62,25 @@ class WordEncoder:
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.start = np.empty(1 << 14, dtype=np.int64)
         self.size = np.empty(1 << 14, dtype=np.int32)
+        self.hits = np.zeros(1 << 14, dtype=np.int32)
         self.used = 0
 
+    def _thin_out(self) -> None:
+        """Keep the pieces seen most often: twice or more, then four times or more, until half of the table is free."""
+        least, n = 2, len(self.of)
+        while (keep := self.hits[:n] >= least).sum() > self.pieces // 2:
+            least *= 2
+        size = self.size[:n][keep].astype(np.int64)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        self.flat[:total] = self.flat[np.repeat(self.start[:n][keep] - (ends - size), size) + np.arange(total)]
+        hits = self.hits[:n][keep] // 2
+        self.of = dict(zip(compress(self.of, keep.tolist()), range(len(size)), strict=True))
+        self.size[: len(size)], self.start[: len(size)] = size, ends - size
+        self.hits[:] = 0
+        self.hits[: len(size)] = hits
+        self.used = total
+
     def _learn(self, new: list) -> None:
         """Add pieces: a string stands for itself behind a space, a 1-tuple for the start of a text."""
         known, parts = self.pretokens, []
@@ -79,7 +97,7 @@ class WordEncoder:
         at, used = len(self.of), self.used
         self.of.update(zip(new, range(at, at + len(new)), strict=True))
         while at + len(new) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+            self.start, self.size, self.hits = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.hits))
         self.size[at : at + len(new)] = size
         self.start[at : at + len(new)] = used + np.cumsum(size) - size
         self.used += int(size.sum())
@@ -88,8 +106,10 @@ class WordEncoder:
         self.flat[used : self.used] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=self.used - used)
 
     def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.of) > self.pieces or len(self.pretokens) > self.pieces:
-            self._empty()
+        if len(self.of) > self.pieces:
+            self._thin_out()
+        if len(self.pretokens) > self.pieces:
+            self.pretokens = {}
         words: list = []
         counts = np.empty(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
@@ -102,6 +122,7 @@ class WordEncoder:
         if len(unknown):
             self._learn(list(dict.fromkeys(words[i] for i in unknown.tolist())))
             at[unknown] = [self.of[words[i]] for i in unknown.tolist()]
+        self.hits[: len(self.of)] += np.bincount(at, minlength=len(self.of)).astype(np.int32)
         size = self.size[at].astype(np.int64)
         ends = np.cumsum(size)
         flat = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -141,3 +162,9 @@ class WordEncoder:
             flush()
         sizes = np.array([len(x) for x in found], dtype=np.int64)
         return (np.concatenate(found) if found else np.empty(0, np.uint32)), sizes
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder: Python workers serve many tasks, and what one has learnt serves the next."""
+    return WordEncoder(path)

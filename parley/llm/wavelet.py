@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.llm import tokens
 from parley.llm.text import whole
-from parley.llm.tokens import WordEncoder
 from parley.plans.joins import join_small
 from parley.plans.shared import materialize
 
@@ -165,7 +165,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, task, part = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, task, part = tokens.encoder(path), TaskContext.get().partitionId(), 0
         held, sizes, names, total = [], [], [], 0
 
         def file() -> pa.RecordBatch:

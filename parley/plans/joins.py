@@ -28,7 +28,7 @@ def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     sizes of the buckets before it, so a key with a third of all rows is still ranked by many tasks.
     """
     spark = df.sparkSession
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     b, local, base = f"{out}__b", f"{out}__l", f"{out}__o"
     dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
     sizes = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(base))
