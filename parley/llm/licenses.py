@@ -46,8 +46,8 @@ def words_text(text: str = "text") -> Column:
 
 
 def _grams(words: Column, k: int) -> Column:
-    n = F.size(words) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, k))))
+    n = F.size(words) - k  # single words: a slice would copy the whole array for every gram
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
 
 
 def template_grams(spark: SparkSession, templates: dict[str, str], k: int = K) -> DataFrame:

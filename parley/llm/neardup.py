@@ -97,6 +97,11 @@ def group_links(fp: np.ndarray, limit: int = LIMIT) -> list[tuple[int, int]]:
     return links
 
 
+def _combined(cells, span):
+    """Every cell number so far, with every number of one more pivot behind it."""
+    return F.flatten(F.transform(cells, lambda c: F.transform(span, lambda s: c * 64 + s)))
+
+
 def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) between fingerprints of a written table with one row per distinct ``fp``."""
     if limit > BLOCKS - 2:
@@ -115,7 +120,7 @@ def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
         for p in pivots()[:CELL_PIVOTS].view(np.int64):
             d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p))))
             span = F.sequence(F.floor((d - reach + 64) / CELL), F.floor((d + reach + 64) / CELL))
-            cells = F.flatten(F.transform(cells, lambda c, span=span: F.transform(span, lambda s: c * 64 + s)))
+            cells = _combined(cells, span)
         marked = join_small(keyed, hot, F.col("key") == F.col("hot"))
         dealt = marked.select("fp", "key", F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)).alias("cell"))
     dealt = dealt.select("key", "cell", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell")

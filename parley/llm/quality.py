@@ -5,6 +5,9 @@ Only DataFrame functions run here: whole texts are measured in place by array fu
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +36,15 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)).alias("__lines"),
     )
     n = F.size("__w")
+
+    def window(i):  # single words: a slice would copy the whole array for every window
+        return [F.get("__w", i + j) for j in range(WINDOW)]
+
     base = base.select(
         *keep, "word_chars", "n_symbols", "__w",
         n.cast("long").alias("n_words"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")).alias("__h"),
+        F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*window(i)))).otherwise(F.array().cast("array<bigint>")).alias("__h"),
     )
     # Most texts repeat no window; only the others have their windows sorted by hash.
     repeats = F.size(F.array_distinct("__h")) < F.size("__h")
@@ -45,7 +52,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     base = base.withColumn("__s", F.when(repeats, numbered))
 
     def same(a, b):
-        return (a["h"] == b["h"]) & (F.slice("__w", a["i"] + 1, WINDOW) == F.slice("__w", b["i"] + 1, WINDOW))
+        return reduce(and_, [x == y for x, y in zip(window(a["i"]), window(b["i"]), strict=True)], a["h"] == b["h"])
 
     hits = F.filter("__s", lambda x, i: F.coalesce(same(x, F.get("__s", i - 1)), F.lit(False)) | F.coalesce(same(x, F.get("__s", i + 1)), F.lit(False)))
     base = base.withColumn("__p", F.sort_array(F.transform(hits, lambda x: x["i"])))
@@ -102,9 +109,10 @@ def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", li
     The verdict needs the text alone and the host, so it is computed on the row and no join by id is needed:
     rows with equal, null or repeated ids are safe.
     """
-    measured = measure(docs.select(F.col(text), F.col(host)), text, (host,)).select(F.col(host), base_failed().alias("base_failed"))
-    rates = materialize(host_rates(measured, host).filter(F.col("rate") > limit).select(F.col(host).alias("__host"), F.lit(True).alias("__bad")))
     names = docs.columns
-    judged = measure(docs.withColumn("__row", F.struct(*[F.col(c) for c in names])), text, ("__row", host)).filter(~base_failed())
-    out = join_small(judged, rates, F.col(host).eqNullSafe(F.col("__host"))).filter(F.col("__bad").isNull())
+    measured = measure(docs.withColumn("__row", F.struct(*[F.col(c) for c in names])), text, ("__row", host))
+    # Written, as a filter would be pushed below the measures and repeat them inside one another.
+    measured = materialize(measured.select("__row", host, base_failed().alias("base_failed")))
+    rates = materialize(host_rates(measured, host).filter(F.col("rate") > limit).select(F.col(host).alias("__host"), F.lit(True).alias("__bad")))
+    out = join_small(measured.filter("not base_failed"), rates, F.col(host).eqNullSafe(F.col("__host"))).filter(F.col("__bad").isNull())
     return out.select(*[F.col("__row")[c].alias(c) for c in names])
