@@ -1 +1,39 @@
+"""Structured Streaming: a keyed change feed, deduplication and session windows over an append stream."""
 
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def change_feed(rows: DataFrame, key: str = "user_id", value: str = "event_type") -> DataFrame:
+    """(key, value, change) each time a key's value is new or differs from the last one seen, by keyed state.
+
+    ``rows`` is a stream with key, value and ``seq``, the order inside a key.
+    """
+
+    def step(keys: tuple, batches, state):
+        last = state.get[0] if state.exists else None
+        rows = sorted((s, v) for b in batches for s, v in zip(b["seq"], b["value"], strict=True))
+        out = []
+        for _, v in rows:
+            if v != last:
+                out.append((keys[0], v, "new" if last is None else "changed"))
+                last = v
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(out, columns=["key", "value", "change"])
+
+    slim = rows.select(F.col(key).cast("long").alias("key"), F.col(value).alias("value"), "seq")
+    return slim.groupBy("key").applyInPandasWithState(step, "key long, value string, change string", "last string", "append", "NoTimeout")
+
+
+def deduplicated(rows: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
+    return rows.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def sessions(rows: DataFrame, key: str, at: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of each key: start, end and number of rows, a gap of ``gap`` ending one."""
+    s = rows.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+    return s.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
