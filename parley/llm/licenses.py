@@ -7,10 +7,13 @@ edited copy, gathers its votes on one diagonal or a few neighbouring ones.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.text import whole
+from parley.plans.joins import join_small
 from parley.plans.shared import materialize
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,16 +60,30 @@ def template_grams(spark: SparkSession, templates: dict[str, str], k: int = K) -
     return t.select("template", F.size("g").alias("n_grams"), F.posexplode("g").alias("at", "gram"))
 
 
+def marks(templates: dict[str, str], k: int = K) -> list[str]:
+    """For every k-gram of the templates its longest word: a text without any of them holds no such k-gram."""
+    found = set()
+    for t in templates.values():
+        w = [x for x in re.split(SEPARATORS, t.lower()) if x]
+        found |= {max(w[i : i + k], key=len) for i in range(len(w) - k + 1)}
+    return sorted(found)
+
+
 def spans(docs: DataFrame, keep: str, text: str = "text", templates: dict[str, str] | None = None, k: int = K) -> DataFrame:
     """(keep, label, first, last, cover): verified template spans of the documents, first and last in words.
 
     ``docs`` needs columns ``keep`` (which names the row) and ``text``. The template side of the join is the fixed
     list; the text side is filtered by it in place, so only hits are shuffled.
     """
-    spark = docs.sparkSession
+    words = F.split(F.trim(words_text(text)), " ")
+    return word_spans(docs.select(keep, words.alias("w")), keep, templates, k)
+
+
+def word_spans(words: DataFrame, keep: str, templates: dict[str, str] | None = None, k: int = K) -> DataFrame:
+    """``spans`` of rows (keep, w) whose texts are already words."""
     templates = templates or TEMPLATES
-    known = F.broadcast(template_grams(spark, templates, k))
-    grams = docs.select(keep, F.split(F.trim(words_text(text)), " ").alias("w")).select(keep, F.posexplode(_grams(F.col("w"), k)).alias("pos", "gram"))
+    known = F.broadcast(template_grams(words.sparkSession, templates, k))
+    grams = words.select(keep, F.posexplode(_grams(F.col("w"), k)).alias("pos", "gram"))
     hits = grams.join(known, "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
     votes = hits.groupBy(keep, "template", "n_grams", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     order = Window.partitionBy(keep, "template").orderBy("diagonal")
@@ -96,6 +113,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     s = F.col("__s")
     any_ = _pattern(list(PHRASES))
     rows = docs.select("doc_id", F.xxhash64("doc_id", whole(text)).alias("__key"), words_text(text).alias("__s"))
+    rows = rows.withColumn("__w", F.split(F.trim(s), " "))
     found = s.rlike(any_)
     counts = [F.regexp_count(s, F.lit(_pattern([p]))) for p in PHRASES]
     before_first = F.substring(s, F.lit(1), F.regexp_instr(s, F.lit(any_)) - 1)
@@ -103,16 +121,19 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     words_in = lambda c: F.regexp_count(c, F.lit("[^ ]+")).cast("long")
     named = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(c > 0, F.lit(x)) for c, x in zip(counts, PHRASES.values(), strict=True)]))))
     rows = rows.select(
-        "doc_id", "__key", words_in(s).alias("n_words"),
+        "doc_id", "__key",
+        F.when(F.trim(s) == "", 0).otherwise(F.size("__w")).cast("long").alias("n_words"),
         F.when(found, sum(counts[1:], counts[0])).otherwise(0).cast("long").alias("n_base"),
         F.when(found, words_in(before_first)).alias("first_word"),
         F.when(found, words_in(before_last)).alias("last_word"),
         F.when(found, named).otherwise(F.array().cast("array<string>")).alias("__base"),
+        # The words go on only where a template's k-gram is possible, so texts are read once.
+        F.when(F.arrays_overlap("__w", F.array(*map(F.lit, marks(TEMPLATES)))), F.col("__w")).alias("__w"),
     )
     rows = materialize(rows)
-    more = spans(docs.select(F.xxhash64("doc_id", whole(text)).alias("__key"), F.col(text).alias("text")), "__key")
+    more = word_spans(rows.filter("__w is not null").select("__key", F.col("__w").alias("w")), "__key")
     more = materialize(more.groupBy(F.col("__key").alias("__k")).agg(F.collect_set("label").alias("__more"), F.max("cover").alias("__cover")))
-    out = rows.join(more, F.col("__key") == F.col("__k"), "left")
+    out = join_small(rows.drop("__w"), more, F.col("__key") == F.col("__k"))
     labels = F.array_sort(F.array_union("__base", F.coalesce("__more", F.array().cast("array<string>"))))
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
