@@ -108,6 +108,21 @@ def _fullest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray
     return count
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """The inverse by elimination, without the linear algebra library, whose threads can wait for ever beside a JVM."""
+    n = len(a)
+    m = np.hstack([a, np.eye(n)])
+    for i in range(n):
+        p = i + int(np.abs(m[i:, i]).argmax())
+        if p != i:
+            m[[i, p]] = m[[p, i]]
+        m[i] /= m[i, i]
+        factor = m[:, i].copy()
+        factor[i] = 0.0
+        m -= np.outer(factor, m[i])
+    return m[:, n:]
+
+
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """(times, {length: count}) for a histogram {length: pieces}: together they hold every piece exactly once."""
     lengths = np.array(sorted(n for n, k in histogram.items() if k > 0), dtype=np.int64)
@@ -135,7 +150,7 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
         inverse -= np.outer(step, row)
         inverse[out] = row
         if round_ % 200 == 199:  # against drift
-            inverse = np.linalg.inv(columns)
+            inverse = _inverse(columns)
             use = np.maximum((inverse * need).sum(axis=1), 0.0)
     left = need.astype(np.int64)
     found: list[tuple[int, dict[int, int]]] = []
