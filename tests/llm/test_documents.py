@@ -95,7 +95,7 @@ def test_shards(docs, rows, empty):
     for r in got:
         load[r.shard] += r.size
         slots[r.shard].append(r.slot)
-    assert set(load) <= set(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert set(load) == set(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
     mean = sum(load.values()) / 8
     assert max(load.values()) <= mean + max(r.size for r in got)
     assert sharding.assign(empty).count() == 0
