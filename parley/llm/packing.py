@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
-        for b in batches:
+        for b in tokens.slices(batches):
             ids, sizes = encoder.encode(b.column(b.num_columns - 1).to_pylist())
             row, start, length, crc, total = [], [], [], [], []
             at = 0

@@ -12,15 +12,23 @@ import gc
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, compress, repeat
 
 import numpy as np
+import pyarrow as pa
 
 #: Pieces kept in the table; when there are more, those seen only once go.
 PIECES = 400_000
+#: Characters of all pieces in the table; text without spaces makes long ones.
+CHARACTERS = 8_000_000
+#: Longer pretokens are encoded anew for each piece that holds them.
+LONG = 32
 #: Characters of text that are looked up in one go.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
+#: Rows of a batch that are held as Python strings at a time.
+ROWS = 256
 
 _UNSURE = re.compile(r"\s (?:\s|\Z)")
 #: Letters whose pretokens are the same under any version of Unicode, as ranges of code points.
@@ -37,6 +45,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _letters(piece: str | tuple[str]) -> int:
+    return len(piece[0]) if isinstance(piece, tuple) else len(piece)
+
+
 class WordEncoder:
     """``encode`` gives the ids that ``Tokenizer.from_file(path)`` gives for whole texts without added special tokens."""
 
@@ -64,12 +76,15 @@ class WordEncoder:
         self.size = np.empty(1 << 14, dtype=np.int32)
         self.hits = np.zeros(1 << 14, dtype=np.int32)
         self.used = 0
+        self.chars = 0
 
     def _thin_out(self) -> None:
         """Keep the pieces seen most often: twice or more, then four times or more, until half of the table is free."""
         least, n = 2, len(self.of)
-        while (keep := self.hits[:n] >= least).sum() > self.pieces // 2:
+        chars = np.fromiter(map(_letters, self.of), dtype=np.int64, count=n)
+        while (keep := self.hits[:n] >= least).sum() > self.pieces // 2 or chars[keep].sum() > CHARACTERS // 2:
             least *= 2
+        self.chars = int(chars[keep].sum())
         size = self.size[:n][keep].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -93,9 +108,13 @@ class WordEncoder:
             shown = [x[0] if isinstance(x, tuple) else x.encode().decode("latin-1").translate(self.letters) for x in some]
             known.update(zip(some, [e.ids for e in self.model.encode_batch_fast(shown, add_special_tokens=False)], strict=True))
         ids = [[y for x in ps for y in known[x]] for ps in parts]
+        for x in missing:
+            if _letters(x) > LONG:
+                del known[x]
         size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
         at, used = len(self.of), self.used
         self.of.update(zip(new, range(at, at + len(new)), strict=True))
+        self.chars += sum(map(_letters, new))
         while at + len(new) > len(self.start):
             self.start, self.size, self.hits = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.hits))
         self.size[at : at + len(new)] = size
@@ -106,7 +125,7 @@ class WordEncoder:
         self.flat[used : self.used] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=self.used - used)
 
     def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.of) > self.pieces:
+        if len(self.of) > self.pieces or self.chars > CHARACTERS:
             self._thin_out()
         if len(self.pretokens) > self.pieces:
             self.pretokens = {}
@@ -164,6 +183,14 @@ class WordEncoder:
         return (np.concatenate(found) if found else np.empty(0, np.uint32)), sizes
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ROWS rows, so a worker's memory does not follow the session's batch size."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+    pa.default_memory_pool().release_unused()  # the worker stays and waits beside other stages
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder: Python workers serve many tasks, and what one has learnt serves the next."""

@@ -172,7 +172,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, text: str =
             data = write_shard(np.concatenate(held), np.array(sizes), names)
             return pa.RecordBatch.from_pylist([{"task": task, "part": part, "first_id": names[0], "n_ids": total, "file": data}], schema=_SCHEMA)
 
-        for b in batches:
+        for b in tokens.slices(batches):
             ids, counts = encoder.encode(b.column(1).to_pylist())
             whole_ = np.insert(ids, np.cumsum(counts), end_id)
             ends = np.cumsum(counts + 1)
