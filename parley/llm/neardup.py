@@ -5,6 +5,10 @@ linked pair together. Inside a key each fingerprint has a row of Hamming distanc
 (its pivot distances); by the triangle inequality a pair whose rows differ by more than ``LIMIT`` anywhere can't be
 linked. A key with very many fingerprints is cut into overlapping cells of pivot distances first, so no task holds
 an unbounded group. A group gives a spanning forest of its links, never all pairs.
+
+For a similarity of whole shingle sets (``one_of_each`` with ``similarity``) the bits that differ are too many for
+equal blocks or for pivots, so texts meet by shingles: of two sets with Jaccard similarity t, each holds a common
+shingle among its first n - ceil(t n) + 1 in any fixed order. Bits and sizes discard pairs, and the sets decide.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ from parley.plans.shared import materialize
 LIMIT = 2
 SHINGLE = 3
 BLOCKS = 4
+#: For near copies by similarity: words of a shingle, the similarity, and a bit limit for it. At similarity 0.8 about
+#: ten bits differ, with a deviation of three.
+WORDS_NEAR, SIMILARITY, LIMIT_NEAR = 5, 0.8, 22
 #: Fingerprints of one key above which it is cut into cells, and the cells' width in bits of distance.
 HOT_KEY, CELL = 2000, 6
 N_PIVOTS = 24
@@ -39,31 +46,41 @@ def pivots() -> np.ndarray:
 
 def fingerprint(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
     """64-bit SimHash of each text: a bit is set if it is set in over half of the XXH64 (seed 42) of its shingles."""
-    import xxhash
-
     out = np.zeros(len(texts), dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
     for i, t in enumerate(texts):
-        words = t.encode().lower().split() if t else ()  # bytes: only A-Z are lowered, only the six blanks split
-        if not words:
-            continue
-        grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[j:] for j in range(shingle)), strict=False))
-        h = np.array([digest(g, 42) for g in grams], dtype=np.uint64)
-        ones = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(h), 1 << 15):
-            ones += np.unpackbits(h[k : k + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(ones * 2 > len(h)).view(">u8")[0]
+        words = _words(t)
+        if words:
+            out[i] = _simhash(_hashes(words, shingle))
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _words(text: str | None) -> list[bytes]:
+    return text.encode().lower().split() if text else []  # bytes: only A-Z are lowered, only the six blanks split
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[j:] for j in range(shingle)), strict=False))
+    return np.array([digest(g, 42) for g in grams], dtype=np.uint64)
+
+
+def _simhash(h: np.ndarray) -> np.uint64:
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[k : k + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h)).view(">u8")[0]
+
+
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
     """``keep`` and fp (the fingerprint's 64 bits as a long) of every whole text. No word (or null): 0."""
     slim = docs.select(*keep, whole(text).alias("__text"))
     schema = slim.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array(fingerprint(b.column(b.num_columns - 1).to_pylist()).view(np.int64))
+            fp = pa.array(fingerprint(b.column(b.num_columns - 1).to_pylist(), shingle).view(np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=[*keep, "fp"])
 
     return slim.mapInArrow(run, schema)
@@ -104,11 +121,13 @@ def _combined(cells, span):
 
 def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) between fingerprints of a written table with one row per distinct ``fp``."""
-    if limit > BLOCKS - 2:
-        raise ValueError("two equal blocks are certain only up to 2 differing bits")
-    width = 64 // BLOCKS
-    block = [F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS)]
-    keys = [F.shiftleft(block[i] * 1, width).bitwiseOR(block[j]) + F.lit(n << 2 * width) for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
+    blocks = max(BLOCKS, limit + 2)  # so many that two are equal
+    if blocks > 32:
+        raise ValueError("blocks of one bit tell nothing")
+    at = [64 * i // blocks for i in range(blocks + 1)]
+    width = max(z - a for a, z in zip(at, at[1:], strict=False))
+    block = [F.shiftrightunsigned("fp", at[i]).bitwiseAND(F.lit((1 << at[i + 1] - at[i]) - 1)) for i in range(blocks)]
+    keys = [F.shiftleft(block[i] * 1, width).bitwiseOR(block[j]) + F.lit(n << 2 * width) for n, (i, j) in enumerate(combinations(range(blocks), 2))]
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select(F.col("key").alias("hot")))
     if hot.isEmpty():
@@ -185,14 +204,137 @@ def classes(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
+def shingle_sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int) -> DataFrame:
+    """``keep``, name (a hash of the text's words), fp and grams (its distinct shingle hashes in order) of every whole text."""
+    slim = docs.select(*keep, whole(text).alias("__text"))
+    schema = slim.select(*keep).withColumns({"name": F.lit(0).cast("long"), "fp": F.lit(0).cast("long"), "grams": F.array().cast("array<bigint>")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole_ in batches:
+            for k in range(0, whole_.num_rows, 256):
+                b = whole_.slice(k, 256)
+                names, fps, sets = [], [], []
+                for t in b.column(b.num_columns - 1).to_pylist():
+                    words = _words(t)
+                    h = _hashes(words, shingle) if words else np.empty(0, np.uint64)
+                    names.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
+                    fps.append(_simhash(h) if words else 0)
+                    sets.append(np.unique(h.view(np.int64)))
+                grams = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets)))
+                longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (names, fps)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *longs, grams], names=[*keep, "name", "fp", "grams"])
+
+    return slim.mapInArrow(run, schema)
+
+
+def _near(fp, size, i, j, limit: int, similarity: float):
+    """Which of the pairs (i, j) sizes and bits let pass."""
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    return (small >= similarity * large - 1e-9) & (np.bitwise_count(fp[i] ^ fp[j]) <= limit)
+
+
+def meetings(tokens: DataFrame, limit: int, similarity: float, every: bool) -> DataFrame:
+    """Pairs (a, b) of names that meet by a shingle of (token, size, name, root, fp) and pass sizes and bits.
+
+    Not ``every``: the first name with each other, and neighbours by size, so the rows follow the input. ``every``:
+    all pairs whose roots differ.
+    """
+    cols = ["token", "size", "name", "root", "fp"]
+    dealt = tokens.select(*cols).repartition("token").sortWithinPartitions("token", "size", "name")
+
+    def pairs(starts, sizes, size, name, root, fp):
+        if not every:
+            n = int(sizes.sum())
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            low = np.lexsort((name, group))[np.cumsum(sizes) - sizes] if n else np.empty(0, np.int64)
+            at = np.arange(n)
+            after = at[np.flatnonzero(group[1:] == group[:-1])] if n else at
+            yield np.r_[low[group], after], np.r_[at, after + 1]
+            return
+        for s, n in zip(starts, sizes, strict=True):
+            if n < 2 or (root[s : s + n] == root[s]).all():
+                continue
+            ends = s + np.searchsorted(size[s : s + n], np.floor(size[s : s + n] / similarity + 1e-9), side="right")
+            for i in range(s, s + n - 1):
+                j = np.arange(i + 1, ends[i - s])
+                j = j[root[j] != root[i]]
+                if len(j := j[_near(fp, size, i, j, limit, similarity)]):
+                    yield np.full(len(j), i), j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 5
+        for b in _and_end(batches):
+            got = [np.concatenate((r, b.column(i).to_numpy())) for i, r in enumerate(rest)] if b is not None else rest
+            token = got[0]
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+            if b is not None and len(starts):
+                cut = starts[-1]  # the last group may go on in the next batch
+                rest, got, starts = [x[cut:] for x in got], [x[:cut] for x in got], starts[:-1]
+            _, size, name, root, fp = got
+            sizes = np.diff(np.r_[starts, len(size)])
+            bits, out, held = fp.view(np.uint64), [], 0
+            for i, j in pairs(starts, sizes, size, name, root, bits):
+                ok = (name[i] != name[j]) & _near(bits, size, i, j, limit, similarity)
+                out.append(np.stack((np.minimum(name[i], name[j])[ok], np.maximum(name[i], name[j])[ok]), axis=1))
+                held += len(out[-1])
+                if held > 1 << 18:
+                    yield _pairs(out)
+                    out, held = [], 0
+            if held:
+                yield _pairs(out)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(out: list[np.ndarray]) -> pa.RecordBatch:
+    found = np.unique(np.concatenate(out), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The written ``pairs`` whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    asked = materialize(pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct())
+    held = join_small(sets.select("name", "grams"), asked, F.col("name") == F.col("asked"), "left_semi")
+    held = materialize(held.groupBy("name").agg(F.first("grams").alias("grams")))
+    side = lambda c: held.select(F.col("name").alias(c), F.col("grams").alias(f"grams_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common, n = F.size(F.array_intersect("grams_a", "grams_b")), F.size("grams_a") + F.size("grams_b")
+    return materialize(both.filter(common >= F.lit(similarity) * (n - common) - 1e-9).select("a", "b"))
+
+
+def similar_classes(sets: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """(name, root) for every distinct name of a written table of shingle sets: root is the smallest it reaches.
+
+    First the pairs of a linear scan of each meeting are verified, then all others that these have not joined.
+    """
+    first = F.slice("grams", 1, (F.size("grams") - F.ceil(F.size("grams") * similarity - 1e-9) + 1).cast("int"))
+    texts = sets.groupBy("name").agg(F.first(F.struct("fp", F.size("grams").cast("long").alias("size"), first.alias("first"))).alias("x"))
+    tokens = texts.select("name", F.explode("x.first").alias("token"), "x.size", "x.fp", F.col("name").alias("root"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    tokens = materialize(tokens)
+    tokens = materialize(tokens.join(shared, "token", "left_semi"))
+    tried = materialize(meetings(tokens, limit, similarity, every=False))
+    links_ = similar_pairs(tried, sets, similarity)
+    found = materialize(components(links_).distinct())
+    known = tokens.drop("root").join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    others = materialize(meetings(known, limit, similarity, every=True).join(tried, ["a", "b"], "left_anti"))
+    if not others.isEmpty():
+        more = similar_pairs(others, sets, similarity)
+        found = materialize(components(links_.unionByName(more)).distinct())
+    names = sets.select("name").distinct()
+    return names.join(found, names["name"] == found["node"], "left").select("name", F.coalesce("root", "name").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``.
 
     component_id is the smallest doc_id reached by links of at most ``limit`` differing bits; null ids are reached
     like others but never the smallest. Texts without a word have fingerprint zero. Repeated rows share their
     component; other columns are ignored; an empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs, text))
+    prints = materialize(fingerprints(docs, text, shingle=shingle))
     names = classes(prints, limit)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = names.join(least, "fp")
@@ -201,19 +343,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT) ->
     return prints.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", limit: int = LIMIT, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each class: the one with the smallest doc_id (nulls last), then text.
 
+    Links are at most ``limit`` differing bits; with ``similarity``, also that Jaccard similarity of the sets of shingles.
     Rows that are equal in every column are one document, of which one row stays.
     """
     names = docs.columns
     tag = F.xxhash64(*names)
-    prints = materialize(fingerprints(docs.withColumn("__tag", tag), text, ("doc_id", "__tag")))
-    table = classes(prints, limit)
+    tagged = docs.withColumn("__tag", tag)
+    if similarity is None:
+        key, prints = "fp", materialize(fingerprints(tagged, text, ("doc_id", "__tag"), shingle))
+        table = classes(prints, limit)
+    else:
+        key, prints = "name", materialize(shingle_sets(tagged, text, ("doc_id", "__tag"), shingle))
+        table = similar_classes(prints, limit, similarity)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__tag")))
-    firsts = prints.join(table, "fp").groupBy("root").agg(best.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.__tag").alias("__x"))
+    firsts = prints.select("doc_id", "__tag", key).join(table, key).groupBy("root").agg(best.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.__tag").alias("__x"))
     firsts = materialize(firsts)
-    tagged = docs.withColumn("__tag", tag)
     kept = tagged.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__x")), "left_semi")
     twice = materialize(prints.groupBy("doc_id", "__tag").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("__tag").alias("__x")))
     if not twice.isEmpty():  # only rows that are there twice are shuffled whole

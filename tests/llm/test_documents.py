@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from public_tokenizers import path
 
+import corpus_pipeline
 from parley.llm import fst, licenses, linededup, mixing, neardup, packing, quality, sharding, wavelet
 from parley.plans.shared import materialize, work_folder
 
@@ -283,3 +284,50 @@ def test_line_runs(spark, docs, rows, empty):
         assert r.text == want, r.doc_id
         assert r["__n_removed"] == len(gone[r.doc_id])
     assert linededup.without_copies(empty).count() == 0
+
+
+def grams(text, n=5):
+    w = lower(text).encode().split()
+    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_near_copies_by_similarity(spark, docs, rows, sf_dir):
+    """One document of each class of Jaccard similarity 0.8 or more stays, though most near copies differ in over 2 bits."""
+    rng = np.random.default_rng(11)
+    base = [f"v{x}" for x in rng.integers(0, 5000, 300)]
+    texts = []
+    for n in (0, 1, 2, 3, 5, 20, 60):  # words changed: the last two are other texts
+        w = list(base)
+        for i in range(n):
+            w[7 + i * (280 // max(n, 1))] = f"new{n}x{i}"
+        texts.append(" ".join(w))
+    names = spark.read.parquet(f"{sf_dir}/documents.parquet").columns
+    own = spark.createDataFrame([(500_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    all_docs = docs.select(*names).unionByName(own, allowMissingColumns=True)
+    got = corpus_pipeline.near_duplicate_stage(spark, all_docs, sf_dir).collect()
+    sets = [grams(r.text) for r in rows] + [grams(t) for t in texts]
+    ids = [r.doc_id for r in rows] + [500_000 + i for i in range(len(texts))]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if (not a and not b) or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-9):
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), (True, 0)), (d is None, d or 0))
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == Counter(least.values())
+    assert sorted(r.doc_id for r in got if r.doc_id and r.doc_id >= 500_000) == [500_000, 500_005, 500_006]
+
+
+def test_wider_limit_of_bits(spark):
+    base = 0x0123456789ABCDEF
+    table = materialize(spark.createDataFrame([(base ^ x,) for x in (0, 0b11111 << 7, 0b10101010101 << 20, 0b111111111 << 40)], "fp long"))
+    linked = {r.node for r in neardup.components(neardup.links(table, 6)).collect()}
+    assert linked == {base, base ^ 0b11111 << 7, base ^ 0b10101010101 << 20}
