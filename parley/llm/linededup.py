@@ -3,13 +3,16 @@
 Lines become IDs; only lines that occur twice or more can be part of a repeated run, so only islands of such lines
 are sorted. Round k ranks the suffixes by their first 2^k lines from the pairs of ranks of the round before. Suffixes
 of equal rank form the intervals of the suffix array with a common prefix of 2^k lines or more, and the interval of
-any prefix length m is named by two overlapping ranks of the largest 2^k within m. Of each interval that is long
-enough the first copy stays and the lines of the others go.
+any prefix length m is named by two overlapping ranks of the largest 2^k within m. Each interval is judged by its words
+and its copies: the fewer words a run has, the more documents must hold it. The first copy stays and the lines of the
+others go.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,10 @@ from parley.plans.shared import materialize
 
 #: Words that a repeated run of lines must have.
 RUN_WORDS = 50
+#: (words, copies, documents): a repeated run of so many words goes if it has so many copies in so many documents.
+#: A blank or one-word line alone has too few words for any.
+LONG_RUNS = ((RUN_WORDS, 2, 1),)
+RUNS = (*LONG_RUNS, (8, 3, 3), (2, 10, 10))
 DOC = ["d", "u"]
 
 
@@ -52,9 +59,10 @@ def islands(docs: DataFrame, text: str, run_words: int) -> DataFrame:
     return materialize(marked.filter(F.col("total") >= run_words).select(*DOC, "island", "idx", "words", "rank"))
 
 
-def shortest_runs(rows: DataFrame, run_words: int) -> DataFrame:
-    """(d, u, b, m): every stretch b .. b + m - 1 of an island that reaches ``run_words`` and loses them with one line
-    less at its end, or at its start. Together such stretches cover every longer run that is repeated as a whole."""
+def shortest_runs(rows: DataFrame, rules: tuple) -> DataFrame:
+    """(d, u, rule, b, m): for the words of each rule, every stretch b .. b + m - 1 of an island that reaches them and
+    loses them with one line less at its end, or at its start. Together such stretches cover every longer run that is
+    repeated as a whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -64,17 +72,20 @@ def shortest_runs(rows: DataFrame, run_words: int) -> DataFrame:
                 total = np.cumsum([0, *[r["words"] for r in x]])
                 n = len(x)
                 first = np.arange(n)
-                last = np.searchsorted(total, total[first] + run_words, side="left")  # the run is first .. last - 1
-                ok = last <= n
                 ends = np.arange(1, n + 1)
-                begin = np.searchsorted(total, total[ends] - run_words, side="right") - 1
-                fine = (total[ends] >= run_words) & (begin >= 0)
-                runs = set(zip(first[ok].tolist(), last[ok].tolist(), strict=True)) | set(zip(begin[fine].tolist(), ends[fine].tolist(), strict=True))
-                out += [(d, u, start + i, j - i) for i, j in sorted(runs)]
-            yield pd.DataFrame(out, columns=["d", "u", "b", "m"])
+                for rule, (run_words, *_) in enumerate(rules):
+                    if total[-1] < run_words:
+                        continue
+                    last = np.searchsorted(total, total[first] + run_words, side="left")  # the run is first .. last - 1
+                    ok = last <= n
+                    begin = np.searchsorted(total, total[ends] - run_words, side="right") - 1
+                    fine = (total[ends] >= run_words) & (begin >= 0)
+                    runs = set(zip(first[ok].tolist(), last[ok].tolist(), strict=True)) | set(zip(begin[fine].tolist(), ends[fine].tolist(), strict=True))
+                    out += [(d, u, rule, start + i, j - i) for i, j in sorted(runs)]
+            yield pd.DataFrame(out, columns=["d", "u", "rule", "b", "m"])
 
     grouped = rows.groupBy(*DOC, "island").agg(F.sort_array(F.collect_list(F.struct("idx", "words"))).alias("x"))
-    return grouped.select(*DOC, "x").mapInPandas(run, "d long, u long, b int, m int")
+    return grouped.select(*DOC, "x").mapInPandas(run, "d long, u long, rule int, b int, m int")
 
 
 def suffix_ranks(rows: DataFrame, levels: int) -> DataFrame:
@@ -99,33 +110,35 @@ def suffix_ranks(rows: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-def later_copies(docs: DataFrame, text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def later_copies(docs: DataFrame, text: str = "text", rules: tuple = LONG_RUNS) -> DataFrame:
     """(d, u, runs): per document the runs of lines (b, m) that go, because an earlier copy of them stays."""
-    rows = islands(docs, text, run_words)
-    runs = materialize(shortest_runs(rows, run_words))
+    rows = islands(docs, text, min(words for words, *_ in rules))
+    runs = materialize(shortest_runs(rows, rules))
     longest = runs.agg(F.max("m")).first()[0] or 1
     ranks = suffix_ranks(rows, longest.bit_length() - 1)
     k = F.floor(F.log2(F.col("m").cast("double")) + 1e-9).cast("int")
     asked = runs.withColumn("k", k).withColumn("b2", F.expr("b + m - shiftleft(1, k)"))
     at = lambda c, name: ranks.select("k", *DOC, F.col("idx").alias(c), F.col("rank").alias(name))
     asked = asked.join(at("b", "r1"), ["k", *DOC, "b"]).join(at("b2", "r2"), ["k", *DOC, "b2"])
-    asked = materialize(asked.select(*DOC, "b", "m", "r1", "r2"))
-    interval = ["m", "r1", "r2"]
-    first = asked.groupBy(*interval).agg(F.min(F.struct(*DOC, "b")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    gone = asked.join(first, interval).filter(F.struct(*DOC, "b") != F.col("first"))
+    asked = materialize(asked.select(*DOC, "rule", "b", "m", "r1", "r2"))
+    interval = ["rule", "m", "r1", "r2"]
+    by_doc = asked.groupBy(*interval, *DOC).agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    first = by_doc.groupBy(*interval).agg(F.min(F.struct(*DOC, "b")).alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    enough = reduce(or_, [(F.col("rule") == i) & (F.col("n") >= n) & (F.col("n_docs") >= n_docs) for i, (_, n, n_docs) in enumerate(rules)])
+    gone = asked.join(first.filter(enough), interval).filter(F.struct(*DOC, "b") != F.col("first"))
     return materialize(gone.groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("b", "m"))).alias("runs")))
 
 
-def without_copies(docs: DataFrame, text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def without_copies(docs: DataFrame, text: str = "text", rules: tuple = LONG_RUNS) -> DataFrame:
     """``docs`` with ``text`` rewritten, and __n_lines and __n_removed: lines before, and lines taken out.
 
-    A run of consecutive whole lines with ``run_words`` words or more in all (lines split at line feeds) that
-    occurs again later, in the order of doc_id (nulls last) and place, is deleted there; its first copy stays.
-    Lines outside such runs stay as they are, so a repeated short line alone is never touched. Rows equal in every
-    column are one document and keep the same lines. Null and empty texts come back unchanged.
+    A run of consecutive whole lines (split at line feeds) with the words, copies and documents of one of ``rules``
+    is deleted wherever it occurs again later, in the order of doc_id (nulls last) and place; its first copy stays.
+    Lines outside such runs stay as they are. Rows equal in every column are one document and keep the same lines.
+    Null and empty texts come back unchanged.
     """
     names = docs.columns
-    gone = later_copies(docs, text, run_words).withColumnsRenamed({"d": "__d", "u": "__u"})
+    gone = later_copies(docs, text, rules).withColumnsRenamed({"d": "__d", "u": "__u"})
     rows = _keyed(docs, text)
     rows = join_small(rows, gone, (F.col("d") == F.col("__d")) & (F.col("u") == F.col("__u")), limit=2_000)
     kept = F.filter("__lines", lambda line, i: ~F.exists("runs", lambda r: (i >= r["b"]) & (i < r["b"] + r["m"])))

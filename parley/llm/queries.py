@@ -28,7 +28,7 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.without_copies(docs).withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
+    return linededup.without_copies(docs, rules=linededup.RUNS).withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
 
 
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,3 +331,41 @@ def test_wider_limit_of_bits(spark):
     table = materialize(spark.createDataFrame([(base ^ x,) for x in (0, 0b11111 << 7, 0b10101010101 << 20, 0b111111111 << 40)], "fp long"))
     linked = {r.node for r in neardup.components(neardup.links(table, 6)).collect()}
     assert linked == {base, base ^ 0b11111 << 7, base ^ 0b10101010101 << 20}
+
+
+def test_short_runs(docs, rows):
+    """Runs of fewer words go if more documents hold them: every stretch is counted, whatever its place."""
+    rules = linededup.RUNS
+    got = linededup.without_copies(docs, rules=rules).collect()
+    texts = {(r.doc_id is None, r.doc_id or 0): r.text.split("\n") for r in rows if r.text}
+    held = defaultdict(list)
+    n_words = {x: len(words(x)) for lines in texts.values() for x in lines}
+    for d, lines in texts.items():
+        for i in range(len(lines)):
+            n = 0
+            for j in range(i, len(lines)):
+                n += n_words[lines[j]]
+                if n >= 2:
+                    held[tuple(lines[i : j + 1])].append((d, i))
+                if n >= 450:
+                    break
+    gone = defaultdict(set)
+    for run, at in held.items():
+        n, n_docs = sum(n_words[x] for x in run), len({d for d, _ in at})
+        if any(n >= w and len(at) >= c and n_docs >= k for w, c, k in rules):
+            for d, i in sorted(at)[1:]:
+                gone[d].update(range(i, i + len(run)))
+    for r in got:
+        if r.text is not None and (d := (r.doc_id is None, r.doc_id or 0)) in texts:
+            assert r.text == "\n".join(x for i, x in enumerate(texts[d]) if i not in gone[d]), d
+            assert r["__n_removed"] == len(gone[d])
+
+
+def test_short_line_of_many_documents(spark):
+    rows = [(i, f"own line {i}\n\nread this line of nine words again every day\nThanks\nmany thanks\nend {i}") for i in range(12)]
+    rows += [(20 + i, f"alone {i}\na refrain of eight words in two documents") for i in range(2)]
+    got = {r.doc_id: r.text for r in linededup.without_copies(spark.createDataFrame(rows, "doc_id long, text string"), rules=linededup.RUNS).collect()}
+    assert got[0] == rows[0][1] and got[20] == rows[12][1] and got[21] == rows[13][1]
+    assert all("nine words" not in got[i] and "many thanks" not in got[i] and f"own line {i}" in got[i] for i in range(1, 12))
+    one = spark.createDataFrame([(i, f"start of {i}\nThanks\n\nend of {i}") for i in range(12)], "doc_id long, text string")
+    assert all(r["__n_removed"] == 0 for r in linededup.without_copies(one, rules=linededup.RUNS).collect())
