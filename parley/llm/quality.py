@@ -18,12 +18,14 @@ from parley.plans.shared import materialize
 SYMBOLS = r"[#*$%&|<>]"
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 5
+#: A document fails with more symbols in 100 word characters, or repeated lines in 100 lines with words, than these.
+MOST_SYMBOLS, MOST_DUP_LINES = 10, 50
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """``keep`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) of every whole text.
+    """``keep`` plus n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words (all long) of every whole text.
 
-    A null text counts as empty: all measures are 0. n_repeat_words counts words inside 5-word windows that occur
+    n_lines counts lines with a word. A null text counts as empty: all measures are 0. n_repeat_words counts words inside 5-word windows that occur
     twice or more in the text, the first occurrence included; fewer than 5 words have no window.
     """
     t = F.col("__t")
@@ -44,6 +46,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         *keep, "word_chars", "n_symbols", "__w",
         n.cast("long").alias("n_words"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        F.size("__lines").cast("long").alias("n_lines"),
         F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*window(i)))).otherwise(F.array().cast("array<bigint>")).alias("__h"),
     )
     # Most texts repeat no window; only the others have their windows sorted by hash.
@@ -61,21 +64,26 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.lit(0).cast("long"),
         lambda total, x: total + x,
     )
-    return base.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    return base.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def base_failed():
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def failed():
+    """The base rules, and too many symbols or repeated lines."""
+    return base_failed() | (100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("word_chars")) | (100 * F.col("n_dup_lines") > MOST_DUP_LINES * F.col("n_lines"))
+
+
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """Per host: n documents, n_failed, and ``rate``, the failure rate shrunk to the corpus by a beta prior.
+    """Per host of written ``measured`` with ``failed``: n documents, n_failed, and ``rate``, the failure rate shrunk to the corpus by a beta prior.
 
     The prior is fitted by moments over all hosts: mean m of all documents, variance v of the hosts' rates weighted
     by their size; strength m(1-m)/v - 1, at least 1. Without any spread between hosts the rate is m itself.
     Documents without a host form one host of their own. Two numbers reach the driver, whatever the number of hosts.
     """
-    hosts = materialize(measured.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")))
+    hosts = materialize(measured.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")))
     k, n = F.col("n_failed"), F.col("n_docs")
     got = hosts.agg(F.sum(k).alias("k"), F.sum(n).alias("n"), F.sum(k * k / n).alias("k2")).first()
     if not got["n"]:
@@ -92,14 +100,15 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: floa
     """One row per document: ``keep``, the five measures, base_failed, host_rate and kept.
 
     A document is kept if it passes the base rules (10 words or more, at most 20 % of its words in repeated
-    windows) and its host's shrunk failure rate is at most ``limit``. An empty table gives an empty result;
+    windows), has at most 10 symbols in 100 word characters and 50 % repeated lines, and its host's shrunk failure
+    rate by all these rules is at most ``limit``. An empty table gives an empty result;
     repeated rows are judged row by row; other columns are ignored.
     """
     cols = tuple(dict.fromkeys((*keep, host)))
-    measured = materialize(measure(docs, text, cols).withColumn("base_failed", base_failed()))
+    measured = materialize(measure(docs, text, cols).withColumns({"base_failed": base_failed(), "failed": failed()}))
     rates = materialize(host_rates(measured, host).select(F.col(host).alias("__host"), F.col("rate").alias("host_rate")))
     out = join_small(measured, rates, F.col(host).eqNullSafe(F.col("__host")))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= limit)
+    kept = ~F.col("failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= limit)
     return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))
 
 
@@ -112,7 +121,7 @@ def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", li
     names = docs.columns
     measured = measure(docs.withColumn("__row", F.struct(*[F.col(c) for c in names])), text, ("__row", host))
     # Written, as a filter would be pushed below the measures and repeat them inside one another.
-    measured = materialize(measured.select("__row", host, base_failed().alias("base_failed")))
+    measured = materialize(measured.select("__row", host, failed().alias("failed")))
     rates = materialize(host_rates(measured, host).filter(F.col("rate") > limit).select(F.col(host).alias("__host"), F.lit(True).alias("__bad")))
-    out = join_small(measured.filter("not base_failed"), rates, F.col(host).eqNullSafe(F.col("__host"))).filter(F.col("__bad").isNull())
+    out = join_small(measured.filter("not failed"), rates, F.col(host).eqNullSafe(F.col("__host"))).filter(F.col("__bad").isNull())
     return out.select(*[F.col("__row")[c].alias(c) for c in names])

@@ -369,3 +369,15 @@ def test_short_line_of_many_documents(spark):
     assert all("nine words" not in got[i] and "many thanks" not in got[i] and f"own line {i}" in got[i] for i in range(1, 12))
     one = spark.createDataFrame([(i, f"start of {i}\nThanks\n\nend of {i}") for i in range(12)], "doc_id long, text string")
     assert all(r["__n_removed"] == 0 for r in linededup.without_copies(one, rules=linededup.RUNS).collect())
+
+
+def test_junk_of_symbols_and_lines_goes(spark):
+    clean = [" ".join(f"word{i}x{j}" for j in range(40)) + " #tag costs $5 & more" for i in range(40)]
+    signs = [" ".join(f"w{i}x{j}" + ("###" if j % 2 else "$$$") for j in range(40)) for i in range(10)]
+    lines = ["\n".join(["menu bar"] * 8) + f"\n{' '.join(f'q{i}x{j}' for j in range(80))}" for i in range(10)]
+    rows = [(i, t, "b" if i % 2 else "a") for i, t in enumerate([*clean, *signs, *lines])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.judge(table).collect()
+    assert {r.doc_id for r in got if r.kept} == set(range(40)) and not any(r.base_failed for r in got)
+    assert {r.doc_id for r in quality.kept_documents(table).collect()} == set(range(40))
+    assert all(abs(r.host_rate - 1 / 3) < 1e-6 for r in got)
