@@ -76,8 +76,16 @@ def failed():
     return base_failed() | (100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("word_chars")) | (100 * F.col("n_dup_lines") > MOST_DUP_LINES * F.col("n_lines"))
 
 
+def borderline(rate, mean):
+    """Over the limits of repeated words, symbols and lines as a host of this shrunk failure rate has them: where it is
+    above the corpus's ``mean``, its documents get mean / rate of each limit, but half of it at least."""
+    share = F.when(rate > mean, F.greatest(F.lit(0.5), mean / rate)).otherwise(F.lit(1.0))
+    over = (100 * F.col("n_repeat_words") > 20 * share * F.col("n_words")) | (100 * F.col("n_symbols") > MOST_SYMBOLS * share * F.col("word_chars"))
+    return F.coalesce(over | (100 * F.col("n_dup_lines") > MOST_DUP_LINES * share * F.col("n_lines")), F.lit(False))
+
+
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """Per host of written ``measured`` with ``failed``: n documents, n_failed, and ``rate``, the failure rate shrunk to the corpus by a beta prior.
+    """Per host of written ``measured`` with ``failed``: n documents, n_failed, ``mean`` of the corpus, and ``rate``, the failure rate shrunk to the corpus by a beta prior.
 
     The prior is fitted by moments over all hosts: mean m of all documents, variance v of the hosts' rates weighted
     by their size; strength m(1-m)/v - 1, at least 1. Without any spread between hosts the rate is m itself.
@@ -87,8 +95,9 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     k, n = F.col("n_failed"), F.col("n_docs")
     got = hosts.agg(F.sum(k).alias("k"), F.sum(n).alias("n"), F.sum(k * k / n).alias("k2")).first()
     if not got["n"]:
-        return hosts.withColumn("rate", F.lit(0.0))
+        return hosts.withColumns({"mean": F.lit(0.0), "rate": F.lit(0.0)})
     m = got["k"] / got["n"]
+    hosts = hosts.withColumn("mean", F.lit(float(m)))
     v = got["k2"] / got["n"] - m * m
     if v <= 1e-12 or not 0 < m < 1:
         return hosts.withColumn("rate", F.lit(float(m)))
@@ -97,19 +106,20 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: ``keep``, the five measures, base_failed, host_rate and kept.
+    """One row per document: ``keep``, the five measures, base_failed, host_rate, by_host (rejected for its host) and kept.
 
     A document is kept if it passes the base rules (10 words or more, at most 20 % of its words in repeated
     windows), has at most 10 symbols in 100 word characters and 50 % repeated lines, and its host's shrunk failure
-    rate by all these rules is at most ``limit``. An empty table gives an empty result;
+    rate by all these rules is at most ``limit``. On a host above the corpus the limits are lower (``borderline``). An empty table gives an empty result;
     repeated rows are judged row by row; other columns are ignored.
     """
     cols = tuple(dict.fromkeys((*keep, host)))
     measured = materialize(measure(docs, text, cols).withColumns({"base_failed": base_failed(), "failed": failed()}))
-    rates = materialize(host_rates(measured, host).select(F.col(host).alias("__host"), F.col("rate").alias("host_rate")))
+    rates = materialize(host_rates(measured, host).select(F.col(host).alias("__host"), F.col("rate").alias("host_rate"), "mean"))
     out = join_small(measured, rates, F.col(host).eqNullSafe(F.col("__host")))
-    kept = ~F.col("failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= limit)
-    return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))
+    by_host = ~F.col("failed") & ((F.coalesce(F.col("host_rate"), F.lit(0.0)) > limit) | borderline(F.col("host_rate"), F.col("mean")))
+    kept = ~F.col("failed") & ~by_host
+    return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", by_host.alias("by_host"), kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
@@ -121,7 +131,10 @@ def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", li
     names = docs.columns
     measured = measure(docs.withColumn("__row", F.struct(*[F.col(c) for c in names])), text, ("__row", host))
     # Written, as a filter would be pushed below the measures and repeat them inside one another.
-    measured = materialize(measured.select("__row", host, failed().alias("failed")))
-    rates = materialize(host_rates(measured, host).filter(F.col("rate") > limit).select(F.col(host).alias("__host"), F.lit(True).alias("__bad")))
-    out = join_small(measured.filter("not failed"), rates, F.col(host).eqNullSafe(F.col("__host"))).filter(F.col("__bad").isNull())
+    ratios = ("n_words", "n_repeat_words", "n_symbols", "word_chars", "n_dup_lines", "n_lines")
+    measured = materialize(measured.select("__row", host, *ratios, failed().alias("failed")))
+    rates = host_rates(measured, host).filter((F.col("rate") > limit) | (F.col("rate") > F.col("mean")))
+    rates = materialize(rates.select(F.col(host).alias("__host"), "rate", "mean"))
+    out = join_small(measured.filter("not failed"), rates, F.col(host).eqNullSafe(F.col("__host")))
+    out = out.filter((F.coalesce(F.col("rate"), F.lit(0.0)) <= limit) & ~borderline(F.col("rate"), F.col("mean")))
     return out.select(*[F.col("__row")[c].alias(c) for c in names])

@@ -38,7 +38,7 @@ def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(tables(spark, sf_dir, "documents")).drop("host_rate")
+    return quality.judge(tables(spark, sf_dir, "documents")).drop("host_rate", "by_host")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

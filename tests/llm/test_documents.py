@@ -381,3 +381,14 @@ def test_junk_of_symbols_and_lines_goes(spark):
     assert {r.doc_id for r in got if r.kept} == set(range(40)) and not any(r.base_failed for r in got)
     assert {r.doc_id for r in quality.kept_documents(table).collect()} == set(range(40))
     assert all(abs(r.host_rate - 1 / 3) < 1e-6 for r in got)
+
+
+def test_host_decides_borderline_documents(spark):
+    plain = lambda i: " ".join(f"p{i}x{j}" for j in range(40))
+    edge = lambda i: " ".join(f"p{i}x{j}yy" for j in range(40)) + " " + "#" * 19  # noqa: E731, about 7 in 100
+    rows = [(i, "too short", "bad") for i in range(40)] + [(i, plain(i), "bad") for i in range(40, 100)] + [(i, plain(i), "good") for i in range(100, 400)]
+    rows += [(500, edge(500), "bad"), (501, edge(501), "good")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.judge(table).collect()
+    assert {r.doc_id for r in got if r.by_host} == {500} and {r.doc_id for r in got if not r.kept} == {*range(40), 500}
+    assert {r.doc_id for r in quality.kept_documents(table).collect()} == {*range(40, 400), 501}
