@@ -40,17 +40,17 @@ def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str] | Colum
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 
-def sieved(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` in two parts: those whose long ``key`` may be among the written ``keys``, and those whose key is not.
+def sieved(rows: DataFrame, keys: DataFrame, key: str, of: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``of`` (``key``) may be a ``key`` of the written ``keys``, and the others.
 
     A bitmap of SIEVE_BITS bits, 64 to a row, is broadcast: its size is bounded whatever the size of ``keys``. With
     few keys nearly all rows are spared the shuffle of a join; with very many all may go through it, and the join
     behind it gives the same result.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
-    words = keys.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("__word"))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    words = keys.select(bit(key).alias("b")).groupBy(F.expr("b div 64").alias("__word"))
     words = materialize(words.agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("__bits")))
-    marked = rows.withColumn("__bit", bit)
+    marked = rows.withColumn("__bit", bit(of or key))
     marked = marked.join(F.broadcast(words), F.expr("__bit div 64") == F.col("__word"), "left")
     hit = F.coalesce(F.getbit("__bits", F.expr("cast(__bit % 64 as int)")) == 1, F.lit(False))
     return marked.filter(hit).select(*rows.columns), marked.filter(~hit).select(*rows.columns)
