@@ -4,8 +4,11 @@ Lines become IDs; only lines that occur twice or more can be part of a repeated
 are sorted. Round k ranks the suffixes by their first 2^k lines from the pairs of ranks of the round before. Suffixes
 of equal rank form the intervals of the suffix array with a common prefix of 2^k lines or more, and the interval of
 any prefix length m is named by two overlapping ranks of the largest 2^k within m. Each interval is judged by its words
-and its copies: the fewer words a run has, the more documents must hold it. The first copy stays and the lines of the
-others go.
+and its copies: the fewer words a run has, the more documents must hold it. The first copy stays; what the intervals
+show as later copies is put together to maximal runs of lines, which go.
+
+Only the shortest prefixes that reach a rule's words are asked for, from either end: every longer repeated run is
+covered by them, their number follows the number of lines, and all holders of such a prefix ask for the same one.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.text import WORD, whole
-from parley.plans.joins import join_small
-from parley.plans.shared import materialize
+from parley.plans.joins import row_hash, sieved
+from parley.plans.shared import materialize, scratch
 
 #: Words that a repeated run of lines must have.
 RUN_WORDS = 50
@@ -32,10 +35,10 @@ RUNS = (*LONG_RUNS, (8, 3, 3), (2, 10, 10))
 DOC = ["d", "u"]
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with d (doc_id, null last) and u (a hash of the whole row): rows equal in every column are one document."""
     last = F.lit((1 << 63) - 1)
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), last), "u": F.xxhash64(*docs.columns), "__lines": F.split(whole(text), "\n", -1)})
+    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), last), "u": row_hash(docs)})
 
 
 def _named(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -47,8 +50,7 @@ def _named(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
 def islands(docs: DataFrame, text: str, run_words: int) -> DataFrame:
     """(d, u, island, idx, words, rank) of the lines in unbroken stretches of repeated lines with ``run_words`` or more."""
     line = F.col("line")
-    lines = _keyed(docs.select("doc_id", text, *[c for c in docs.columns if c not in ("doc_id", text)]), text)
-    lines = lines.select(*DOC, F.posexplode("__lines").alias("idx", "line"))
+    lines = _keyed(docs).select(*DOC, F.posexplode(F.split(whole(text), "\n", -1)).alias("idx", "line"))
     lines = materialize(lines.select(*DOC, "idx", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.regexp_count(line, F.lit(WORD)).cast("long").alias("words")))
     twice = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
     marked = lines.join(_named(twice, ["h1", "h2"], "rank"), ["h1", "h2"]).select(*DOC, "idx", "words", "rank")
@@ -91,7 +93,7 @@ def shortest_runs(rows: DataFrame, rules: tuple) -> DataFrame:
 def suffix_ranks(rows: DataFrame, levels: int) -> DataFrame:
     """(k, d, u, idx, rank) for k = 0 .. ``levels``: the rank of the suffix at ``idx`` by its first 2^k lines.
 
-    A suffix shorter than 2^k lines has no rank of that round.
+    Ranks order as the suffixes do, by their line numbers. A suffix shorter than 2^k lines has no rank of that round.
     """
     now = rows.select(*DOC, "idx", "rank")
     found = [now.withColumn("k", F.lit(0))]
@@ -111,22 +113,34 @@ def suffix_ranks(rows: DataFrame, levels: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, text: str = "text", rules: tuple = LONG_RUNS) -> DataFrame:
-    """(d, u, runs): per document the runs of lines (b, m) that go, because an earlier copy of them stays."""
-    rows = islands(docs, text, min(words for words, *_ in rules))
-    runs = materialize(shortest_runs(rows, rules))
-    longest = runs.agg(F.max("m")).first()[0] or 1
-    ranks = suffix_ranks(rows, longest.bit_length() - 1)
-    k = F.floor(F.log2(F.col("m").cast("double")) + 1e-9).cast("int")
-    asked = runs.withColumn("k", k).withColumn("b2", F.expr("b + m - shiftleft(1, k)"))
-    at = lambda c, name: ranks.select("k", *DOC, F.col("idx").alias(c), F.col("rank").alias(name))
-    asked = asked.join(at("b", "r1"), ["k", *DOC, "b"]).join(at("b2", "r2"), ["k", *DOC, "b2"])
-    asked = materialize(asked.select(*DOC, "rule", "b", "m", "r1", "r2"))
-    interval = ["rule", "m", "r1", "r2"]
-    by_doc = asked.groupBy(*interval, *DOC).agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
-    first = by_doc.groupBy(*interval).agg(F.min(F.struct(*DOC, "b")).alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
-    enough = reduce(or_, [(F.col("rule") == i) & (F.col("n") >= n) & (F.col("n_docs") >= n_docs) for i, (_, n, n_docs) in enumerate(rules)])
-    gone = asked.join(first.filter(enough), interval).filter(F.struct(*DOC, "b") != F.col("first"))
-    return materialize(gone.groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("b", "m"))).alias("runs")))
+    """(d, u, runs): per document the maximal runs of lines (b, m) that go, because earlier copies of them stay.
+
+    Written; the tables of the steps before are deleted. A document without such a run has no row.
+    """
+    with scratch(docs.sparkSession):
+        rows = islands(docs, text, min(words for words, *_ in rules))
+        runs = materialize(shortest_runs(rows, rules))
+        longest = runs.agg(F.max("m")).first()[0] or 1
+        ranks = suffix_ranks(rows, longest.bit_length() - 1)
+        k = F.floor(F.log2(F.col("m").cast("double")) + 1e-9).cast("int")
+        asked = runs.withColumn("k", k).withColumn("b2", F.expr("b + m - shiftleft(1, k)"))
+        at = lambda c, name: ranks.select("k", *DOC, F.col("idx").alias(c), F.col("rank").alias(name))
+        asked = asked.join(at("b", "r1"), ["k", *DOC, "b"]).join(at("b2", "r2"), ["k", *DOC, "b2"])
+        asked = materialize(asked.select(*DOC, "rule", "b", "m", "r1", "r2"))
+        interval = ["rule", "m", "r1", "r2"]
+        by_doc = asked.groupBy(*interval, *DOC).agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
+        first = by_doc.groupBy(*interval).agg(F.min(F.struct(*DOC, "b")).alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+        enough = reduce(or_, [(F.col("rule") == i) & (F.col("n") >= n) & (F.col("n_docs") >= n_docs) for i, (_, n, n_docs) in enumerate(rules)])
+        # Written before the join, so that both its sides are plain and a passage of very many documents is split.
+        first = materialize(first.filter(enough).select(*interval, "first"))
+        gone = asked.join(first.hint("merge"), interval).filter(F.struct(*DOC, "b") != F.col("first"))
+        gone = gone.select(*DOC, "b", (F.col("b") + F.col("m")).alias("e")).distinct()
+        # Stretches that touch or overlap are one maximal run.
+        order = Window.partitionBy(*DOC).orderBy("b", "e")
+        begins = F.coalesce(F.col("b") > F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+        gone = gone.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(order))
+        gone = gone.groupBy(*DOC, "run").agg(F.min("b").alias("b"), (F.max("e") - F.min("b")).alias("m"))
+        return materialize(gone.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("b", "m"))).alias("runs")), keep=True)
 
 
 def without_copies(docs: DataFrame, text: str = "text", rules: tuple = LONG_RUNS) -> DataFrame:
@@ -135,14 +149,18 @@ def without_copies(docs: DataFrame, text: str = "text", rules: tuple = LONG_RUNS
     A run of consecutive whole lines (split at line feeds) with the words, copies and documents of one of ``rules``
     is deleted wherever it occurs again later, in the order of doc_id (nulls last) and place; its first copy stays.
     Lines outside such runs stay as they are. Rows equal in every column are one document and keep the same lines.
-    Null and empty texts come back unchanged.
+    Null and empty texts come back unchanged; other columns go through as they are; an empty table gives no rows.
+
+    Only documents that a bounded sieve of the removals lets through are joined with them, so most texts don't move.
     """
     names = docs.columns
     gone = later_copies(docs, text, rules).withColumnsRenamed({"d": "__d", "u": "__u"})
-    rows = _keyed(docs, text)
-    rows = join_small(rows, gone, (F.col("d") == F.col("__d")) & (F.col("u") == F.col("__u")), limit=2_000)
-    kept = F.filter("__lines", lambda line, i: ~F.exists("runs", lambda r: (i >= r["b"]) & (i < r["b"] + r["m"])))
-    hit = F.col("runs").isNotNull()
-    new = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text))
-    n = F.size("__lines")
-    return rows.select(*[new.alias(c) if c == text else F.col(c) for c in names], n.cast("long").alias("__n_lines"), F.when(hit, n - F.size(kept)).otherwise(0).cast("long").alias("__n_removed"))
+    some, others = sieved(_keyed(docs), gone, "__u", "u")
+    joined = some.join(gone.hint("merge"), (F.col("d") == F.col("__d")) & (F.col("u") == F.col("__u")), "left")
+    lines = F.split(F.col(text), "\n", -1)
+    joined = joined.withColumn("__kept", F.when(F.col("runs").isNotNull(), F.filter(lines, lambda line, i: ~F.exists("runs", lambda r: (i >= r["b"]) & (i < r["b"] + r["m"])))))
+    joined = joined.withColumn("__removed", F.when(F.col("__kept").isNotNull(), F.size(lines) - F.size("__kept")).otherwise(0))
+    new = F.when(F.col("__removed") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text))
+    n = F.coalesce(F.size(F.split(whole(text), "\n", -1)), F.lit(0)).cast("long").alias("__n_lines")
+    joined = joined.select(*[new.alias(c) if c == text else F.col(c) for c in names], n, F.col("__removed").cast("long").alias("__n_removed"))
+    return joined.unionByName(others.select(*names, n, F.lit(0).cast("long").alias("__n_removed")))
