@@ -12,21 +12,26 @@ import gc
 import json
 import os
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, compress, repeat
+from itertools import compress, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces kept in the table; when there are more, those seen only once go.
-PIECES = 400_000
+PIECES = 700_000
 #: Characters of all pieces in the table; text without spaces makes long ones.
-CHARACTERS = 8_000_000
+CHARACTERS = 14_000_000
+#: Pretokens kept with their ids.
+PRETOKENS = 400_000
 #: Longer pretokens are encoded anew for each piece that holds them.
 LONG = 32
 #: Characters of text that are looked up in one go.
-AT_ONCE = 500_000
+AT_ONCE = 1_000_000
 #: Rows of a batch that are held as Python strings at a time.
 ROWS = 256
 
@@ -62,14 +67,14 @@ class WordEncoder:
         pre = kind.get("pre_tokenizer") or {}
         self.by_word = kind["model"]["type"] == "BPE" and not kind.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = Tokenizer(self.tokenizer.model)
+        self.tokenize = self.tokenizer.model.tokenize
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.letters = _byte_letters()
         self.pieces = pieces
         self._empty()
 
     def _empty(self) -> None:
-        self.of: dict = {}
+        self.of: dict = defaultdict(count().__next__)
         self.pretokens: dict = {}
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.start = np.empty(1 << 14, dtype=np.int64)
@@ -90,63 +95,68 @@ class WordEncoder:
         total = int(ends[-1]) if len(ends) else 0
         self.flat[:total] = self.flat[np.repeat(self.start[:n][keep] - (ends - size), size) + np.arange(total)]
         hits = self.hits[:n][keep] // 2
-        self.of = dict(zip(compress(self.of, keep.tolist()), range(len(size)), strict=True))
+        self.of = defaultdict(count(len(size)).__next__, zip(compress(self.of, keep.tolist()), range(len(size)), strict=True))
         self.size[: len(size)], self.start[: len(size)] = size, ends - size
         self.hits[:] = 0
         self.hits[: len(size)] = hits
         self.used = total
 
+    def _ids(self, pretoken: str | tuple[str]) -> array:
+        """Ids of one pretoken: as it stands in a text, or (a 1-tuple) in the byte-level alphabet."""
+        if isinstance(pretoken, tuple):
+            shown = pretoken[0]
+        elif pretoken.isascii() and pretoken.isprintable():
+            shown = pretoken.replace(" ", self.letters[32])
+        else:
+            shown = pretoken.encode().decode("latin-1").translate(self.letters)
+        found = array("I", [t.id for t in self.tokenize(shown)])
+        if _letters(pretoken) <= LONG:
+            self.pretokens[pretoken] = found
+        return found
+
     def _learn(self, new: list) -> None:
-        """Add pieces: a string stands for itself behind a space, a 1-tuple for the start of a text."""
-        known, parts = self.pretokens, []
+        """The ids of the pieces numbered last: a string stands for itself behind a space, a 1-tuple for the start of a text."""
+        known, ids_of, cut, sure, size, flat = self.pretokens.get, self._ids, _PRETOKENS, _SAFE, [], array("I")
         for p in new:
             text, at = (p[0], 0) if isinstance(p, tuple) else (" " + p, 1)
-            parts.append(_PRETOKENS(text) if _SAFE(text, at) else [(x,) for x, _ in self.split(text)])
-        missing = list({x for ps in parts for x in ps if x not in known})
-        for i in range(0, len(missing), 10_000):
-            some = missing[i : i + 10_000]
-            shown = [x[0] if isinstance(x, tuple) else x.encode().decode("latin-1").translate(self.letters) for x in some]
-            known.update(zip(some, [e.ids for e in self.model.encode_batch_fast(shown, add_special_tokens=False)], strict=True))
-        ids = [[y for x in ps for y in known[x]] for ps in parts]
-        for x in missing:
-            if _letters(x) > LONG:
-                del known[x]
-        size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-        at, used = len(self.of), self.used
-        self.of.update(zip(new, range(at, at + len(new)), strict=True))
-        self.chars += sum(map(_letters, new))
-        while at + len(new) > len(self.start):
+            before = len(flat)
+            for x in cut(text) if sure(text, at) else [(x,) for x, _ in self.split(text)]:
+                flat += known(x) or ids_of(x)
+            size.append(len(flat) - before)
+        at, used = len(self.of) - len(new), self.used
+        self.chars += sum(map(len, new)) + sum(len(p[0]) for p in new if isinstance(p, tuple))
+        while len(self.of) > len(self.start):
             self.start, self.size, self.hits = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.hits))
+        size = np.array(size, dtype=np.int32)
         self.size[at : at + len(new)] = size
         self.start[at : at + len(new)] = used + np.cumsum(size) - size
-        self.used += int(size.sum())
+        self.used += len(flat)
         while self.used > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[used : self.used] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=self.used - used)
+        if flat:
+            self.flat[used : self.used] = np.frombuffer(flat, dtype=np.uint32)
 
     def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.of) > self.pieces or self.chars > CHARACTERS:
             self._thin_out()
-        if len(self.pretokens) > self.pieces:
+        if len(self.pretokens) > PRETOKENS:
             self.pretokens = {}
-        words: list = []
-        counts = np.empty(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            p = t.split(" ")
-            p[0] = (p[0],)
-            words += p
-            counts[i] = len(p)
-        at = np.fromiter(map(self.of.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        unknown = np.flatnonzero(at < 0)
-        if len(unknown):
-            self._learn(list(dict.fromkeys(words[i] for i in unknown.tolist())))
-            at[unknown] = [self.of[words[i]] for i in unknown.tolist()]
+        # Every distinct word of these texts is looked up once; a word not yet known gets the next number.
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begin = cut.offsets.to_numpy()
+        words = cut.flatten().dictionary_encode()
+        distinct, index = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        old, of = len(self.of), self.of.__getitem__
+        number = np.fromiter(map(of, distinct), dtype=np.int64, count=len(distinct))
+        at = number[index]
+        at[begin[:-1]] = [of((distinct[i],)) for i in index[begin[:-1]].tolist()]
+        if len(self.of) > old:
+            self._learn(list(islice(reversed(self.of), len(self.of) - old))[::-1])
         self.hits[: len(self.of)] += np.bincount(at, minlength=len(self.of)).astype(np.int32)
         size = self.size[at].astype(np.int64)
         ends = np.cumsum(size)
         flat = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum(counts) - 1
-        return flat, np.diff(np.r_[0, ends[last]]) if len(texts) else np.empty(0, np.int64)
+        return flat, np.diff(np.r_[0, ends[begin[1:] - 1]]) if len(texts) else np.empty(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another (uint32), and the number of ids of each text. A null text has none."""
