@@ -87,18 +87,21 @@ def borderline(rate, mean):
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     """Per host of written ``measured`` with ``failed``: n documents, n_failed, ``mean`` of the corpus, and ``rate``, the failure rate shrunk to the corpus by a beta prior.
 
-    The prior is fitted by moments over all hosts: mean m of all documents, variance v of the hosts' rates weighted
-    by their size; strength m(1-m)/v - 1, at least 1. Without any spread between hosts the rate is m itself.
-    Documents without a host form one host of their own. Two numbers reach the driver, whatever the number of hosts.
+    The prior is fitted by moments over all hosts: mean m of all documents, and the spread v of the hosts' rates,
+    weighted by their size, less what chance alone gives hosts of these sizes; strength m(1-m)/v - 1, at least 1.
+    Without a spread beyond chance the rate is m itself. Documents without a host form one host of their own. Five
+    numbers reach the driver, whatever the number of hosts.
     """
     hosts = materialize(measured.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")))
     k, n = F.col("n_failed"), F.col("n_docs")
-    got = hosts.agg(F.sum(k).alias("k"), F.sum(n).alias("n"), F.sum(k * k / n).alias("k2")).first()
+    got = hosts.agg(F.sum(k).alias("k"), F.sum(n).alias("n"), F.sum(k * k / n).alias("k2"), F.sum(n * n).alias("n2"), F.count(F.lit(1)).alias("hosts")).first()
     if not got["n"]:
         return hosts.withColumns({"mean": F.lit(0.0), "rate": F.lit(0.0)})
     m = got["k"] / got["n"]
     hosts = hosts.withColumn("mean", F.lit(float(m)))
-    v = got["k2"] / got["n"] - m * m
+    chance = (got["hosts"] - 1) * m * (1 - m)  # of the sum of squares, if all hosts had the rate m
+    between = got["n"] - got["n2"] / got["n"]
+    v = (got["k2"] - got["n"] * m * m - chance) / between if between > 0 else 0.0
     if v <= 1e-12 or not 0 < m < 1:
         return hosts.withColumn("rate", F.lit(float(m)))
     strength = max(1.0, m * (1 - m) / v - 1)
