@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.text import WORD, whole
-from parley.plans.joins import join_small
-from parley.plans.shared import materialize
+from parley.plans.joins import join_small, row_hash, sieved
+from parley.plans.shared import materialize, scratch
 
 SYMBOLS = r"[#*$%&|<>]"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -116,28 +116,32 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: floa
     rate by all these rules is at most ``limit``. On a host above the corpus the limits are lower (``borderline``). An empty table gives an empty result;
     repeated rows are judged row by row; other columns are ignored.
     """
-    cols = tuple(dict.fromkeys((*keep, host)))
-    measured = materialize(measure(docs, text, cols).withColumns({"base_failed": base_failed(), "failed": failed()}))
+    out = _judged(docs, text, host, limit, tuple(dict.fromkeys((*keep, host))))
+    return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "by_host", "kept")
+
+
+def _judged(docs: DataFrame, text: str, host: str, limit: float, keep: tuple[str, ...]) -> DataFrame:
+    """All measures and verdicts with ``keep``, which holds the host; texts are read once and not written."""
+    measured = materialize(measure(docs, text, keep).withColumns({"base_failed": base_failed(), "failed": failed()}))
     rates = materialize(host_rates(measured, host).select(F.col(host).alias("__host"), F.col("rate").alias("host_rate"), "mean"))
     out = join_small(measured, rates, F.col(host).eqNullSafe(F.col("__host")))
     by_host = ~F.col("failed") & ((F.coalesce(F.col("host_rate"), F.lit(0.0)) > limit) | borderline(F.col("host_rate"), F.col("mean")))
-    kept = ~F.col("failed") & ~by_host
-    return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", by_host.alias("by_host"), kept.alias("kept"))
+    return out.withColumn("by_host", by_host).withColumn("kept", ~F.col("failed") & ~F.col("by_host"))
 
 
 def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    The verdict needs the text alone and the host, so it is computed on the row and no join by id is needed:
-    rows with equal, null or repeated ids are safe.
+    The verdict needs the text and the host alone, so rows that are equal in every column have the same one: rows are
+    named by two hashes of themselves, and null or repeated ids are safe. Only names of rejected rows are written; a
+    bounded sieve of them lets few other rows into the join that takes them out. Maps and other columns go through as
+    they are; an empty table gives no rows.
     """
-    names = docs.columns
-    measured = measure(docs.withColumn("__row", F.struct(*[F.col(c) for c in names])), text, ("__row", host))
-    # Written, as a filter would be pushed below the measures and repeat them inside one another.
-    ratios = ("n_words", "n_repeat_words", "n_symbols", "word_chars", "n_dup_lines", "n_lines")
-    measured = materialize(measured.select("__row", host, *ratios, failed().alias("failed")))
-    rates = host_rates(measured, host).filter((F.col("rate") > limit) | (F.col("rate") > F.col("mean")))
-    rates = materialize(rates.select(F.col(host).alias("__host"), "rate", "mean"))
-    out = join_small(measured.filter("not failed"), rates, F.col(host).eqNullSafe(F.col("__host")))
-    out = out.filter((F.coalesce(F.col("rate"), F.lit(0.0)) <= limit) & ~borderline(F.col("rate"), F.col("mean")))
-    return out.select(*[F.col("__row")[c].alias(c) for c in names])
+    tags = {"__tag": row_hash(docs), "__tag2": row_hash(docs, F.lit(2))}
+    tagged = docs.withColumns(tags)
+    with scratch(docs.sparkSession):
+        judged = _judged(tagged, text, host, limit, ("__tag", "__tag2", host))
+        gone = materialize(judged.filter(~F.col("kept")).select(F.col("__tag").alias("__t"), F.col("__tag2").alias("__t2")).distinct(), keep=True)
+    some, kept = sieved(tagged, gone, "__t", "__tag")
+    some = some.join(gone.hint("merge"), (F.col("__tag") == F.col("__t")) & (F.col("__tag2") == F.col("__t2")), "left_anti")
+    return kept.unionByName(some).drop(*tags)
