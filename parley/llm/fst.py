@@ -7,9 +7,12 @@ States are compiled as texts need them: a new transition is taken once from the
 is known to lead to its state, and serves every later text.
 
 Between two characters that stand side by side in no piece nothing can merge: there the state is the start state
-again. So the map from a chunk's entry state to its exit state and count is constant past its first such break;
-before it, the chunk's head is walked from the state that the chunks before it leave. Maps compose associatively,
-and a prefix scan over the chunks joins them.
+again. So the map from a chunk's entry state to its exit state and count is constant past its first such break. Only
+the chunk's head, before that, depends on the entry state. Heads of chunks that follow a break are entered in a known
+state; those that follow a chunk without any break are entered in the state that the last characters before them lead
+to, a guess that is nearly always right. All heads are walked side by side, which gives each chunk a map of the entry
+states looked at; a parallel prefix scan composes the maps of neighbouring chunks, and where a composed map leads to
+an entry state that a chunk's map lacks, that map is extended and the scan done again.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.text import whole
+from parley.llm.tokens import slices
 
 #: Characters of a chunk, and characters of text walked side by side.
-CHUNK, AT_ONCE = 1 << 12, 1 << 21
+CHUNK, AT_ONCE = 1 << 12, 1 << 20
+#: Characters before a chunk from which its entry state is guessed.
+WARM = 64
 #: Compiled states above which a task starts its automaton anew.
 MOST_STATES = 400_000
 SPACE = "▁"
@@ -155,54 +161,111 @@ class Transducer:
         out_state[order], out_count[order] = state, count
         return out_state, out_count
 
-    def count(self, texts: list[str | None], chunk: int = CHUNK) -> np.ndarray:
-        """Tokens of each text, as the library counts them."""
+    def count(self, texts: list[str | None], chunk: int = CHUNK, at_once: int = AT_ONCE) -> np.ndarray:
+        """Tokens of each text, as the library counts them. Of long texts ``at_once`` characters are looked at in one go."""
         if len(self.texts) > MOST_STATES:
             self.reset()
         normal = [self.model.normalize(t) if t else "" for t in texts]
-        sizes = np.array([len(t) for t in normal], dtype=np.int64)
-        codes = np.frombuffer("".join(normal).encode("utf-32-le", "surrogatepass"), "<u4")
         total = np.zeros(len(texts), dtype=np.int64)
+        state, before = np.zeros_like(total), np.zeros_like(total)  # where a text's part before left off
+        rows, at = np.arange(len(texts)), 0
+        while len(rows):
+            tokens, state[rows], before[rows] = self._parts([normal[i][at : at + at_once] for i in rows], state[rows], before[rows], chunk)
+            total[rows] += tokens
+            at += at_once
+            rows = np.array([i for i in rows.tolist() if len(normal[i]) > at], dtype=np.int64)
+        return total
+
+    def _parts(self, parts: list[str], entry: np.ndarray, before: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, exit states and last character classes of parts of texts, entered in states behind characters ``before``."""
+        sizes = np.array([len(t) for t in parts], dtype=np.int64)
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+        total = np.zeros(len(parts), dtype=np.int64)
         if not len(codes):
-            return total
+            return total, entry, before
         klasses = self.klass[codes].astype(np.int64)
-        n = len(klasses)
-        ends = np.cumsum(sizes)
-        # Breaks: nothing before them reaches past them. Every text begins at one.
+        n, ends, some = len(klasses), np.cumsum(sizes), np.flatnonzero(sizes)
+        # Breaks: nothing before them reaches past them. Class 0, before a text, stands beside nothing in a piece.
         fresh = np.ones(n, dtype=bool)
         fresh[1:] = ~self.inside[klasses[:-1] * self.n_klass + klasses[1:]]
-        fresh[(ends - sizes)[sizes > 0]] = True
-        # Chunks begin at every text and every ``chunk`` characters inside it.
-        of_text = np.repeat(np.arange(len(texts)), -(-sizes // chunk))
+        starts = (ends - sizes)[some]
+        fresh[starts] = ~self.inside[before[some] * self.n_klass + klasses[starts]]
+        # Chunks begin at every part and every ``chunk`` characters inside it.
+        of_part = np.repeat(np.arange(len(parts)), -(-sizes // chunk))
         begin = np.concatenate([np.arange(e - s, e, chunk) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True) if s])
-        end = np.minimum(np.r_[begin[1:], n], ends[of_text])
+        end = np.minimum(np.r_[begin[1:], n], ends[of_part])
         breaks = np.flatnonzero(fresh)
         first = np.searchsorted(breaks, begin)
-        head = np.minimum(np.where(first < len(breaks), breaks[np.minimum(first, len(breaks) - 1)], n), end)
-        # Stretches between breaks are walked from the start state, cut at chunk ends: a chunk's last one leaves its exit state.
+        head = end.copy()
+        inner = first < len(breaks)
+        head[inner] = np.minimum(breaks[first[inner]], end[inner])
+        # Stretches from breaks are walked from the start state, cut at chunk ends: a chunk's last one leaves its exit state.
         cuts = np.unique(np.concatenate((breaks, end)))
         cuts = cuts[cuts < n]
         stretch = cuts[fresh[cuts]]
         stop = np.searchsorted(cuts, stretch, side="right")
-        stop = np.where(stop < len(cuts), cuts[np.minimum(stop, len(cuts) - 1)], n)
+        stop = np.where(stop < len(cuts), cuts[np.minimum(stop, max(len(cuts) - 1, 0))], n) if len(cuts) else np.full(len(stretch), n)
         state, tokens = self.walk(klasses, stretch, stop - stretch, np.zeros(len(stretch), dtype=np.int64))
-        np.add.at(total, of_text[np.searchsorted(begin, stretch, side="right") - 1], tokens)
-        # The maps' constant parts: chunks with a break leave the state of their last stretch.
-        last = np.searchsorted(stretch, end) - 1
-        constant = head < end
-        leaves = np.where(constant, state[np.maximum(last, 0)], 0)
-        # Scan: the heads of chunks are walked from what the chunk before leaves; one without a break passes it on.
+        np.add.at(total, of_part[np.searchsorted(begin, stretch, side="right") - 1], tokens)
+        fixed = head < end  # such a chunk leaves one state, however it is entered
+        leaves = np.zeros(len(begin), dtype=np.int64)
+        leaves[fixed] = state[np.searchsorted(stretch, end[fixed]) - 1]
+        self._heads(klasses, begin, head, fixed, leaves, of_part, entry, total)
+        out = entry.copy()
+        out[of_part] = leaves  # of a part's chunks the last one counts
+        last = before.copy()
+        last[some] = klasses[ends[some] - 1]
+        return total, out, last
+
+    def _heads(self, klasses, begin, head, fixed, leaves, of_part, entry, total) -> None:
+        """Add the tokens of all chunks' heads to ``total`` and put the states that chunks without a break leave into ``leaves``."""
         carried = np.flatnonzero(head > begin)
-        ready = carried[constant[carried - 1]]
-        while len(ready):
-            leaving, tokens = self.walk(klasses, begin[ready], head[ready] - begin[ready], leaves[ready - 1])
-            np.add.at(total, of_text[ready], tokens)
-            through = ready[~constant[ready]]
-            leaves[through] = leaving[~constant[ready]]
-            nxt = through + 1
-            nxt = nxt[nxt < len(begin)]
-            ready = nxt[head[nxt] > begin[nxt]]
-        return total
+        if not len(carried):
+            return
+        opens = (carried == 0) | (of_part[carried] != of_part[carried - 1])
+        known = opens | fixed[carried - 1]
+        enter = np.where(opens, entry[of_part[carried]], leaves[carried - 1])
+        guess = carried[~known]
+        warm = np.minimum(WARM, begin[guess] - begin[guess - 1])
+        enter[~known] = self.walk(klasses, begin[guess] - warm, warm, np.zeros(len(guess), dtype=np.int64))[0]
+        left, tokens = self.walk(klasses, begin[carried], head[carried] - begin[carried], enter)
+        maps = [{e: (x, t)} for e, x, t in zip(enter.tolist(), left.tolist(), tokens.tolist(), strict=True)]
+        runs = np.split(np.arange(len(carried)), np.flatnonzero(known)[1:])
+        while runs:
+            again, lacking = [], []
+            for run in runs:
+                own = [maps[i] for i in run]
+                ways = [prefix.get(int(enter[run[0]])) for prefix in scan(own)]
+                known_to = next((j for j, w in enumerate(ways) if w is None), len(run))
+                if known_to < len(run):
+                    again.append(run)
+                    lacking.append((run[known_to], ways[known_to - 1][0]))
+                    continue
+                total[of_part[carried[run[0]]]] += ways[-1][1]
+                for j, w in zip(run.tolist(), ways, strict=True):
+                    if not fixed[carried[j]]:
+                        leaves[carried[j]] = w[0]
+            if lacking:
+                at = carried[[i for i, _ in lacking]]
+                states = np.array([s for _, s in lacking], dtype=np.int64)
+                left, tokens = self.walk(klasses, begin[at], head[at] - begin[at], states)
+                for (i, s), x, t in zip(lacking, left.tolist(), tokens.tolist(), strict=True):
+                    maps[i][s] = (x, t)
+            runs = again
+
+
+def composed(a: dict, b: dict) -> dict:
+    """The map of two neighbouring chunks: entry state to (exit state, tokens), where ``b`` knows the state that ``a`` leaves."""
+    return {e: (b[x][0], n + b[x][1]) for e, (x, n) in a.items() if x in b}
+
+
+def scan(maps: list[dict]) -> list[dict]:
+    """Of chunk maps in order, the composed map of every prefix, in rounds of doubling reach: composition is associative."""
+    step = 1
+    while step < len(maps):
+        maps = [*maps[:step], *(composed(a, b) for a, b in zip(maps, maps[step:], strict=False))]
+        step *= 2
+    return maps
 
 
 @lru_cache(maxsize=1)
@@ -222,7 +285,7 @@ def counted(docs: DataFrame, path: str, limit: int = 4096, text: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = transducer(path)
-        for b in batches:
+        for b in slices(batches):
             column = b.column(b.num_columns - 1)
             texts = column.to_pylist()
             n_bytes = np.array([len(t.encode()) for t in texts], dtype=np.int64)

@@ -1,8 +1,9 @@
 """License scans by diagonal voting, with DataFrame functions alone.
 
 All rolling word k-grams of a text are joined, as hashes, to the k-grams of license templates. A hit at word ``pos``
-that matches template place ``at`` votes for the diagonal pos - at; a text that holds the template, or a slightly
-edited copy, gathers its votes on one diagonal or a few neighbouring ones.
+that matches template place ``at``, word for word, votes for the diagonal pos - at; a text that holds the template,
+or an edited copy, gathers its votes on one diagonal or a few neighbouring ones, or on some whose stretches of the
+template follow one another.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 5
 #: Diagonals so near each other belong together, and the share of a template's k-grams that a span must hold.
 NEAR, COVER = 3, 0.5
+#: Words that may stand between two stretches of one copy, and k-grams that a stretch has at least.
+BETWEEN, STRETCH = 20, 2
 
 # The phrases and labels of the base scan.
 PHRASES = {
@@ -42,6 +45,21 @@ TEMPLATES = {
 }
 
 
+# Further paragraphs of the same licenses.
+PARAGRAPHS = [
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+]
+
+
+def wordings(templates: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(label, text) of ``templates``, or of all wordings known here."""
+    return list(templates.items()) if templates else [*TEMPLATES.items(), *PARAGRAPHS]
+
+
 def words_text(text: str = "text") -> Column:
     """The text's words, A-Z lowered, one space before and behind each: " a b " (no word: a single space)."""
     lowered = F.translate(whole(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -53,17 +71,19 @@ def _grams(words: Column, k: int) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
 
 
-def template_grams(spark: SparkSession, templates: dict[str, str], k: int = K) -> DataFrame:
-    """(gram, template, at, n_grams): a few hundred rows, fixed by the list of templates."""
-    t = spark.createDataFrame([(i, x) for i, x in enumerate(templates.values())], "template int, text string")
-    t = t.select("template", _grams(F.split(F.trim(words_text()), " "), k).alias("g"))
-    return t.select("template", F.size("g").alias("n_grams"), F.posexplode("g").alias("at", "gram"))
+def template_grams(spark: SparkSession, known: list[tuple[str, str]], k: int = K) -> DataFrame:
+    """(gram, template, at, n_grams, own): a few hundred rows, fixed by the list; own are the gram's words."""
+    t = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(known)], "template int, text string")
+    w = F.split(F.trim(words_text()), " ")
+    t = t.select("template", w.alias("w"), _grams(w, k).alias("g"))
+    t = t.select("template", "w", F.size("g").alias("n_grams"), F.posexplode("g").alias("at", "gram"))
+    return t.select("template", "n_grams", "at", "gram", F.slice("w", F.col("at") + 1, k).alias("own"))
 
 
-def marks(templates: dict[str, str], k: int = K) -> list[str]:
+def marks(known: list[tuple[str, str]], k: int = K) -> list[str]:
     """For every k-gram of the templates its longest word: a text without any of them holds no such k-gram."""
     found = set()
-    for t in templates.values():
+    for _, t in known:
         w = [x for x in re.split(SEPARATORS, t.lower()) if x]
         found |= {max(w[i : i + k], key=len) for i in range(len(w) - k + 1)}
     return sorted(found)
@@ -73,7 +93,8 @@ def spans(docs: DataFrame, keep: str, text: str = "text", templates: dict[str, s
     """(keep, label, first, last, cover): verified template spans of the documents, first and last in words.
 
     ``docs`` needs columns ``keep`` (which names the row) and ``text``. The template side of the join is the fixed
-    list; the text side is filtered by it in place, so only hits are shuffled.
+    list; the text side is filtered by it in place, so only hits are shuffled. A null text has no span; rows of one
+    name are taken together; an empty table gives no rows.
     """
     words = F.split(F.trim(words_text(text)), " ")
     return word_spans(docs.select(keep, words.alias("w")), keep, templates, k)
@@ -81,20 +102,29 @@ def spans(docs: DataFrame, keep: str, text: str = "text", templates: dict[str, s
 
 def word_spans(words: DataFrame, keep: str, templates: dict[str, str] | None = None, k: int = K) -> DataFrame:
     """``spans`` of rows (keep, w) whose texts are already words."""
-    templates = templates or TEMPLATES
-    known = F.broadcast(template_grams(words.sparkSession, templates, k))
-    grams = words.select(keep, F.posexplode(_grams(F.col("w"), k)).alias("pos", "gram"))
-    hits = grams.join(known, "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
+    wording = wordings(templates)
+    known = F.broadcast(template_grams(words.sparkSession, wording, k))
+    grams = words.select(keep, "w", _grams(F.col("w"), k).alias("g")).select(keep, "w", F.posexplode("g").alias("pos", "gram"))
+    # A hit is verified word by word where it is found; words go no further.
+    hits = grams.join(known, "gram").filter(F.slice("w", F.col("pos") + 1, k) == F.col("own"))
+    hits = hits.select(keep, "template", "n_grams", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
     votes = hits.groupBy(keep, "template", "n_grams", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    # Neighbouring diagonals are one stretch.
     order = Window.partitionBy(keep, "template").orderBy("diagonal")
     gap = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > NEAR).cast("int"), F.lit(0))
-    merged = votes.withColumn("gap", gap).withColumn("run", F.sum("gap").over(order))
-    merged = merged.groupBy(keep, "template", "n_grams", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"), F.min("lo").alias("first"), (F.max("hi") + (k - 1)).alias("last"))
-    # Verified: enough of the template in order, within a span not much longer than the template itself.
+    stretch = votes.withColumn("gap", gap).withColumn("run", F.sum("gap").over(order))
+    stretch = stretch.groupBy(keep, "template", "n_grams", "run").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    stretch = stretch.filter(F.size("ats") >= F.least(F.lit(STRETCH), F.col("n_grams")))
+    # Stretches that follow one another in the text and in the template, with few words between, are one copy.
+    order = Window.partitionBy(keep, "template").orderBy("lo", "hi")
+    follows = (F.col("lo") - F.lag("hi").over(order) <= BETWEEN + k) & (F.array_min("ats") > F.array_min(F.lag("ats").over(order)))
+    copy = stretch.withColumn("begins", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("copy", F.sum("begins").over(order))
+    copy = copy.groupBy(keep, "template", "n_grams", "copy").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"), F.min("lo").alias("first"), (F.max("hi") + (k - 1)).alias("last"))
+    # Verified: enough of the template, within a span not much longer than the template itself.
     cover = F.col("n") / F.col("n_grams")
     fits = (cover >= COVER) & (F.col("last") - F.col("first") < 2 * (F.col("n_grams") + k))
-    label = F.element_at(F.array(*[F.lit(x) for x in templates]), F.col("template") + 1)
-    return merged.filter(fits).select(keep, label.alias("label"), "first", "last", cover.alias("cover"))
+    label = F.element_at(F.array(*[F.lit(x) for x, _ in wording]), F.col("template") + 1)
+    return copy.filter(fits).select(keep, label.alias("label"), "first", "last", cover.alias("cover"))
 
 
 def _pattern(phrases: list[str]) -> str:
@@ -128,7 +158,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(found, words_in(before_last)).alias("last_word"),
         F.when(found, named).otherwise(F.array().cast("array<string>")).alias("__base"),
         # The words go on only where a template's k-gram is possible, so texts are read once.
-        F.when(F.arrays_overlap("__w", F.array(*map(F.lit, marks(TEMPLATES)))), F.col("__w")).alias("__w"),
+        F.when(F.arrays_overlap("__w", F.array(*map(F.lit, marks(wordings())))), F.col("__w")).alias("__w"),
     )
     rows = materialize(rows)
     more = word_spans(rows.filter("__w is not null").select("__key", F.col("__w").alias("w")), "__key")

@@ -1,10 +1,10 @@
-"""SimHash near-duplicates: block keys deal fingerprints out, pivot distance tables discard pairs, survivors are verified.
+"""SimHash near-duplicates by pivot distance tables: precomputed distances deal pairs out and discard them, survivors are verified.
 
-At most ``LIMIT`` differing bits leave two of four 16-bit blocks equal, so six keys of two blocks each bring every
-linked pair together. Inside a key each fingerprint has a row of Hamming distances to fixed reference fingerprints
-(its pivot distances); by the triangle inequality a pair whose rows differ by more than ``LIMIT`` anywhere can't be
-linked. A key with very many fingerprints is cut into overlapping cells of pivot distances first, so no task holds
-an unbounded group. A group gives a spanning forest of its links, never all pairs.
+Every distinct fingerprint has a row of Hamming distances to fixed reference fingerprints, written once. By the
+triangle inequality two linked fingerprints differ by at most ``LIMIT`` in every one of these coordinates. So the
+space of coordinates is cut into overlapping cells, pivot after pivot and only where a cell still holds too many:
+linked fingerprints share a cell. Inside a cell, pairs with a larger coordinate difference are discarded and the
+rest are verified by their bits. A cell gives a spanning forest of its links, never all pairs.
 
 For a similarity of whole shingle sets (``one_of_each`` with ``similarity``) the bits that differ are too many for
 equal blocks or for pivots, so texts meet by shingles: of two sets with Jaccard similarity t, each holds a common
@@ -13,9 +13,9 @@ shingle among its first n - ceil(t n) + 1 in any fixed order. Bits and sizes dis
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.text import whole
-from parley.plans.joins import join_small
-from parley.plans.shared import materialize
+from parley.llm.tokens import slices
+from parley.plans.joins import join_small, row_hash, sieved
+from parley.plans.shared import materialize, scratch
 
 LIMIT = 2
 SHINGLE = 3
-BLOCKS = 4
 #: For near copies by similarity: words of a shingle, the similarity, and a bit limit for it. At similarity 0.8 about
 #: ten bits differ, with a deviation of three.
 WORDS_NEAR, SIMILARITY, LIMIT_NEAR = 5, 0.8, 22
-#: Fingerprints of one key above which it is cut into cells, and the cells' width in bits of distance.
-HOT_KEY, CELL = 2000, 6
+#: Fingerprints of a cell above which it is cut by further pivots, the cells' width in bits of distance, and pivots a cut.
+HOT_KEY, CELL, AT_ONCE = 1000, 6, 2
 N_PIVOTS = 24
-#: Of the pivots, so many cut hot keys into cells.
-CELL_PIVOTS = 4
+#: Pairs of a cell that are looked at together: so many first fingerprints with all their candidates.
+ROWS = 256
 
 
 def pivots() -> np.ndarray:
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     schema = slim.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = pa.array(fingerprint(b.column(b.num_columns - 1).to_pylist(), shingle).view(np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=[*keep, "fp"])
 
@@ -93,73 +93,97 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def group_links(fp: np.ndarray, limit: int = LIMIT) -> list[tuple[int, int]]:
-    """Links (i, j) that join the fingerprints of one group into the components that all its links give."""
-    table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
+def group_links(fp: np.ndarray, table: np.ndarray, limit: int = LIMIT) -> list[tuple[int, int]]:
+    """Links (i, j) that join the fingerprints of one cell into the components that all its links give.
+
+    ``table`` has their pivot distances. Candidates are a stretch of the order by the first pivot; the maximum
+    coordinate difference discards pairs, some pivots at a time, and the bits decide. A part of the pairs is held
+    at a time, so memory follows the cell and not its pairs.
+    """
     order = np.argsort(table[:, 0], kind="stable")
     fp, table = fp[order], table[order]
     parent, links = np.arange(len(fp)), []
     ends = np.searchsorted(table[:, 0], table[:, 0] + limit, side="right")
-    for i in range(len(fp)):
-        near = np.arange(i + 1, ends[i])
-        for k in range(1, N_PIVOTS, 4):  # the largest coordinate difference, four pivots at a time
-            if not len(near):
-                break
-            near = near[(np.abs(table[near, k : k + 4] - table[i, k : k + 4]) <= limit).all(axis=1)]
-        for j in near[np.bitwise_count(fp[near] ^ fp[i]) <= limit]:
-            a, b = _find(parent, i), _find(parent, int(j))
-            if a != b:
-                parent[b] = a
-                links.append((int(order[i]), int(order[j])))
+    for s in range(0, len(fp), ROWS):
+        e = min(s + ROWS, len(fp))
+        for c in range(s, int(ends[e - 1]), 1 << 13):
+            near = np.ones((e - s, min(c + (1 << 13), int(ends[e - 1])) - c), dtype=bool)
+            for k in range(6):
+                near &= np.abs(table[s:e, k, None] - table[None, c : c + near.shape[1], k]) <= limit
+            i, j = np.nonzero(near)
+            i, j = i + s, j + c
+            i, j = i[j > i], j[j > i]
+            for k in range(6, N_PIVOTS, 6):
+                ok = (np.abs(table[i, k : k + 6] - table[j, k : k + 6]) <= limit).all(axis=1)
+                i, j = i[ok], j[ok]
+            ok = np.bitwise_count(fp[i] ^ fp[j]) <= limit
+            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                a, b = _find(parent, x), _find(parent, y)
+                if a != b:
+                    parent[b] = a
+                    links.append((int(order[x]), int(order[y])))
     return links
 
 
-def _combined(cells, span):
-    """Every cell number so far, with every number of one more pivot behind it."""
-    return F.flatten(F.transform(cells, lambda c: F.transform(span, lambda s: c * 64 + s)))
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """``fp`` and ``table``, its distances to all pivots as one byte each."""
+    return distinct.select("fp", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p)))).cast("tinyint") for p in pivots().view(np.int64)]).alias("table"))
+
+
+def cells(table: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(cell, fp, table): the written pivot ``table`` dealt into cells, so that linked fingerprints share one.
+
+    Distances of linked ones differ by ``limit`` at most; each takes all cells within half of that of its own, so
+    both take the cell of a distance between theirs. A cell with more than HOT_KEY is cut again by the next pivots
+    until it is small or the pivots are used up; then its fingerprints are all within a few bits of each other.
+    """
+    reach = (limit + 1) // 2
+    now, small = table.withColumn("cell", F.lit(0).cast("long")), []
+    for i in range(0, N_PIVOTS, AT_ONCE):
+        hot = materialize(now.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select(F.col("cell").alias("hot")))
+        if hot.isEmpty():
+            break
+        marked = join_small(now, hot, F.col("cell") == F.col("hot"))
+        small.append(marked.filter("hot is null").select("cell", "fp", "table"))
+        cut = F.array(F.col("cell"))
+        for k in range(i, i + AT_ONCE):
+            d = F.get("table", F.lit(k)).cast("int") + 64
+            span = F.sequence(F.floor((d - reach) / CELL), F.floor((d + reach) / CELL))
+            cut = _within(cut, span)  # a hash names the cell in the cell; should two names agree, more pairs are looked at
+        now = materialize(marked.filter("hot is not null").select("fp", "table", F.explode(cut).alias("cell")))
+    for x in small:
+        now = now.unionByName(x)
+    return now.select("cell", "fp", "table")
+
+
+def _within(outer, span):
+    return F.flatten(F.transform(outer, lambda c: F.transform(span, lambda s: F.xxhash64(c, s))))
 
 
 def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) between fingerprints of a written table with one row per distinct ``fp``."""
-    blocks = max(BLOCKS, limit + 2)  # so many that two are equal
-    if blocks > 32:
-        raise ValueError("blocks of one bit tell nothing")
-    at = [64 * i // blocks for i in range(blocks + 1)]
-    width = max(z - a for a, z in zip(at, at[1:], strict=False))
-    block = [F.shiftrightunsigned("fp", at[i]).bitwiseAND(F.lit((1 << at[i + 1] - at[i]) - 1)) for i in range(blocks)]
-    keys = [F.shiftleft(block[i] * 1, width).bitwiseOR(block[j]) + F.lit(n << 2 * width) for n, (i, j) in enumerate(combinations(range(blocks), 2))]
-    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select(F.col("key").alias("hot")))
-    if hot.isEmpty():
-        dealt = keyed.withColumn("cell", F.lit(0).cast("long"))
-    else:
-        # Two fingerprints within the limit share the cell of a distance between theirs, if each takes all within limit / 2.
-        reach = (limit + 1) // 2
-        cells = F.array(F.lit(0).cast("long"))
-        for p in pivots()[:CELL_PIVOTS].view(np.int64):
-            d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p))))
-            span = F.sequence(F.floor((d - reach + 64) / CELL), F.floor((d + reach + 64) / CELL))
-            cells = _combined(cells, span)
-        marked = join_small(keyed, hot, F.col("key") == F.col("hot"))
-        dealt = marked.select("fp", "key", F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)).alias("cell"))
-    dealt = dealt.select("key", "cell", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    dealt = cells(materialize(pivot_table(distinct)), limit).repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        rest = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, N_PIVOTS), np.int8))
         for b in _and_end(batches):
-            got = [np.concatenate((r, b.column(i).to_numpy())) for i, r in enumerate(rest)] if b is not None else rest
-            key, cell, fp = got
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]) if len(key) else np.empty(0, np.int64)
+            got = rest
+            if b is not None:
+                new = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).flatten().to_numpy().reshape(-1, N_PIVOTS))
+                got = tuple(np.concatenate(x) for x in zip(rest, new, strict=True))
+            cell, fp, table = got
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
             if b is not None and len(starts):
-                whole_ = starts[-1]  # the last group may go on in the next batch
-                rest, starts, fp = [x[whole_:] for x in got], starts[:-1], fp[:whole_]
+                whole_ = starts[-1]  # the last cell may go on in the next batch
+                rest, starts, fp = tuple(x[whole_:] for x in got), starts[:-1], fp[:whole_]
             sizes = np.diff(np.r_[starts, len(fp)])
             u = fp.view(np.uint64)
-            two = starts[sizes == 2]
+            two = starts[sizes == 2]  # many cells hold two: one step for all of them
+            two = two[(np.abs(table[two] - table[two + 1]) <= limit).all(axis=1)]
             two = two[np.bitwise_count(u[two] ^ u[two + 1]) <= limit]
             a, z = [fp[two]], [fp[two + 1]]
-            for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                if found := group_links(u[s : s + n], limit):
+            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                if found := group_links(u[s : s + n], table[s : s + n], limit):
                     pairs = np.array(found) + s
                     a.append(fp[pairs[:, 0]])
                     z.append(fp[pairs[:, 1]])
@@ -181,54 +205,67 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of large-star and small-star steps, each written to the shared folder; they end when a round changes
     nothing. Hot centres are joined by shuffles that adaptive execution can split; counts alone reach the driver.
     """
-    state = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    while True:
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = now
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = large.unionByName(least.filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+    spark = edges.sparkSession
+    with scratch(spark):
+        state, mark = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+        while True:
+            now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == mark:
+                found = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+                return materialize(found.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), keep=True)
+            mark = now
+            both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+            large = large.unionByName(least.filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            state = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
 
 
 def classes(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(fp, root) for every distinct fingerprint of a written table: root is the smallest that it reaches by links."""
-    distinct = materialize(prints.select("fp").distinct())
-    found = components(materialize(links(distinct, limit)))
-    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    """Written (fp, root) for every distinct fingerprint of a written table: root is the smallest that it reaches by links."""
+    with scratch(prints.sparkSession):
+        distinct = materialize(prints.select("fp").distinct())
+        found = components(materialize(links(distinct, limit)))
+        return materialize(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), keep=True)
+
 
+def shingle_sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int, similarity: float | None = None) -> DataFrame:
+    """``keep``, name (a hash of the text's words), fp, size and grams of every whole text.
 
-def shingle_sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int) -> DataFrame:
-    """``keep``, name (a hash of the text's words), fp and grams (its distinct shingle hashes in order) of every whole text."""
+    ``grams`` are its distinct shingle hashes in order, and ``size`` their number. With ``similarity`` only the first
+    of them are given, of which a text of that similarity holds one among its own first.
+    """
     slim = docs.select(*keep, whole(text).alias("__text"))
-    schema = slim.select(*keep).withColumns({"name": F.lit(0).cast("long"), "fp": F.lit(0).cast("long"), "grams": F.array().cast("array<bigint>")}).schema
+    long = F.lit(0).cast("long")
+    schema = slim.select(*keep).withColumns({"name": long, "fp": long, "size": long, "grams": F.array().cast("array<bigint>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for whole_ in batches:
-            for k in range(0, whole_.num_rows, 256):
-                b = whole_.slice(k, 256)
-                names, fps, sets = [], [], []
-                for t in b.column(b.num_columns - 1).to_pylist():
-                    words = _words(t)
-                    h = _hashes(words, shingle) if words else np.empty(0, np.uint64)
-                    names.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
-                    fps.append(_simhash(h) if words else 0)
-                    sets.append(np.unique(h.view(np.int64)))
-                grams = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets)))
-                longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (names, fps)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *longs, grams], names=[*keep, "name", "fp", "grams"])
+        for b in slices(batches):
+            names, fps, sizes, sets = [], [], [], []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                words = _words(t)
+                h = _hashes(words, shingle) if words else np.empty(0, np.uint64)
+                names.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
+                fps.append(_simhash(h) if words else 0)
+                distinct = np.unique(h.view(np.int64))
+                sizes.append(len(distinct))
+                sets.append(distinct if similarity is None else distinct[: _first(len(distinct), similarity)])
+            grams = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets)))
+            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (names, fps, sizes)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *longs, grams], names=[*keep, "name", "fp", "size", "grams"])
 
     return slim.mapInArrow(run, schema)
 
 
+def _first(n: int, similarity: float) -> int:
+    """Of ``n`` shingles in a fixed order, how many must be looked at to meet every set of this similarity."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
 def _near(fp, size, i, j, limit: int, similarity: float):
     """Which of the pairs (i, j) sizes and bits let pass."""
     small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
@@ -293,38 +330,43 @@ def _pairs(out: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The written ``pairs`` whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
-    asked = materialize(pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct())
-    held = join_small(sets.select("name", "grams"), asked, F.col("name") == F.col("asked"), "left_semi")
-    held = materialize(held.groupBy("name").agg(F.first("grams").alias("grams")))
+def similar_pairs(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The written ``pairs`` whose shingle sets, given by ``sets_of`` for a table of names, have this Jaccard similarity or more."""
+    asked = materialize(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct())
+    held = materialize(sets_of(asked))
     side = lambda c: held.select(F.col("name").alias(c), F.col("grams").alias(f"grams_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common, n = F.size(F.array_intersect("grams_a", "grams_b")), F.size("grams_a") + F.size("grams_b")
     return materialize(both.filter(common >= F.lit(similarity) * (n - common) - 1e-9).select("a", "b"))
 
 
-def similar_classes(sets: DataFrame, limit: int, similarity: float) -> DataFrame:
-    """(name, root) for every distinct name of a written table of shingle sets: root is the smallest it reaches.
+def similar_classes(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], limit: int, similarity: float) -> DataFrame:
+    """Written (name, root) for every distinct name of a written table of ``shingle_sets``: root is the smallest it reaches.
 
-    First the pairs of a linear scan of each meeting are verified, then all others that these have not joined.
+    Tokens are counted first; a bounded sieve of those that stand in two texts lets few others into the join by
+    token. First the pairs of a linear scan of each meeting are verified, then all others that these have not joined.
     """
-    first = F.slice("grams", 1, (F.size("grams") - F.ceil(F.size("grams") * similarity - 1e-9) + 1).cast("int"))
-    texts = sets.groupBy("name").agg(F.first(F.struct("fp", F.size("grams").cast("long").alias("size"), first.alias("first"))).alias("x"))
-    tokens = texts.select("name", F.explode("x.first").alias("token"), "x.size", "x.fp", F.col("name").alias("root"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    tokens = materialize(tokens)
-    tokens = materialize(tokens.join(shared, "token", "left_semi"))
-    tried = materialize(meetings(tokens, limit, similarity, every=False))
-    links_ = similar_pairs(tried, sets, similarity)
-    found = materialize(components(links_).distinct())
-    known = tokens.drop("root").join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    others = materialize(meetings(known, limit, similarity, every=True).join(tried, ["a", "b"], "left_anti"))
-    if not others.isEmpty():
-        more = similar_pairs(others, sets, similarity)
-        found = materialize(components(links_.unionByName(more)).distinct())
-    names = sets.select("name").distinct()
-    return names.join(found, names["name"] == found["node"], "left").select("name", F.coalesce("root", "name").alias("root"))
+    with scratch(prints.sparkSession):
+        # Copies of a text are one text: all its rows but the one of the least tag are left out.
+        slim = materialize(prints.select("name", "__tag"))
+        least = slim.groupBy("name").agg(F.min("__tag").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        copies = materialize(slim.join(materialize(least).hint("merge"), "name").filter("__tag <> least").select("name", F.col("__tag").alias("__copy")).distinct())
+        some, texts = sieved(prints, copies, "__copy", "__tag")
+        texts = texts.unionByName(some.join(copies.hint("merge"), (some["name"] == copies["name"]) & (F.col("__tag") == F.col("__copy")), "left_anti"))
+        tokens = texts.select("name", "size", "fp", F.explode("grams").alias("token"))
+        shared = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"))
+        tokens = sieved(tokens, shared, "token")[0]
+        tokens = materialize(tokens.join(shared.hint("merge"), "token", "left_semi").withColumn("root", F.col("name")))
+        tried = materialize(meetings(tokens, limit, similarity, every=False))
+        links_ = similar_pairs(tried, sets_of, similarity)
+        found = materialize(components(links_).distinct())
+        known = tokens.drop("root").join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+        others = materialize(meetings(known, limit, similarity, every=True).join(tried, ["a", "b"], "left_anti"))
+        if not others.isEmpty():
+            more = similar_pairs(others, sets_of, similarity)
+            found = materialize(components(links_.unionByName(more)).distinct())
+        names = slim.select("name").distinct()
+        return materialize(names.join(found, names["name"] == found["node"], "left").select("name", F.coalesce("root", "name").alias("root")), keep=True)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
@@ -335,7 +377,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT, shi
     component; other columns are ignored; an empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, text, shingle=shingle))
-    names = classes(prints, limit)
+    names = classes(prints, limit)  # pivot tables, cells, verified links, components
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = names.join(least, "fp")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -347,23 +389,40 @@ def one_of_each(docs: DataFrame, text: str = "text", limit: int = LIMIT, shingle
     """The rows of ``docs`` with one document of each class: the one with the smallest doc_id (nulls last), then text.
 
     Links are at most ``limit`` differing bits; with ``similarity``, also that Jaccard similarity of the sets of shingles.
-    Rows that are equal in every column are one document, of which one row stays.
+    Rows that are equal in every column are one document, of which one row stays. Null and empty texts are one class;
+    other columns, maps too, go through as they are; an empty table gives no rows.
+
+    What goes is looked up: a bounded sieve of the rows to drop lets only few others into that join, so most texts
+    don't move.
     """
-    names = docs.columns
-    tag = F.xxhash64(*names)
-    tagged = docs.withColumn("__tag", tag)
-    if similarity is None:
-        key, prints = "fp", materialize(fingerprints(tagged, text, ("doc_id", "__tag"), shingle))
-        table = classes(prints, limit)
-    else:
-        key, prints = "name", materialize(shingle_sets(tagged, text, ("doc_id", "__tag"), shingle))
-        table = similar_classes(prints, limit, similarity)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__tag")))
-    firsts = prints.select("doc_id", "__tag", key).join(table, key).groupBy("root").agg(best.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.__tag").alias("__x"))
-    firsts = materialize(firsts)
-    kept = tagged.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__x")), "left_semi")
-    twice = materialize(prints.groupBy("doc_id", "__tag").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("__tag").alias("__x")))
+    tagged = docs.withColumn("__tag", row_hash(docs))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__x"))
+    with scratch(docs.sparkSession):
+        if similarity is None:
+            key, prints = "fp", materialize(fingerprints(tagged, text, ("doc_id", "__tag"), shingle))
+            table = classes(prints, limit)
+        else:
+            key, prints = "name", materialize(shingle_sets(tagged, text, ("doc_id", "__tag"), shingle, similarity))
+
+            def sets_of(names: DataFrame) -> DataFrame:
+                """Whole shingle sets of some texts, made anew from one row of each: sets of all texts are never written."""
+                rows = prints.select("name", "__tag").join(names, "name").groupBy("name").agg(F.min("__tag").alias("__x"))
+                rows = materialize(rows)
+                some = sieved(tagged, rows, "__x", "__tag")[0].join(rows.hint("merge"), F.col("__tag") == F.col("__x")).select("__tag", text)
+                return shingle_sets(some.repartition("__tag"), text, (), shingle).groupBy("name").agg(F.first("grams").alias("grams"))
+
+            table = similar_classes(prints, sets_of, limit, similarity)
+        named = materialize(prints.select("doc_id", "__tag", key).join(table, key).select("doc_id", "__tag", "root"))
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__tag").alias("x")))
+        firsts = materialize(named.groupBy("root").agg(best.alias("first")))
+        dropped = named.join(firsts.hint("merge"), "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("__tag") == F.col("first.x"))))
+        dropped = materialize(dropped.select(F.col("doc_id").alias("__id"), F.col("__tag").alias("__x")).distinct(), keep=True)
+        twice = named.groupBy("doc_id", "__tag").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        twice = materialize(twice.select(F.col("doc_id").alias("__id"), F.col("__tag").alias("__x")), keep=True)
+    some, kept = sieved(tagged, dropped, "__x", "__tag")
+    kept = kept.unionByName(some.join(dropped.hint("merge"), same, "left_anti"))
     if not twice.isEmpty():  # only rows that are there twice are shuffled whole
-        again = kept.join(twice.distinct(), F.col("__tag") == F.col("__x"), "left_semi").dropDuplicates(["doc_id", "__tag"])
-        kept = kept.join(twice, F.col("__tag") == F.col("__x"), "left_anti").unionByName(again)
+        some, others = sieved(kept, twice, "__x", "__tag")
+        again = some.join(twice.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "__tag"])
+        kept = others.unionByName(some.join(twice.hint("merge"), same, "left_anti")).unionByName(again)
     return kept.drop("__tag")
