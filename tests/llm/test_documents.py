@@ -148,6 +148,34 @@ def test_quality(docs, rows, empty):
     assert quality.judge(empty).count() == 0 and quality.kept_documents(empty).count() == 0
 
 
+def test_host_rates_and_verdicts(spark):
+    """host_rate and kept against the prior in plain Python; hosts that differ by chance alone get the corpus's rate."""
+    rng = np.random.default_rng(3)
+    rows, n = [], 0
+    for host, (size, bad) in enumerate(((400, 0.7), (300, 0.1), (200, 0.15), (60, 0.5), (3, 1.0), (500, 0.05))):
+        for _ in range(size):
+            text = "too short" if rng.random() < bad else " ".join(f"w{n}x{j}" for j in range(30)) + " #" * int(rng.integers(0, 30))
+            rows.append((n, text, None if host == 5 else f"h{host}"))
+            n += 1
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    fails = {d: r.base_failed or 100 * r.n_symbols > 10 * r.word_chars for d, r in got.items()}
+    size, bad = Counter(h for _, _, h in rows), Counter(h for d, _, h in rows if fails[d])
+    total, m = len(rows), sum(fails.values()) / len(rows)
+    squares = sum(size[h] * (bad[h] / size[h] - m) ** 2 for h in size)
+    v = (squares - (len(size) - 1) * m * (1 - m)) / (total - sum(x * x for x in size.values()) / total)
+    strength = max(1.0, m * (1 - m) / v - 1)
+    for d, _, h in rows:
+        rate = (bad[h] + m * strength) / (size[h] + strength)
+        assert got[d].host_rate == pytest.approx(rate)
+        share = max(0.5, m / rate) if rate > m else 1.0
+        edge = 100 * got[d].n_symbols > 10 * share * got[d].word_chars
+        assert got[d].kept == (not fails[d] and rate <= 0.5 and not edge), d
+    even = [(i, "too short" if i % 4 == 0 else " ".join(f"w{i}x{j}" for j in range(20)), f"h{i % 80}") for i in range(0, 960)]
+    even = [(i, t, f"h{int(rng.integers(0, 80))}") for i, t, _ in even]
+    rates = {round(r.host_rate, 9) for r in quality.judge(spark.createDataFrame(even, "doc_id long, text string, source string")).collect()}
+    assert max(rates) < 0.35 and min(rates) > 0.15
+
+
 def test_bad_host_goes(spark):
     rows = [(i, "too short", "bad") for i in range(60)] + [(i + 60, f"ten words that stand in a text of some host {i}", "bad" if i < 10 else "good") for i in range(300)]
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -220,6 +248,23 @@ def test_token_counts(docs, rows, empty):
     texts = [r.text for r in rows]
     for chunk in (7, 64):
         assert fst.transducer(PIECE).count(texts, chunk).tolist() == [len(sp.encode(t or "")) for t in texts]
+    # Texts in parts, and texts without a break, whose chunks' maps are composed.
+    solid = ["".join("abcdefghijklmnopqrstuvwxyz"[(i * i + i // 7) % 26] for i in range(5000)), "x" * 1500, "the" * 700, "ab" * 2000 + "c"]
+    want = [len(sp.encode(t)) for t in solid]
+    for chunk, at_once in ((7, 100), (64, 1000), (512, 1 << 20)):
+        assert fst.transducer(PIECE).count(solid, chunk, at_once).tolist() == want
+    assert fst.transducer(PIECE).count(texts, 64, 500).tolist() == [len(sp.encode(t or "")) for t in texts]
+
+
+def test_composed_maps():
+    """Composition is associative and a scan gives the prefixes that one step after another gives."""
+    rng = np.random.default_rng(4)
+    maps = [{e: (int(rng.integers(0, 5)), int(rng.integers(0, 9))) for e in rng.permutation(5)[:4].tolist()} for _ in range(13)]
+    step = [maps[0]]
+    for m in maps[1:]:
+        step.append(fst.composed(step[-1], m))
+    assert fst.scan(maps) == step
+    assert fst.composed(fst.composed(maps[0], maps[1]), maps[2]) == fst.composed(maps[0], fst.composed(maps[1], maps[2]))
 
 
 def test_licenses(docs, rows, empty):
@@ -237,6 +282,67 @@ def test_licenses(docs, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def voted(text):
+    """The diagonal vote in plain Python: label and cover of every template span of a text."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    w, k, out = split(text), licenses.K, []
+    grams = defaultdict(list)
+    for i in range(len(w) - k + 1):
+        grams[tuple(w[i : i + k])].append(i)
+    for label, template in licenses.wordings():
+        t = split(template)
+        n = len(t) - k + 1
+        by = defaultdict(list)
+        for at in range(n):
+            for pos in grams.get(tuple(t[at : at + k]), ()):
+                by[pos - at].append((at, pos))
+        runs = []
+        for d in sorted(by):
+            if not runs or d - runs[-1][0] > licenses.NEAR:
+                runs.append([d, []])
+            runs[-1][0] = d
+            runs[-1][1] += by[d]
+        runs = [(min(p for _, p in x), max(p for _, p in x), {a for a, _ in x}) for _, x in runs]
+        runs = sorted((r for r in runs if len(r[2]) >= min(licenses.STRETCH, n)), key=lambda r: r[:2])
+        copies = []
+        for i, (lo, hi, ats) in enumerate(runs):
+            if i and lo - runs[i - 1][1] <= licenses.BETWEEN + k and min(ats) > min(runs[i - 1][2]):
+                copies[-1] = (min(copies[-1][0], lo), max(copies[-1][1], hi), copies[-1][2] | ats)
+            else:
+                copies.append((lo, hi, ats))
+        out += [(label, len(ats) / n) for lo, hi, ats in copies if len(ats) / n >= licenses.COVER and hi + k - 1 - lo < 2 * (n + k)]
+    return out
+
+
+def test_license_votes(spark, docs, rows):
+    """labels and score against the vote in plain Python, also on edited copies: words taken out, put in, changed."""
+    rng = np.random.default_rng(6)
+    made = []
+    for i, (_, t) in enumerate(licenses.wordings()):
+        for j, n in enumerate((0, 1, 2, 4, 8)):
+            w = t.split()
+            for _ in range(n):
+                at = int(rng.integers(0, len(w)))
+                kind = int(rng.integers(0, 3))
+                w[at : at + (kind != 1)] = [] if kind == 0 else [f"x{x}" for x in range(int(rng.integers(1, 6)))]
+            made.append((900_000 + 10 * i + j, " ".join([*(f"n{x}" for x in range(30)), *w, *(f"m{x}" for x in range(30)), *w[: len(w) // 2]])))
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.labels, round(r.score, 9)) for r in licenses.scan(table).collect())
+    want = Counter()
+    for d, t in [(r.doc_id, r.text) for r in rows] + made:
+        base = {v for k, v in licenses.PHRASES.items() if f" {k} " in f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', lower(t)))} "}
+        found = voted(t)
+        want[d, ",".join(sorted(base | {x for x, _ in found})), round(max([1.0 if base else 0.0, *(c for _, c in found)]), 9)] += 1
+    assert got == want
+
+
+def test_words_put_into_a_license(spark):
+    t = licenses.TEMPLATES["mit"].split()
+    text = " ".join([*t[:14], "and", "here", "some", "six", "more", "words", *t[14:]])
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.labels == "mit" and got.score > 0.8
+
+
 def test_license_templates(spark):
     noise = " ".join(f"n{i}" for i in range(400))
     rows = [(i, f"{noise} {t} {noise}", n) for i, (n, t) in enumerate(licenses.TEMPLATES.items())]
@@ -392,3 +498,64 @@ def test_host_decides_borderline_documents(spark):
     got = quality.judge(table).collect()
     assert {r.doc_id for r in got if r.by_host} == {500} and {r.doc_id for r in got if not r.kept} == {*range(40), 500}
     assert {r.doc_id for r in quality.kept_documents(table).collect()} == {*range(40, 400), 501}
+
+
+def test_common_token_is_found_fast():
+    """Counting and finding a common token in a shard of 4 million ids takes well under a second."""
+    import time
+
+    rng = np.random.default_rng(2)
+    x = (rng.zipf(1.3, 1 << 22) % 50_257).astype(np.uint32)
+    shard = wavelet.Shard(wavelet.write_shard(x, np.array([len(x)]), [1]))
+    token = int(np.bincount(x).argmax())
+    begun = time.process_time()
+    assert shard.count(token) == int((x == token).sum())
+    assert time.process_time() - begun < 0.5
+    begun = time.process_time()
+    found = shard.places(token)
+    assert time.process_time() - begun < 2  # all 16 planes of the occurrences, over a quarter of all ids
+    assert found == np.flatnonzero(x == token).tolist()
+    begun = time.process_time()
+    rare = int(x[12345])
+    assert shard.places(rare) == np.flatnonzero(x == rare).tolist() and time.process_time() - begun < 2
+
+
+def test_many_rows_of_one_id(spark, sf_dir):
+    rows = [(7, f"text {i % 40}") for i in range(200)] + [(None, "no id")] * 5 + [(3, None)]
+    folder = f"{work_folder(spark)}/one-id"
+    wavelet.write(spark.createDataFrame(rows, "doc_id long, text string"), BPE, folder, shard_ids=100)
+    got = wavelet.read(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 5 + [3] + [7] * 200 and got[5].n_tokens == 1
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got][:-1]]).tolist()
+
+
+def test_no_distinct_row_is_lost(spark):
+    """Rows that differ in which column is null, or in a map, are different rows."""
+    rows = [(None, "same text", None, {"a": 1}), (None, None, "same text", {"a": 1}), (1, "same text", None, {"a": 2}), (1, "same text", None, {"a": 3})]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, kind map<string,int>")
+    got = neardup.one_of_each(table).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter({(1, "same text"): 1, (None, None): 1})
+    long = "\n".join(f"line {i} " + " ".join(f"w{i}x{j}" for j in range(12)) for i in range(5))
+    two = spark.createDataFrame([(None, long, None, {"a": 1}), (None, long, "x", {"a": 1}), (None, None, long, None)], table.schema)
+    out = linededup.without_copies(two)
+    assert sorted(r["__n_removed"] for r in out.collect()) == [0, 0, 5] and out.count() == 3
+    assert mixing.repeated(table).columns == table.columns and quality.kept_documents(table).count() == 0
+
+
+def test_cells_stay_small(spark, monkeypatch):
+    """Cells are cut by further pivots until they are small, and every link stays within one."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    x = np.unique(np.r_[x, x[:300] ^ np.uint64(1 << 40), x[:200] ^ np.uint64((1 << 3) | (1 << 62))])
+    monkeypatch.setattr(neardup, "HOT_KEY", 100)
+    table = materialize(spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long"))
+    sizes = [r["count"] for r in neardup.cells(materialize(neardup.pivot_table(table))).groupBy("cell").count().collect()]
+    assert max(sizes) <= 100
+    linked = {r.node for r in neardup.components(neardup.links(table)).collect()}
+    want = set()
+    for i, v in enumerate(x):
+        near = np.bitwise_count(x ^ v) <= 2
+        near[i] = False
+        if near.any():
+            want.add(int(v.view(np.int64)))
+    assert linked == want

@@ -32,6 +32,28 @@ def test_top_k(spark, bucket):
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute(rows, 10, 100)
 
 
+def test_top_k_of_repeated_ids_and_huge_values(spark):
+    """Rows with one id are queries of their own and candidates of each other; scores stop at 64 bits."""
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 2.0]), (5, [3.0, 1.0]), (5, [3.0, 1.0]), (7, [1e20, 1.0]), (8, [-1e20, 0.0]), (200, [1e300, 1e300])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 4, 100).collect()
+    most = (1 << 63) - 1
+    v = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows]
+    want = Counter()
+    for n, (q, a) in enumerate(v):
+        if q % 100 == 0:
+            best = sorted((-max(-most - 1, min(most, sum(x * y for x, y in zip(a, b, strict=True)))), c) for m, (c, b) in enumerate(v) if m != n)[:4]
+            want.update((q, r + 1, c, -s) for r, (s, c) in enumerate(best))
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_top_k_of_uneven_lengths(spark):
+    """Lengths over a wide range: most buckets are closed to most queries, and nothing is lost."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * 10 ** rng.uniform(-2, 2)]) for i in range(900)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 20, bucket=30, queries=3)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 5, 20)
+
+
 def test_top_k_small(spark):
     few = spark.createDataFrame([(100, [1.0, 2.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in topk.top_k(few).collect()} == {(100, 1, 3, 1536 * 1024)}
