@@ -1 +1 @@
-
+"""Column functions: times and sizes, words, names and keys."""

@@ -26,7 +26,7 @@ def srt(lines: DataFrame) -> DataFrame:
 
 def vtt(lines: DataFrame) -> DataFrame:
     """A voice's name can't hold '>', and a cue's text can't hold an arrow."""
-    cue = F.concat(clock(F.col("start_ms"), "."), F.lit(" --> "), clock(F.col("end_ms"), "."), F.lit("\n<v "), F.replace("speaker", F.lit(">"), F.lit("")), F.lit(">"), F.replace("text", F.lit("-->"), F.lit("→")), F.lit("\n"))
+    cue = F.concat(clock(F.col("start_ms"), "."), F.lit(" --> "), clock(F.col("end_ms"), "."), F.lit("\n<v "), F.replace("speaker", F.lit(">"), F.lit("")), F.lit(">"), F.replace(F.coalesce("text", F.lit("")), F.lit("-->"), F.lit("->")), F.lit("\n"))
     return lines.select("meeting_id", "line_id", cue.alias("cue"))
 
 
@@ -38,5 +38,12 @@ def rttm(turns: DataFrame) -> DataFrame:
 
 
 def filename(title: Column) -> Column:
-    """A safe file name of 80 characters at most."""
-    return F.substring(F.regexp_replace(title, r"[^A-Za-z0-9._-]+", "-"), 1, 80)
+    """A safe file name of 80 characters at most, without dashes at its ends; "meeting" if nothing is left."""
+    safe = F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"[^A-Za-z0-9._-]+", "-"), "^-+|-+$", ""), 1, 80)
+    return F.when(safe == "", "meeting").otherwise(safe)
+
+
+def document(cues: DataFrame, column: str, head: str = "", between: str = "\n") -> DataFrame:
+    """One text per meeting: ``head`` and the rendered ``column`` of all lines in the order of their ids."""
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", column))), lambda x: x[column]), between)
+    return cues.groupBy("meeting_id").agg(F.concat(F.lit(head), joined).alias("document"))

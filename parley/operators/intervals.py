@@ -164,16 +164,18 @@ def raster(turns: DataFrame, frame_ms: int = 10_000) -> DataFrame:
     return some.select("meeting_id", "speaker", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("frame")).distinct()
 
 
-def median_filter(active: DataFrame, window: int = 3) -> DataFrame:
+def median_filter(active: DataFrame, window: int = 3, ends: DataFrame | None = None) -> DataFrame:
     """Binary majority over a centred odd window of frames, from active frames alone.
 
-    A frame is on if more than half of the window around it is. Past the edges the first and last frame of the
-    meeting go on. Each active frame votes for the frames around it, so silent frames are never made.
+    A frame is on if more than half of the window around it is. Past the edges frame 0 and the last frame of the
+    recording go on. ``ends`` (meeting_id, n_frames) tells where recordings end; without it, behind their last active
+    frame. Each active frame votes for the frames around it, so silent frames are never made.
     """
     if window % 2 == 0:
         raise ValueError("an odd window is needed")
     half = window // 2
-    ends = active.groupBy("meeting_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    last = active.groupBy("meeting_id").agg((F.max("frame") + 1).alias("n_frames")) if ends is None else ends
+    ends = last.select("meeting_id", F.lit(0).cast("long").alias("lo"), (F.col("n_frames") - 1).alias("hi"))
     rows = active.join(ends, "meeting_id")
     near = F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)).alias("at")
     at_edge = lambda edge, gap: F.when(F.col("frame") == F.col(edge), F.greatest(F.lit(0), half - gap)).otherwise(0)

@@ -10,10 +10,16 @@ STAGES = ["prepare", "diarize", "segment", "transcribe", "moments", "frames", "n
 
 
 def access_levels(meetings: DataFrame, shares: DataFrame) -> DataFrame:
-    """(meeting_id, user_id, access): the higher of ownership (3) and the best share (edit 2, view 1) of each pair."""
+    """(meeting_id, user_id, access): the highest of ownership, the user's best share and what everyone may do.
+
+    meetings: meeting_id, owner_id, everyone (edit, view or null); shares: meeting_id, user_id, access. One row for
+    the owner and everyone with a share; others have just what everyone may do, which stays with the meeting.
+    """
+    level = lambda c: F.when(c == "edit", 2).when(c == "view", 1).otherwise(0)
     owner = meetings.select("meeting_id", F.col("owner_id").alias("user_id"), F.lit(3).alias("rank"))
-    shared = shares.select("meeting_id", "user_id", F.when(F.col("access") == "edit", 2).otherwise(1).alias("rank"))
+    shared = shares.select("meeting_id", "user_id", level(F.col("access")).alias("rank"))
     best = owner.unionByName(shared).groupBy("meeting_id", "user_id").agg(F.max("rank").alias("rank"))
+    best = best.join(meetings.select("meeting_id", level(F.col("everyone")).alias("all")), "meeting_id").withColumn("rank", F.greatest("rank", "all")).filter("rank > 0")
     return best.select("meeting_id", "user_id", F.element_at(F.array(*map(F.lit, ("view", "edit", "owner"))), F.col("rank")).alias("access"))
 
 
@@ -55,8 +61,8 @@ def queue(meetings: DataFrame) -> DataFrame:
 
 
 def best_status(models: DataFrame) -> DataFrame:
-    """The best status each model has (ready, degraded, loading, else), the first of equals."""
-    rank = F.when(F.col("status") == "ready", 3).when(F.col("status") == "degraded", 2).when(F.col("status") == "loading", 1).otherwise(0)
+    """The best status each model has (ready, degraded, disabled, quarantined, missing, unknown), the first of equals."""
+    rank = F.array_position(F.array(*map(F.lit, ("unknown", "missing", "quarantined", "disabled", "degraded", "ready"))), F.col("status"))
     return models.groupBy("model").agg(F.max_by("status", F.struct(rank, -F.col("seq"))).alias("status"))
 
 

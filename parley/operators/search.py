@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions import words
 from parley.plans.joins import join_small
 
 K1, B = 1.2, 0.75
@@ -28,11 +29,11 @@ def matches(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text"
 
     Texts are scanned in place and only counts leave a row, so no posting is shuffled for a query.
     """
-    words = query_terms(query)
+    asked = query_terms(query)
     w = terms(F.col(text))
     rows = docs.select(key, w.alias("w"))
     beginning = lambda p: F.size(F.filter("w", lambda x: x.startswith(p)))
-    tf = F.array(*map(beginning, words)) if words else F.array().cast("array<int>")
+    tf = F.array(*map(beginning, asked)) if asked else F.array().cast("array<int>")
     rows = rows.select(key, F.size("w").alias("n_terms"), tf.alias("tf"))
     return rows
 
@@ -45,14 +46,14 @@ def prefix_and(docs: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
 
 def bm25(docs: DataFrame, query: str, top: int | None = 50, key: str = "doc_id") -> DataFrame:
     """(key, score, rank): BM25 over prefixes, statistics of the whole index, best first, ties to the smaller key."""
-    words = query_terms(query)
+    asked = query_terms(query)
     rows = matches(docs, query, key)
-    df = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(words))]
+    df = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(asked))]
     stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"), *df)
     hits = rows.filter(F.forall("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))  # stats is one row
     norm = K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms"))
     score = F.lit(0.0)
-    for i in range(len(words)):
+    for i in range(len(asked)):
         idf = F.log((F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score += F.greatest(idf, F.lit(1e-6)) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + norm)
     ranked = hits.select(key, score.alias("score")).orderBy(F.desc("score"), key)
@@ -83,27 +84,29 @@ def snippet(text: Column, query: str, around: int = 60, otherwise: int = 120) ->
     return F.when(at > 0, cut).otherwise(F.substring(text, 1, otherwise))
 
 
-def salient_words(lines: DataFrame, least: int = 5) -> DataFrame:
-    """The distinct words of ``least`` letters or more of each line, sorted."""
-    w = F.array_sort(F.array_distinct(F.filter(terms(F.col("text")), lambda x: F.length(x) >= least)))
-    return lines.select("meeting_id", "line_id", F.array_join(w, " ").alias("words"))
+def salient_words(lines: DataFrame) -> DataFrame:
+    """The stems of each line's words that carry meaning, sorted."""
+    return lines.select("meeting_id", "line_id", F.array_join(F.array_sort(words.salient(F.col("text"))), " ").alias("words"))
 
 
-def grounding(claims: DataFrame, lines: DataFrame, band_ms: int = 90_000, need: float = 0.5) -> DataFrame:
-    """Whether enough of a claim's salient words occur in other lines of the meeting within ``band_ms`` of its time.
+def grounding(claims: DataFrame, lines: DataFrame, ends: DataFrame, band_ms: int = 90_000, slack_ms: int = 2000) -> DataFrame:
+    """Whether a claim shares enough stems with other lines of the meeting within ``band_ms`` of its time.
 
-    claims and lines: meeting_id, line_id, start_ms, end_ms, text. The band join runs on time buckets.
+    One shared stem is enough for a claim of three or fewer, else two are needed. A claim without a stem, without a
+    time, or with one outside the meeting (0 .. end + ``slack_ms``) is never grounded. claims and lines: meeting_id,
+    line_id, start_ms, end_ms, text; ends: meeting_id, end_ms. A line without an end stands at its start. The band
+    join runs on time buckets.
     """
-    words = lambda: F.array_distinct(F.filter(terms(F.col("text")), lambda x: F.length(x) >= 5))
-    c = claims.select("meeting_id", F.col("line_id").alias("claim_id"), F.col("start_ms").alias("t"), words().alias("want"))
+    c = claims.select("meeting_id", F.col("line_id").alias("claim_id"), F.col("start_ms").alias("t"), words.salient(F.col("text")).alias("want"))
     near = F.explode(F.sequence(F.expr(f"(t - {band_ms}) div {band_ms}") - 1, F.expr(f"(t + {band_ms}) div {band_ms}")))
-    b = lines.select("meeting_id", "line_id", "start_ms", "end_ms", words().alias("has"), F.expr(f"start_ms div {band_ms}").alias("bucket"))
+    until = F.coalesce(F.nullif("end_ms", F.lit(0)), "start_ms")
+    b = lines.select("meeting_id", "line_id", "start_ms", until.alias("until"), words.salient(F.col("text")).alias("has"))
     # A line that began before the band may still reach into it: it is dealt to every bucket that it touches.
-    b = b.withColumn("bucket", F.explode(F.sequence("bucket", F.expr(f"greatest(start_ms, end_ms) div {band_ms}"))))
+    b = b.withColumn("bucket", F.explode(F.sequence(F.expr(f"start_ms div {band_ms}"), F.expr(f"greatest(start_ms, until) div {band_ms}"))))
     pairs = c.withColumn("bucket", near).join(b, ["meeting_id", "bucket"])
-    pairs = pairs.filter((F.col("line_id") != F.col("claim_id")) & (F.col("start_ms") <= F.col("t") + band_ms) & (F.col("end_ms") >= F.col("t") - band_ms))
-    found = pairs.groupBy("meeting_id", "claim_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("want", "has")))).alias("found"))
-    out = c.join(found, ["meeting_id", "claim_id"], "left")
-    n, k = F.size("want"), F.coalesce(F.size("found"), F.lit(0))
-    k = F.when(F.col("found").isNull(), 0).otherwise(k)
-    return out.select("meeting_id", "claim_id", n.alias("n_words"), k.alias("n_found"), (k >= n * F.lit(need)).alias("grounded"))
+    pairs = pairs.filter((F.col("line_id") != F.col("claim_id")) & (F.col("start_ms") <= F.col("t") + band_ms) & (F.col("until") >= F.col("t") - band_ms))
+    found = pairs.select("meeting_id", "claim_id", F.explode(F.array_intersect("want", "has")).alias("stem")).groupBy("meeting_id", "claim_id").agg(F.countDistinct("stem").alias("k"))
+    out = c.join(found, ["meeting_id", "claim_id"], "left").join(ends.select("meeting_id", F.col("end_ms").alias("until")), "meeting_id", "left")
+    n, k = F.size("want"), F.coalesce("k", F.lit(0)).cast("int")
+    inside = F.coalesce((F.col("t") >= 0) & (F.col("t") <= F.col("until") + slack_ms), F.lit(False))
+    return out.select("meeting_id", "claim_id", n.alias("n_words"), k.alias("n_found"), (inside & (n > 0) & (k >= F.when(n <= 3, 1).otherwise(2))).alias("grounded"))

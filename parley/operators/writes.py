@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.plans.joins import row_hash
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], fill: Sequence[str] = ()) -> DataFrame:
     """``new`` replaces rows of equal keys; a column of ``fill`` keeps the old value unless that is null."""
@@ -33,8 +35,8 @@ def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> d
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """(key, change): new, changed or deleted, by the hash of a row's other columns."""
-    digest = lambda df: F.xxhash64(*[c for c in df.columns if c != key])
+    """(key, change): new, changed or deleted, by the hash of a row's other columns, in which nulls count."""
+    digest = lambda df: row_hash(df.drop(key))
     o, n = old.select(F.col(key).alias("ko"), digest(old).alias("ho")), new.select(F.col(key).alias("kn"), digest(new).alias("hn"))
     both = o.join(n, F.col("ko") == F.col("kn"), "full")
     change = F.when(F.col("ko").isNull(), "new").when(F.col("kn").isNull(), "deleted").when(F.col("ho") != F.col("hn"), "changed")

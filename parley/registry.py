@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from parley.functions import words
 from parley.operators import exports, intervals, library, moments, search, writes
 from parley.plans.derive import LINES_SQL, TURNS_SQL, lines, table, turns
 
@@ -86,7 +87,7 @@ QUALIFY row_number() OVER (PARTITION BY meeting_id, bin ORDER BY ms DESC, first)
 _RASTER = """f0 AS (SELECT meeting_id, speaker, CAST(round_even(start_ms / 10000.0, 0) AS BIGINT) AS a, CAST(round_even(end_ms / 10000.0, 0) AS BIGINT) AS b FROM turns),
 frames AS (SELECT DISTINCT meeting_id, speaker, unnest(range(a, b)) AS frame FROM f0 WHERE b > a)"""
 on_turns("frame_raster", intervals.raster, f", {_RASTER} SELECT * FROM frames")
-_MEDIAN = _RASTER + """, e AS (SELECT meeting_id, min(frame) AS lo, max(frame) AS hi FROM frames GROUP BY 1),
+_MEDIAN = _RASTER + """, e AS (SELECT meeting_id, 0 AS lo, max(frame) AS hi FROM frames GROUP BY 1),
 v AS (SELECT meeting_id, speaker, frame, lo, hi, unnest([frame - 1, frame, frame + 1]) AS cell FROM frames JOIN e USING (meeting_id)),
 med AS (SELECT meeting_id, speaker, cell AS frame FROM v WHERE cell BETWEEN lo AND hi GROUP BY 1, 2, 3
 HAVING sum(1 + (CASE WHEN frame = lo AND cell = lo THEN 1 ELSE 0 END) + (CASE WHEN frame = hi AND cell = hi THEN 1 ELSE 0 END)) > 1)"""
@@ -108,7 +109,7 @@ on_lines("export_txt", exports.txt, f"\nSELECT meeting_id, line_id, '[' || {_CLO
 on_lines("export_srt", exports.srt, f"""
 SELECT meeting_id, line_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, line_id) || chr(10) || {_MARKED.format('start_ms', ',')} || ' --> ' || {_MARKED.format('end_ms', ',')} || chr(10) || speaker || ': ' || text || chr(10) AS cue FROM lines""")
 on_lines("export_vtt", exports.vtt, f"""
-SELECT meeting_id, line_id, {_MARKED.format('start_ms', '.')} || ' --> ' || {_MARKED.format('end_ms', '.')} || chr(10) || '<v ' || replace(speaker, '>', '') || '>' || replace(text, '-->', '→') || chr(10) AS cue FROM lines""")
+SELECT meeting_id, line_id, {_MARKED.format('start_ms', '.')} || ' --> ' || {_MARKED.format('end_ms', '.')} || chr(10) || '<v ' || replace(speaker, '>', '') || '>' || replace(text, '-->', '->') || chr(10) AS cue FROM lines""")
 on_turns("export_rttm", exports.rttm, """
 SELECT turn_id, 'SPEAKER ' || meeting_id || ' 1 ' || (start_ms // 1000) || '.' || lpad(CAST(start_ms % 1000 AS VARCHAR), 3, '0') || ' ' || (greatest(0, end_ms - start_ms) // 1000) || '.' || lpad(CAST(greatest(0, end_ms - start_ms) % 1000 AS VARCHAR), 3, '0') || ' <NA> <NA> ' || speaker || ' <NA> <NA>' AS row FROM turns""")
 
@@ -141,11 +142,15 @@ def _(spark, sf_dir):
 on_lines("substring_search", search.substring_search, "\nSELECT meeting_id, line_id FROM lines WHERE contains(lower(text), 'the')", query=" The ")
 on_lines("snippet_simple", lambda t: t.select("meeting_id", "line_id", search.snippet(F.col("text"), "the").alias("snippet")), """, a AS (SELECT *, instr(lower(text), 'the') AS place FROM lines)
 SELECT meeting_id, line_id, CASE WHEN place > 0 THEN (CASE WHEN place - 60 > 1 THEN '…' ELSE '' END) || substring(text, CAST(greatest(place - 60, 1) AS BIGINT), CAST(least(place + 63, length(text) + 1) - greatest(place - 60, 1) AS BIGINT)) || (CASE WHEN place + 63 <= length(text) THEN '…' ELSE '' END) ELSE substring(text, 1, 120) END AS snippet FROM a""")
-on_lines("salient_words", search.salient_words, f"\nSELECT meeting_id, line_id, array_to_string(list_sort(list_distinct(list_filter({_TERMS}, lambda x: length(x) >= 5))), ' ') AS words FROM lines")
-on_lines("grounding", lambda t: search.grounding(t, t), f""", w AS (SELECT *, list_distinct(list_filter({_TERMS}, lambda x: length(x) >= 5)) AS ws FROM lines),
-p AS (SELECT c.meeting_id, c.line_id AS claim_id, any_value(len(c.ws)) AS n, len(list_distinct(flatten(list(list_intersect(c.ws, b.ws))))) AS k FROM w c JOIN w b
-ON c.meeting_id = b.meeting_id AND b.line_id <> c.line_id AND b.start_ms <= c.start_ms + 90000 AND b.end_ms >= c.start_ms - 90000 GROUP BY 1, 2)
-SELECT w.meeting_id, w.line_id AS claim_id, CAST(len(ws) AS INT) AS n_words, CAST(coalesce(k, 0) AS INT) AS n_found, coalesce(k, 0) >= len(ws) * 0.5 AS grounded FROM w LEFT JOIN p ON w.meeting_id = p.meeting_id AND w.line_id = p.claim_id""")
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(words.STOP.split()))) + "]"
+_STEMS = f"""list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''\\-]*'), lambda x: regexp_replace(x, '[''\\-]+$', '')),
+lambda x: length(x) >= 3 AND (length(x) >= 4 OR regexp_matches(x, '[0-9]')) AND NOT list_contains({_STOP}, x)),
+lambda x: substring(CASE WHEN x LIKE '%ing' AND length(x) > 6 THEN x[:-4] WHEN x LIKE '%ed' AND length(x) > 5 THEN x[:-3] WHEN x LIKE '%es' AND length(x) > 5 THEN x[:-3] WHEN x LIKE '%s' AND length(x) > 4 THEN x[:-2] ELSE x END, 1, 7)))"""
+on_lines("salient_words", search.salient_words, f"\nSELECT meeting_id, line_id, array_to_string(list_sort({_STEMS}), ' ') AS words FROM lines")
+on_lines("grounding", lambda t: search.grounding(t, t, t.groupBy("meeting_id").agg(F.max("end_ms").alias("end_ms"))), f""", w AS (SELECT *, {_STEMS} AS ws FROM lines),
+p AS (SELECT c.meeting_id, c.line_id AS claim_id, len(list_distinct(flatten(list(list_intersect(c.ws, b.ws))))) AS k FROM w c JOIN w b
+ON c.meeting_id = b.meeting_id AND b.line_id <> c.line_id AND b.start_ms <= c.start_ms + 90000 AND (CASE WHEN b.end_ms = 0 THEN b.start_ms ELSE b.end_ms END) >= c.start_ms - 90000 GROUP BY 1, 2)
+SELECT w.meeting_id, w.line_id AS claim_id, CAST(len(ws) AS INT) AS n_words, CAST(coalesce(k, 0) AS INT) AS n_found, len(ws) > 0 AND coalesce(k, 0) >= CASE WHEN len(ws) <= 3 THEN 1 ELSE 2 END AS grounded FROM w LEFT JOIN p ON w.meeting_id = p.meeting_id AND w.line_id = p.claim_id""")
 
 
 def _meetings(spark, sf_dir):
@@ -154,11 +159,12 @@ def _meetings(spark, sf_dir):
 
 @query("access_levels", """WITH a AS (SELECT o_orderkey AS meeting_id, o_custkey AS user_id, 3 AS rank FROM orders
 UNION ALL SELECT l_orderkey, l_suppkey, CASE WHEN l_linenumber % 2 = 1 THEN 2 ELSE 1 END FROM lineitem)
-SELECT meeting_id, user_id, ['view', 'edit', 'owner'][max(rank)] AS access FROM a GROUP BY 1, 2""")
+SELECT meeting_id, user_id, ['view', 'edit', 'owner'][greatest(max(rank), max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 1 ELSE 0 END))] AS access FROM a JOIN orders ON o_orderkey = meeting_id GROUP BY 1, 2""")
 def _(spark, sf_dir):
     kind = F.when(F.col("l_linenumber") % 2 == 1, "edit").otherwise("view")
     shares = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("meeting_id"), F.col("l_suppkey").alias("user_id"), kind.alias("access"))
-    return library.access_levels(_meetings(spark, sf_dir), shares)
+    everyone = F.when(F.col("state") == "F", "edit").when(F.col("state") == "P", "view")
+    return library.access_levels(_meetings(spark, sf_dir).withColumn("everyone", everyone), shares)
 
 
 @query("people_list", """SELECT c_custkey AS user_id, c_name AS name, coalesce(n, 0) AS n_meetings, CAST(coalesce(cents, 0) AS BIGINT) AS cents FROM customer
@@ -240,7 +246,7 @@ r AS (SELECT *, CASE WHEN (n + z) // 2 < z THEN 0 ELSE coalesce(o[(n + z) // 2 -
 SELECT meeting_id, t, score, CAST(median AS BIGINT) AS median, score > 300 OR (score >= 40 AND score >= 4 * median) AS cut FROM r""")
 
 on_turns("fallback_sampling", lambda t: moments.fallback_samples(_ends(t), t.filter("end_ms - start_ms > 450000").select("meeting_id", F.col("start_ms").alias("t"))), f""", {_ENDS},
-s AS (SELECT meeting_id, unnest(range(least(90000, end_ms // 2), end_ms + 1, 180000)) AS t FROM ends WHERE end_ms > 0)
+s AS (SELECT meeting_id, unnest(range(least(90000, end_ms // 2), greatest(end_ms, least(90000, end_ms // 2) + 1), 180000)) AS t FROM ends WHERE end_ms > 0)
 SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM turns x WHERE x.end_ms - x.start_ms > 450000 AND x.meeting_id = s.meeting_id AND abs(x.start_ms - s.t) < 30000)""")
 
 
