@@ -82,3 +82,193 @@ def vote_top_name(votes: DataFrame) -> DataFrame:
     """Per meeting and label the name with most votes; of equals the one with the earliest evidence."""
     tally = votes.groupBy("meeting_id", "label", "name").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t"))
     return tally.groupBy("meeting_id", "label").agg(F.min_by("name", F.struct(-F.col("n"), F.col("t"), F.col("name"))).alias("name"), F.max("n").alias("n"))
+
+
+LIVE = ["deleting", "cancelled"]
+
+
+def stage_rows(meetings: DataFrame, stages: DataFrame) -> DataFrame:
+    """Every meeting with every stage in order; a stage without a row is pending. stages: meeting_id, stage, status, permille."""
+    order = F.posexplode(F.array(*map(F.lit, STAGES))).alias("ord", "stage")
+    grid = meetings.select("meeting_id", order)  # seven rows a meeting
+    rows = grid.join(stages, ["meeting_id", "stage"], "left")
+    return rows.select("meeting_id", "ord", "stage", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("permille", F.lit(0)).alias("permille"))
+
+
+def listing(meetings: DataFrame, stages: DataFrame) -> DataFrame:
+    """Live meetings with progress, the stage they are at and their place in their owner's list, newest first, then by id."""
+    live = meetings.filter(~F.col("status").isin(LIVE))
+    order = Window.partitionBy("owner_id").orderBy(F.desc("created"), "meeting_id")
+    rows = live.withColumn("place", F.row_number().over(order))
+    return rows.join(progress(stage_rows(live, stages)), "meeting_id", "left").select("meeting_id", "owner_id", "place", (F.col("everyone").isNotNull()).alias("shared"), "at_stage", F.floor("progress").cast("long").alias("progress"))
+
+
+def totals(meetings: DataFrame) -> DataFrame:
+    """Per owner: live meetings, those being worked on, those shared with everyone, and the sum of their lengths."""
+    live = meetings.filter(~F.col("status").isin(LIVE))
+    n = lambda c: F.count(F.when(c, 1))
+    return live.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), n(F.col("status").isin("queued", "running")).alias("busy"), n(F.col("everyone").isNotNull()).alias("shared"), F.coalesce(F.sum("length_ms"), F.lit(0)).alias("length_ms"))
+
+
+def queue_stats(meetings: DataFrame, uploads: DataFrame) -> DataFrame:
+    """One row: queued meetings, open uploads, and the bytes that open uploads still need (unknown ones count as none)."""
+    q = meetings.agg(F.count(F.when(F.col("status").isin("running", "queued", "paused"), 1)).alias("queued"))
+    left = F.greatest(F.lit(0), F.col("size") - F.coalesce("received", F.lit(0)))
+    u = uploads.agg(F.count(F.when(F.col("open"), 1)).alias("uploads"), F.coalesce(F.sum(F.when(F.col("open"), left)), F.lit(0)).alias("reserved"))
+    return q.crossJoin(u)  # one row each
+
+
+def phase(status: Column, paused: Column) -> Column:
+    """What is shown of a meeting: failed before paused before done before running before queued."""
+    return F.when(status == "failed", "failed").when(paused | (status == "paused"), "paused").when(status == "done", "done").when(status == "running", "running").otherwise("queued")
+
+
+def allowed(access: Column, need: str) -> Column:
+    rank = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, ("view", "edit", "owner"))), c), F.lit(0))
+    return rank(access) >= rank(F.lit(need))
+
+
+def shown(meetings: DataFrame, query: str) -> DataFrame:
+    """Meetings (meeting_id, title, gist, names) of which title, gist and names together hold every word of the query."""
+    text = F.lower(F.concat_ws(" ", "title", "gist", F.array_join("names", " ")))
+    found = meetings
+    for w in query.lower().split():
+        found = found.filter(F.contains(text, F.lit(w)))
+    return found.select("meeting_id")
+
+
+def palette(meetings: DataFrame, query: str, most: int = 8) -> DataFrame:
+    """The newest ``most`` meetings whose title holds every word of the query."""
+    found = meetings
+    for w in query.lower().split():
+        found = found.filter(F.contains(F.lower("title"), F.lit(w)))
+    return found.orderBy(F.desc("created"), "meeting_id").limit(most).select("meeting_id")
+
+
+def labels(*sources: DataFrame) -> DataFrame:
+    """Per meeting the labels of all sources (meeting_id, speaker), each once, in natural order: place from 1."""
+    every = sources[0].select("meeting_id", "speaker")
+    for s in sources[1:]:
+        every = every.unionByName(s.select("meeting_id", "speaker"))
+    from parley.functions.words import label_order
+
+    order = Window.partitionBy("meeting_id").orderBy(*label_order(F.col("speaker")))
+    every = every.filter("speaker is not null").distinct()
+    return every.select("meeting_id", "speaker", F.row_number().over(order).alias("place"))
+
+
+def subset_position(lines: DataFrame, active: DataFrame, hidden: list[str]) -> DataFrame:
+    """Where a meeting's active line stands among the lines of speakers that aren't hidden, from 0; -1 if it is hidden itself."""
+    seen = lines.filter(~F.col("speaker").isin(hidden))
+    order = Window.partitionBy("meeting_id").orderBy("start_ms", "line_id")
+    placed = seen.select("meeting_id", "line_id", (F.row_number().over(order) - 1).alias("place"))
+    return active.join(placed, ["meeting_id", "line_id"], "left").select("meeting_id", "line_id", F.coalesce("place", F.lit(-1)).alias("place"))
+
+
+def retention(meetings: DataFrame, today: Column, days: int) -> DataFrame:
+    """Meetings whose video may go: done, not deleted, with a video (unknown: by their mode), finished ``days`` ago or more.
+
+    A negative number of days keeps all. finished is the latest end of their stages.
+    """
+    if days < 0:
+        return meetings.limit(0).select("meeting_id")
+    video = (F.col("has_video") == 1) | (F.col("has_video").isNull() & (F.col("mode") == "video"))
+    return meetings.filter((F.col("status") == "done") & F.col("deleted").isNull() & video & (F.datediff(today, F.col("finished")) >= days)).select("meeting_id")
+
+
+def stale_uploads(uploads: DataFrame, today: Column, days: int = 7) -> DataFrame:
+    return uploads.filter(F.col("open") & (F.datediff(today, F.col("touched")) > days)).select("upload_id")
+
+
+def interrupted(stored: DataFrame, active: DataFrame) -> DataFrame:
+    """Stored uploads that aren't going on, newest first: place from 1 per user."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("created"), "upload_id")
+    return stored.join(active.select("upload_id"), "upload_id", "left_anti").select("upload_id", "user_id", F.row_number().over(order).alias("place"))
+
+
+def invites(rows: DataFrame, users: DataFrame, now: Column, most: int = 200) -> DataFrame:
+    """Every inviter's newest ``most`` invitations with their state and the names of who sent and who used them."""
+    order = Window.partitionBy("by_user").orderBy(F.desc("created"), F.desc("invite_id"))
+    rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    name = lambda key, out: users.select(F.col("user_id").alias(key), F.col("name").alias(out))
+    rows = rows.join(name("by_user", "sender"), "by_user", "left").join(name("used_by", "guest"), "used_by", "left")
+    state = invite_state(F.col("used_by"), F.col("revoked"), F.col("expires"), now)
+    return rows.select("invite_id", "place", "sender", "guest", state.alias("state"), state.isin("pending", "expired").alias("waiting"))
+
+
+def sessions(rows: DataFrame, users: DataFrame, now: Column, current: int) -> DataFrame:
+    """Valid sessions of users that aren't disabled: the current one first, then by last use; place from 1 per user."""
+    live = rows.filter(F.col("expires") > now).join(users.filter("disabled is null").select("user_id"), "user_id")
+    order = Window.partitionBy("user_id").orderBy((F.col("session_id") != current).cast("int"), F.desc("seen"), "session_id")
+    return live.select("session_id", "user_id", F.row_number().over(order).alias("place"))
+
+
+def people_order(users: DataFrame) -> DataFrame:
+    """Users with sort_name (lower case, the address without a name) and inviter: a place among those of their group, admins first."""
+    sort = F.lower(F.coalesce(F.nullif("name", F.lit("")), "email"))
+    order = Window.partitionBy("team").orderBy(F.desc("admin"), sort, "user_id")
+    inviter = users.select(F.col("user_id").alias("invited_by"), F.col("name").alias("inviter"))
+    return users.withColumn("place", F.row_number().over(order)).join(inviter, "invited_by", "left").select("user_id", "place", "inviter")
+
+
+def gates(parts: DataFrame) -> DataFrame:
+    """Whether a meeting goes on: at most 5 % of its segments and at most half of its frames and sections may fail.
+
+    parts: meeting_id, kind (segment, frame, section), failed.
+    """
+    n = lambda c: F.count(F.when(c, 1))
+    bad = lambda kind, permille: 1000 * n((F.col("kind") == kind) & F.col("failed")) > permille * n(F.col("kind") == kind)
+    return parts.groupBy("meeting_id").agg(bad("segment", 50).alias("stt_failed"), bad("frame", 500).alias("frames_failed"), bad("section", 500).alias("notes_failed"))
+
+
+def grouped_hits(hits: DataFrame) -> DataFrame:
+    """Meetings in the order of their best hit, with their numbers of hits. hits: meeting_id, source (0 transcript, 1 frames), rank."""
+    by = hits.groupBy("meeting_id").agg(F.min(F.struct("source", "rank")).alias("first"), F.count(F.lit(1)).alias("n_hits"))
+    return by.select("meeting_id", "n_hits", F.col("first.source").alias("source"), F.col("first.rank").alias("rank"))
+
+
+def next_stage(rows: DataFrame, audio: Column) -> DataFrame:
+    """The first stage of a meeting that isn't done; in audio mode moments and frames are skipped. None left: done."""
+    todo = (F.col("status") != "done") & ~(audio & F.col("stage").isin("moments", "frames")) & (F.col("status") != "skipped")
+    return rows.groupBy("meeting_id").agg(F.coalesce(F.min_by("stage", F.when(todo, F.col("ord"))), F.lit("done")).alias("next"))
+
+
+def rerun(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Stage rows after a rerun from a chosen stage (meeting_id, stage): it and all later ones are pending again."""
+    from_ = chosen.select("meeting_id", (F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")) - 1).alias("from_ord"))
+    again = F.coalesce(F.col("ord") >= F.col("from_ord"), F.lit(False))
+    out = rows.join(from_, "meeting_id", "left")
+    return out.select("meeting_id", "ord", "stage", F.when(again, "pending").otherwise(F.col("status")).alias("status"), F.when(again, 0).otherwise(F.col("permille")).alias("permille"))
+
+
+def capable(entries: DataFrame) -> DataFrame:
+    """Models with the capability in any entry: their best status and the name of the last entry that has it.
+
+    entries: model, seq, name, status, capable.
+    """
+    some = entries.join(entries.filter("capable").select("model").distinct(), "model")
+    best = best_status(some).withColumnRenamed("status", "best")
+    return some.join(best, "model").filter("status = best").groupBy("model").agg(F.max_by("name", "seq").alias("name"), F.first("best").alias("status"))
+
+
+def usable(status: Column) -> Column:
+    return status.isin("ready", "degraded")
+
+
+def worker_detail(meetings: DataFrame, user: int) -> DataFrame:
+    """What the worker says of its meeting, for the meeting's owner alone; others see that it is busy."""
+    own = F.col("owner_id") == user
+    return meetings.filter("status = 'running'").select("meeting_id", F.when(own, F.col("title")).otherwise("busy").alias("detail"))
+
+
+def settings(defaults: dict[str, int], overrides: DataFrame) -> DataFrame:
+    """Known settings (name, value): an override that reads as a number counts, a blank or unknown one doesn't."""
+    spark = overrides.sparkSession
+    base = spark.createDataFrame(list(defaults.items()), "name string, value long")
+    given = overrides.select("name", F.trim("value").try_cast("long").alias("given")).filter("given is not null")
+    return base.join(given, "name", "left").select("name", F.coalesce("given", "value").alias("value"))
+
+
+def poster(frames: DataFrame) -> DataFrame:
+    """A meeting's first frame of some relevance, else its first frame."""
+    return cover_frame(frames)

@@ -110,3 +110,74 @@ def grounding(claims: DataFrame, lines: DataFrame, ends: DataFrame, band_ms: int
     n, k = F.size("want"), F.coalesce("k", F.lit(0)).cast("int")
     inside = F.coalesce((F.col("t") >= 0) & (F.col("t") <= F.col("until") + slack_ms), F.lit(False))
     return out.select("meeting_id", "claim_id", n.alias("n_words"), k.alias("n_found"), (inside & (n > 0) & (k >= F.when(n <= 3, 1).otherwise(2))).alias("grounded"))
+
+
+def highlight(text: Column, query: str) -> Column:
+    """The text cut into [text, hit] pieces: every match of the query, regardless of case and without overlaps, is a hit."""
+    import re
+
+    pattern = f"(?i)({re.escape(query)})"
+    marked = F.regexp_replace(text, pattern, "\u0001$1\u0002")
+    pieces = F.filter(F.split(marked, "[\u0001\u0002]"), lambda p: p != "")
+    return F.transform(pieces, lambda p: F.struct(p.alias("text"), p.rlike(f"{pattern}$").alias("hit")))
+
+
+def markers(snippet_: Column) -> Column:
+    """The texts between [[ and ]] of a snippet."""
+    return F.regexp_extract_all(snippet_, F.lit(r"\[\[(.*?)\]\]"), F.lit(1))
+
+
+def window_snippet(text: Column, query: str, width: int = 16) -> Column:
+    """``width`` words around the first one that begins with a word of the query, hits in [[ ]], dots where words are missing."""
+    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    alike = lambda t: F.lit(False) if not query_terms(query) else _any([fold(t).startswith(q) for q in query_terms(query)])
+    hits = F.transform(tokens, alike)
+    at = F.coalesce(F.nullif(F.array_position(hits, True), F.lit(0)), F.lit(1)).cast("int")
+    first = F.greatest(F.lit(1), at - width // 2)
+    shown = F.transform(F.slice(tokens, first, width), lambda t: F.when(alike(t), F.concat(F.lit("[["), t, F.lit("]]"))).otherwise(t))
+    return F.concat(F.when(first > 1, "…").otherwise(""), F.array_join(shown, " "), F.when(F.size(tokens) >= first + width, "…").otherwise(""))
+
+
+def fold(word: Column) -> Column:
+    """Lower case, without diacritics of Latin letters and without marks before the word."""
+    plain = F.translate(F.lower(word), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    return F.regexp_replace(plain, r"^[^\p{L}\p{N}]+", "")
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", letters: int = 2) -> DataFrame:
+    """(head, term, key, tf, n_terms): the index of a corpus. head, the first ``letters`` of a term, is what a written index is partitioned by."""
+    w = terms(F.translate(F.lower(F.col(text)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"))
+    rows = docs.select(key, w.alias("w")).select(key, F.size("w").alias("n_terms"), F.explode("w").alias("term"))
+    rows = rows.groupBy(key, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select(F.substring("term", 1, letters).alias("head"), "term", key, "tf", "n_terms")
+
+
+def write_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> None:
+    """Postings under ``folder``, partitioned by the terms' heads and sorted by term, so a prefix reads a few files' ranges."""
+    rows = postings(docs, key, text)
+    rows.repartition("head", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("head", "term").write.partitionBy("head").mode("overwrite").parquet(folder)
+
+
+def indexed_prefix_and(index: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
+    """Documents with a term for every prefix of the query, from written ``postings``: partition and row group filters reach the files."""
+    import unicodedata
+
+    asked = ["".join(c for c in unicodedata.normalize("NFD", q) if not unicodedata.combining(c)) for q in query_terms(query)]
+    if not asked:
+        return index.select(key).limit(0)
+    hit = lambda q: F.col("head").startswith(q[:2]) & F.col("term").startswith(q)
+    rows = index.filter(_any([hit(q) for q in asked]))
+    return rows.groupBy(key).agg(*[F.bool_or(hit(q)).alias(f"q{i}") for i, q in enumerate(asked)]).filter(" and ".join(f"q{i}" for i in range(len(asked)))).select(key)
+
+
+def maintained(index: DataFrame, changed: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Postings after documents were changed or added (``changed``) and deleted (``gone``), as triggers would keep them."""
+    out = changed.select(key).unionByName(gone.select(key)).distinct()
+    return index.join(out, key, "left_anti").select(*index.columns).unionByName(postings(changed, key, text).select(*index.columns))

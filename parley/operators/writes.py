@@ -61,3 +61,75 @@ def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
         .otherwise("pending")
     )
     return both.select(F.coalesce("segment_id", "old.segment_id").alias("segment_id"), verdict.alias("verdict"))
+
+
+def with_stages(meetings: DataFrame, stages: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """New meetings and one pending row per stage of each."""
+    rows = meetings.select("meeting_id", F.posexplode(F.array(*map(F.lit, stages))).alias("ord", "stage"))
+    return meetings, rows.withColumn("status", F.lit("pending"))
+
+
+def appended_events(log: DataFrame, events: DataFrame, most: int = 2000) -> DataFrame:
+    """The log with new events behind it, their messages cut to ``most`` characters."""
+    return log.unionByName(events.withColumn("message", F.substring("message", 1, most)).select(*log.columns))
+
+
+def replace_partition(old: DataFrame, new: DataFrame, key: str, gone: DataFrame | None = None) -> DataFrame:
+    """All rows of the keys in ``new`` are replaced; keys in ``gone`` lose theirs even without new ones."""
+    keys = new.select(key) if gone is None else new.select(key).unionByName(gone.select(key))
+    return old.join(keys.distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
+def guarded_update(old: DataFrame, changes: DataFrame, key: str, column: str, state: str) -> DataFrame:
+    """``column`` set to the changes' value where the row's status is ``state``; others stay."""
+    new = changes.select(key, F.col(column).alias("__new"), F.lit(True).alias("__there"))
+    value = F.when(F.col("__there") & (F.col("status") == state), F.col("__new")).otherwise(F.col(column))
+    return old.join(new, key, "left").select(*[value.alias(c) if c == column else F.col(c) for c in old.columns])
+
+
+def remapped(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``key`` replaced by way of ``ids`` (old, new) in one step: no row meets an id that another is leaving. Others stay."""
+    out = rows.join(ids, F.col(key) == F.col("old"), "left")
+    return out.select(*[F.coalesce("new", key).alias(c) if c == key else F.col(c) for c in rows.columns])
+
+
+def without_person(meetings: DataFrame, person: int, heir: int | None) -> DataFrame:
+    """Meetings after a person is removed: theirs go to the heir, or go altogether."""
+    if heir is None:
+        return meetings.filter(~F.col("owner_id").eqNullSafe(F.lit(person)))
+    return meetings.withColumn("owner_id", F.when(F.col("owner_id") == person, heir).otherwise(F.col("owner_id")))
+
+
+def superseded(invites: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Invitations with ``revoked``: pending ones to an address that is invited anew are revoked at that time; a date already there stays."""
+    again = fresh.groupBy("email").agg(F.min("created").alias("at"))
+    out = invites.join(again, "email", "left")
+    pending = F.col("used_by").isNull() & F.col("at").isNotNull() & (F.col("created") < F.col("at"))
+    return out.select(*[F.coalesce("revoked", F.when(pending, F.col("at"))).alias(c) if c == "revoked" else F.col(c) for c in invites.columns])
+
+
+def guard_last_admin(users: DataFrame, changes: DataFrame) -> DataFrame:
+    """Users after ``changes`` (user_id, admin, active); refused if no active admin of the team would be left.
+
+    Each team's changes count together; a team that would lose its last active admin keeps all its rows.
+    """
+    after = users.join(changes.select("user_id", F.col("admin").alias("a"), F.col("active").alias("b")), "user_id", "left")
+    after = after.withColumns({"a": F.coalesce("a", "admin"), "b": F.coalesce("b", "active")})
+    left = after.groupBy("team").agg(F.count(F.when(F.col("a") & F.col("b"), 1)).alias("left"))
+    out = after.join(left, "team")
+    keep = F.col("left") > 0
+    return out.select("user_id", "team", F.when(keep, F.col("a")).otherwise(F.col("admin")).alias("admin"), F.when(keep, F.col("b")).otherwise(F.col("active")).alias("active"))
+
+
+def merge_speakers(rows: DataFrame, merges: DataFrame, others: str | None = None) -> DataFrame:
+    """Rows with label source of a meeting under label target (merges: meeting_id, source, target); ``others`` names an
+    array column of labels that is rewritten too, each label once, in its order."""
+    to = merges.select(F.col("meeting_id").alias("__m"), F.col("source").alias("__s"), F.col("target").alias("__t"))
+    out = rows.join(to, (F.col("meeting_id") == F.col("__m")) & (F.col("speaker") == F.col("__s")), "left")
+    out = out.withColumn("speaker", F.coalesce("__t", "speaker")).select(*rows.columns)
+    if others is None:
+        return out
+    map_ = merges.groupBy(F.col("meeting_id").alias("__m")).agg(F.map_from_entries(F.collect_list(F.struct("source", "target"))).alias("__map"))
+    out = out.join(map_, F.col("meeting_id") == F.col("__m"), "left")
+    new = F.array_distinct(F.transform(others, lambda x: F.coalesce(F.element_at("__map", x), x)))
+    return out.withColumn(others, F.coalesce(new, others)).select(*rows.columns)

@@ -250,13 +250,15 @@ s AS (SELECT meeting_id, unnest(range(least(90000, end_ms // 2), greatest(end_ms
 SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM turns x WHERE x.end_ms - x.start_ms > 450000 AND x.meeting_id = s.meeting_id AND abs(x.start_ms - s.t) < 30000)""")
 
 
-@query("hamming_neardup")
+@query("hamming_neardup", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
+p AS (SELECT x.vec_id AS frame_id, len(list_filter(range(1, 65), lambda i: x.b[i] <> y.b[i])) AS bits FROM e x JOIN e y ON x.vec_id <> y.vec_id)
+SELECT frame_id, count(*) AS n_near, CAST(min(bits) AS INT) AS least_bits FROM p WHERE bits <= 20 GROUP BY 1""")
 def _(spark, sf_dir):
     bits = [F.when(F.col("embedding")[i] > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
     hash_ = bits[0]
     for b in bits[1:]:
         hash_ = hash_.bitwiseOR(b)
-    return moments.hamming_neardup(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), hash_.alias("phash")), 6)
+    return moments.hamming_neardup(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), hash_.alias("phash")), 20)
 
 
 on_lines("greedy_windows", moments.greedy_windows, window_ms=60_000, most=400)
@@ -308,3 +310,6 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     gone = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return writes.cascade_delete({"lines": table(spark, sf_dir, "lineitem")}, gone, "l_orderkey")["lines"].select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+from parley import queries  # noqa: E402, F401  registers the other queries
