@@ -8,7 +8,9 @@ rest are verified by their bits. A cell gives a spanning forest of its links, ne
 
 For a similarity of whole shingle sets (``one_of_each`` with ``similarity``) the bits that differ are too many for
 equal blocks or for pivots, so texts meet by shingles: of two sets with Jaccard similarity t, each holds a common
-shingle among its first n - ceil(t n) + 1 in any fixed order. Bits and sizes discard pairs, and the sets decide.
+shingle among its first n - ceil(t n) + 1 in any fixed order. The order puts shingles last that a bitmap marks as
+common, so that passages which many texts share bring few of them together. Bits and sizes discard pairs, and the
+sets decide.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ WORDS_NEAR, SIMILARITY, LIMIT_NEAR = 5, 0.8, 22
 #: Fingerprints of a cell above which it is cut by further pivots, the cells' width in bits of distance, and pivots a cut.
 HOT_KEY, CELL, AT_ONCE = 1000, 6, 2
 N_PIVOTS = 24
+#: Reports from which a shingle counts as common, bits of the bitmap of common ones, and shingles that a task holds to find them.
+COMMON, COMMON_BITS, HELD = 8, 1 << 24, 1 << 22
 #: Pairs of a cell that are looked at together: so many first fingerprints with all their candidates.
 ROWS = 256
 
@@ -231,11 +235,53 @@ def classes(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
         return materialize(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), keep=True)
 
 
-def shingle_sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int, similarity: float | None = None) -> DataFrame:
+def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """A bitmap of COMMON_BITS bits, 64-bit hash by its last bits, of shingles that stand in many texts.
+
+    Tasks report shingles that two of the texts they hold at a time share; a shingle with COMMON reports or more in
+    all is marked. The bitmap only orders shingles, by a rule that depends on nothing but the hash, so whatever it
+    marks, no pair is lost. It has the same size for every corpus and is all that the driver gets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names, n = [], set(), 0
+
+        def shared() -> pa.RecordBatch:
+            token, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times > 1
+            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["token", "n"])
+
+        for b in slices(batches):
+            for t in b.column(0).to_pylist():
+                words = _words(t)
+                name = hash(tuple(words))
+                if not words or name in names:
+                    continue
+                names.add(name)
+                held.append(np.unique(_hashes(words, shingle)))
+                n += len(held[-1])
+                if n > HELD:
+                    yield shared()
+                    held, names, n = [], set(), 0
+        if held:
+            yield shared()
+
+    seen = docs.select(whole(text).alias("__text")).mapInArrow(run, "token long, n long")
+    often = seen.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    bit = F.col("token").bitwiseAND(F.lit(COMMON_BITS - 1)) + 1
+    rows = often.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    found = np.zeros(COMMON_BITS // 8, dtype=np.uint8)
+    for r in rows:
+        found[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return found
+
+
+def shingle_sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int, similarity: float | None = None, common: np.ndarray | None = None) -> DataFrame:
     """``keep``, name (a hash of the text's words), fp, size and grams of every whole text.
 
     ``grams`` are its distinct shingle hashes in order, and ``size`` their number. With ``similarity`` only the first
-    of them are given, of which a text of that similarity holds one among its own first.
+    of them are given, of which a text of that similarity holds one among its own first: in the order of the hashes,
+    those that the bitmap ``common`` marks behind the others.
     """
     slim = docs.select(*keep, whole(text).alias("__text"))
     long = F.lit(0).cast("long")
@@ -253,7 +299,13 @@ def shingle_sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int
                 fps.append(_simhash(h) if words else 0)
                 distinct = np.unique(h.view(np.int64))
                 sizes.append(len(distinct))
-                sets.append(distinct if similarity is None else distinct[: _first(len(distinct), similarity)])
+                if similarity is not None:
+                    if common is not None:
+                        at = distinct.view(np.uint64) & np.uint64(COMMON_BITS - 1)
+                        marked = common[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+                        distinct = distinct[np.argsort(marked, kind="stable")]
+                    distinct = distinct[: _first(len(distinct), similarity)]
+                sets.append(distinct)
             grams = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets)))
             longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (names, fps, sizes)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *longs, grams], names=[*keep, "name", "fp", "size", "grams"])
@@ -402,7 +454,8 @@ def one_of_each(docs: DataFrame, text: str = "text", limit: int = LIMIT, shingle
             key, prints = "fp", materialize(fingerprints(tagged, text, ("doc_id", "__tag"), shingle))
             table = classes(prints, limit)
         else:
-            key, prints = "name", materialize(shingle_sets(tagged, text, ("doc_id", "__tag"), shingle, similarity))
+            common = common_shingles(docs, text, shingle)
+            key, prints = "name", materialize(shingle_sets(tagged, text, ("doc_id", "__tag"), shingle, similarity, common))
 
             def sets_of(names: DataFrame) -> DataFrame:
                 """Whole shingle sets of some texts, made anew from one row of each: sets of all texts are never written."""
