@@ -60,6 +60,18 @@ def test_top_k_small(spark):
     assert topk.top_k(few.limit(0)).count() == 0
 
 
+def test_registered_top_k_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    from parley.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op10_topk"])
+    assert want.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(want.fetchall()) == sorted(map(tuple, queries.QUERIES["op10_topk"](spark, sf_dir).collect()))
+
+
 def test_pipeline(spark, docs, sf_dir):
     names = spark.read.parquet(f"{sf_dir}/documents.parquet").columns
     now = docs.select(*names)
