@@ -9,8 +9,8 @@ rest are verified by their bits. A cell gives a spanning forest of its links, ne
 For a similarity of whole shingle sets (``one_of_each`` with ``similarity``) the bits that differ are too many for
 equal blocks or for pivots, so texts meet by shingles: of two sets with Jaccard similarity t, each holds a common
 shingle among its first n - ceil(t n) + 1 in any fixed order. The order puts shingles last that a bitmap marks as
-common, so that passages which many texts share bring few of them together. Bits and sizes discard pairs, and the
-sets decide.
+common, so that passages which many texts share bring few of them together. Bits, sizes and a bound of the common
+shingles by small bitmaps discard pairs where they meet, and the sets decide.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.text import whole
@@ -41,6 +41,8 @@ N_PIVOTS = 24
 COMMON, COMMON_BITS, HELD = 8, 1 << 24, 1 << 22
 #: Pairs of a cell that are looked at together: so many first fingerprints with all their candidates.
 ROWS = 256
+#: 64-bit words of the bitmap of a text's shingles, and texts from which those that share a shingle meet in blocks.
+SKETCH, BLOCK = 32, 1024
 
 
 def pivots() -> np.ndarray:
@@ -277,21 +279,22 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int, similarity: float | None = None, common: np.ndarray | None = None) -> DataFrame:
-    """``keep``, name (a hash of the text's words), fp, size and grams of every whole text.
+    """``keep``, name (a hash of the text's words), fp, size, sketch and grams of every whole text.
 
-    ``grams`` are its distinct shingle hashes in order, and ``size`` their number. With ``similarity`` only the first
+    ``grams`` are its distinct shingle hashes in order, ``size`` their number, and ``sketch`` a bitmap of them all. With ``similarity`` only the first
     of them are given, of which a text of that similarity holds one among its own first: in the order of the hashes,
     those that the bitmap ``common`` marks behind the others.
     """
     slim = docs.select(*keep, whole(text).alias("__text"))
     long = F.lit(0).cast("long")
-    schema = slim.select(*keep).withColumns({"name": long, "fp": long, "size": long, "grams": F.array().cast("array<bigint>")}).schema
+    many = F.array().cast("array<bigint>")
+    schema = slim.select(*keep).withColumns({"name": long, "fp": long, "size": long, "sketch": many, "grams": many}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in slices(batches):
-            names, fps, sizes, sets = [], [], [], []
+            names, fps, sizes, sketches, sets = [], [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 words = _words(t)
                 h = _hashes(words, shingle) if words else np.empty(0, np.uint64)
@@ -299,6 +302,7 @@ def shingle_sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int
                 fps.append(_simhash(h) if words else 0)
                 distinct = np.unique(h.view(np.int64))
                 sizes.append(len(distinct))
+                sketches.append(_sketch(distinct))
                 if similarity is not None:
                     if common is not None:
                         at = distinct.view(np.uint64) & np.uint64(COMMON_BITS - 1)
@@ -307,12 +311,27 @@ def shingle_sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int
                     distinct = distinct[: _first(len(distinct), similarity)]
                 sets.append(distinct)
             grams = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets)))
+            bits = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH, pa.array(np.concatenate(sketches)))
             longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (names, fps, sizes)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *longs, grams], names=[*keep, "name", "fp", "size", "grams"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *longs, bits, grams], names=[*keep, "name", "fp", "size", "sketch", "grams"])
 
     return slim.mapInArrow(run, schema)
 
 
+def _sketch(distinct: np.ndarray) -> np.ndarray:
+    """A bitmap with the bits that the top bits of the hashes name."""
+    bits = np.zeros(SKETCH * 64, dtype=bool)
+    bits[(distinct.view(np.uint64) >> np.uint64(40)).astype(np.int64) % len(bits)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def may_be_similar(size_a, sketch_a, size_b, sketch_b, similarity: float):
+    """Whether sets of these sizes and (unsigned) bitmaps can have the similarity: a bit of one alone is a shingle of it alone."""
+    a = size_a - np.bitwise_count(sketch_a & ~sketch_b).sum(axis=-1, dtype=np.int64)
+    b = size_b - np.bitwise_count(sketch_b & ~sketch_a).sum(axis=-1, dtype=np.int64)
+    return np.minimum(a, b) * (1 + similarity) >= similarity * (size_a + size_b) - 1e-9
+
+
 def _first(n: int, similarity: float) -> int:
     """Of ``n`` shingles in a fixed order, how many must be looked at to meet every set of this similarity."""
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
@@ -324,59 +343,97 @@ def _near(fp, size, i, j, limit: int, similarity: float):
     return (small >= similarity * large - 1e-9) & (np.bitwise_count(fp[i] ^ fp[j]) <= limit)
 
 
-def meetings(tokens: DataFrame, limit: int, similarity: float, every: bool) -> DataFrame:
-    """Pairs (a, b) of names that meet by a shingle of (token, size, name, root, fp) and pass sizes and bits.
+def meetings(tokens: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of names that meet by a shingle of (token, size, name, fp) and pass sizes and bits.
 
-    Not ``every``: the first name with each other, and neighbours by size, so the rows follow the input. ``every``:
-    all pairs whose roots differ.
+    The first name with each other, and neighbours by size, so the rows follow the input.
     """
-    cols = ["token", "size", "name", "root", "fp"]
-    dealt = tokens.select(*cols).repartition("token").sortWithinPartitions("token", "size", "name")
-
-    def pairs(starts, sizes, size, name, root, fp):
-        if not every:
-            n = int(sizes.sum())
-            group = np.repeat(np.arange(len(sizes)), sizes)
-            low = np.lexsort((name, group))[np.cumsum(sizes) - sizes] if n else np.empty(0, np.int64)
-            at = np.arange(n)
-            after = at[np.flatnonzero(group[1:] == group[:-1])] if n else at
-            yield np.r_[low[group], after], np.r_[at, after + 1]
-            return
-        for s, n in zip(starts, sizes, strict=True):
-            if n < 2 or (root[s : s + n] == root[s]).all():
-                continue
-            ends = s + np.searchsorted(size[s : s + n], np.floor(size[s : s + n] / similarity + 1e-9), side="right")
-            for i in range(s, s + n - 1):
-                j = np.arange(i + 1, ends[i - s])
-                j = j[root[j] != root[i]]
-                if len(j := j[_near(fp, size, i, j, limit, similarity)]):
-                    yield np.full(len(j), i), j
+
+    def pairs(sizes, name):
+        n = int(sizes.sum())
+        group, at = np.repeat(np.arange(len(sizes)), sizes), np.arange(n)
+        low = np.lexsort((name, group))[np.cumsum(sizes) - sizes] if n else at
+        after = at[np.flatnonzero(group[1:] == group[:-1])] if n else at
+        return np.r_[low[group], after], np.r_[at, after + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 5
-        for b in _and_end(batches):
-            got = [np.concatenate((r, b.column(i).to_numpy())) for i, r in enumerate(rest)] if b is not None else rest
-            token = got[0]
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
-            if b is not None and len(starts):
-                cut = starts[-1]  # the last group may go on in the next batch
-                rest, got, starts = [x[cut:] for x in got], [x[:cut] for x in got], starts[:-1]
-            _, size, name, root, fp = got
-            sizes = np.diff(np.r_[starts, len(size)])
-            bits, out, held = fp.view(np.uint64), [], 0
-            for i, j in pairs(starts, sizes, size, name, root, bits):
-                ok = (name[i] != name[j]) & _near(bits, size, i, j, limit, similarity)
-                out.append(np.stack((np.minimum(name[i], name[j])[ok], np.maximum(name[i], name[j])[ok]), axis=1))
-                held += len(out[-1])
+        for _, sizes, (_, size, name, fp) in _groups(batches, [1, 1, 1, 1]):
+            i, j = pairs(sizes, name)
+            ok = (name[i] != name[j]) & _near(fp.view(np.uint64), size, i, j, limit, similarity)
+            if ok.any():
+                yield _pairs([_ordered(name, i[ok], j[ok])])
+
+    dealt = tokens.select("token", "size", "name", "fp").repartition("token").sortWithinPartitions("token", "size", "name")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def other_meetings(tokens: DataFrame, sketches: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """All pairs (a, b) of names of different roots that meet by a shingle of (token, size, name, root, fp) and may be similar.
+
+    Tokens of one root, or of two names, have no such pair that ``meetings`` hasn't given. The others' rows get the
+    bitmaps of the written ``sketches`` (name, sketch), so only pairs that these let pass leave the task, nearly all of
+    them similar. Names of a token beyond BLOCK are dealt into blocks by a hash, and each two blocks are a group of
+    their own: no task holds more than about two blocks, whatever the number of names.
+    """
+    by_token = Window.partitionBy("token")
+    open_ = tokens.withColumns({"__n": F.count(F.lit(1)).over(by_token), "__lo": F.min("root").over(by_token), "__hi": F.max("root").over(by_token)})
+    open_ = open_.filter("__n > 2 and __lo < __hi").withColumn("__k", F.ceil(F.col("__n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("name"), F.col("__k")).cast("int")
+    rows = open_.withColumn("__b", own).withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    split = F.when(F.col("__k") > 1, F.xxhash64("token", F.least("__b", "__c"), F.greatest("__b", "__c"))).otherwise(F.col("token"))
+    side = F.when(F.expr("__b = __c"), -1).otherwise(F.expr("__b > __c").cast("int")).cast("long")
+    rows = materialize(rows.select(split.alias("token"), "size", "name", "root", "fp", side.alias("side")))
+    asked = sieved(sketches, rows, "name")[0].groupBy("name").agg(F.first("sketch").alias("sketch"))
+    rows = rows.join(asked.hint("merge"), "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for starts, sizes, (_, size, name, root, fp, side, sketch) in _groups(batches, [1, 1, 1, 1, 1, 1, SKETCH]):
+            bits = fp.view(np.uint64)
+            sketch = sketch.view(np.uint64)  # bits of a negative number would be counted by its absolute value
+            for s, n in zip(starts, sizes, strict=True):
+                if n < 2 or (root[s : s + n] == root[s]).all():
+                    continue
+                ends = s + np.searchsorted(size[s : s + n], np.floor(size[s : s + n] / similarity + 1e-9), side="right")
+                for i in range(s, s + n - 1):
+                    j = np.arange(i + 1, ends[i - s])
+                    j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (side[i] < 0))]
+                    j = j[_near(bits, size, i, j, limit, similarity)]
+                    j = j[may_be_similar(size[i], sketch[i], size[j], sketch[j], similarity)]
+                    if len(j):
+                        out.append(_ordered(name, np.full(len(j), i), j))
+                        held += len(j)
                 if held > 1 << 18:
                     yield _pairs(out)
                     out, held = [], 0
-            if held:
-                yield _pairs(out)
+        if held:
+            yield _pairs(out)
 
+    dealt = rows.select("token", "size", "name", "root", "fp", "side", "sketch").repartition("token").sortWithinPartitions("token", "size", "name")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _groups(batches: Iterator[pa.RecordBatch], width: list[int]) -> Iterator[tuple]:
+    """(starts, sizes, columns) of the whole groups by the first column of sorted batches; columns wider than 1 are lists of that length."""
+
+    def columns(b):
+        return [c.to_numpy() if w == 1 else c.flatten().to_numpy().reshape(-1, w) for c, w in zip(b.columns, width, strict=True)]
+
+    rest = [np.empty(0 if w == 1 else (0, w), np.int64) for w in width]
+    for b in _and_end(batches):
+        got = [np.concatenate(x) for x in zip(rest, columns(b), strict=True)] if b is not None else rest
+        token = got[0]
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+        if b is not None and len(starts):
+            cut = starts[-1]  # the last group may go on in the next batch
+            rest, got, starts = [x[cut:] for x in got], [x[:cut] for x in got], starts[:-1]
+        yield starts, np.diff(np.r_[starts, len(got[0])]), got
+
+
+def _ordered(name: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.stack((np.minimum(name[i], name[j]), np.maximum(name[i], name[j])), axis=1)
+
+
 def _pairs(out: list[np.ndarray]) -> pa.RecordBatch:
     found = np.unique(np.concatenate(out), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
@@ -396,7 +453,8 @@ def similar_classes(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     """Written (name, root) for every distinct name of a written table of ``shingle_sets``: root is the smallest it reaches.
 
     Tokens are counted first; a bounded sieve of those that stand in two texts lets few others into the join by
-    token. First the pairs of a linear scan of each meeting are verified, then all others that these have not joined.
+    token. First the pairs of a linear scan of each meeting are verified, then all others that these have not joined
+    and that bitmaps of the sets let pass.
     """
     with scratch(prints.sparkSession):
         # Copies of a text are one text: all its rows but the one of the least tag are left out.
@@ -408,12 +466,13 @@ def similar_classes(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
         tokens = texts.select("name", "size", "fp", F.explode("grams").alias("token"))
         shared = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"))
         tokens = sieved(tokens, shared, "token")[0]
-        tokens = materialize(tokens.join(shared.hint("merge"), "token", "left_semi").withColumn("root", F.col("name")))
-        tried = materialize(meetings(tokens, limit, similarity, every=False))
+        tokens = materialize(tokens.join(shared.hint("merge"), "token", "left_semi"))
+        tried = materialize(meetings(tokens, limit, similarity))
         links_ = similar_pairs(tried, sets_of, similarity)
         found = materialize(components(links_).distinct())
-        known = tokens.drop("root").join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        others = materialize(meetings(known, limit, similarity, every=True).join(tried, ["a", "b"], "left_anti"))
+        known = tokens.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+        others = other_meetings(known, prints.select("name", "sketch"), limit, similarity)
+        others = materialize(others.join(tried, ["a", "b"], "left_anti"))
         if not others.isEmpty():
             more = similar_pairs(others, sets_of, similarity)
             found = materialize(components(links_.unionByName(more)).distinct())

@@ -432,6 +432,30 @@ def test_near_copies_by_similarity(spark, docs, rows, sf_dir):
     assert sorted(r.doc_id for r in got if r.doc_id and r.doc_id >= 500_000) == [500_000, 500_005, 500_006]
 
 
+def test_near_copies_around_the_similarity(spark, monkeypatch):
+    """A large group just around 0.8, in blocks of a few names: bitmaps lose no pair, and the classes are those of brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    base, texts = [f"b{i}" for i in range(400)], []
+    for k in range(60):
+        w = list(base)
+        for at in rng.choice(400, int(rng.integers(4, 10)), replace=False):
+            w[at] = f"n{k}x{at}"
+        texts.append(" ".join(w))
+    texts += texts[:3]
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = neardup.one_of_each(docs, limit=neardup.LIMIT_NEAR, shingle=5, similarity=0.8).collect()
+    assert sorted(r.doc_id for r in got) == sorted({root.index(r) for r in root})
+    assert 1 < len(got) < 60
+
+
 def test_wider_limit_of_bits(spark):
     base = 0x0123456789ABCDEF
     table = materialize(spark.createDataFrame([(base ^ x,) for x in (0, 0b11111 << 7, 0b10101010101 << 20, 0b111111111 << 40)], "fp long"))
