@@ -70,6 +70,24 @@ QUERIES = {
     "op10_topk": op10_topk,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_quality": r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, source, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM (SELECT rid, i, w[i:i + 4] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w))),
+c AS (SELECT rid, sum(s) AS s FROM (SELECT rid, least(5, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 5)) AS s FROM g WHERE c > 1) GROUP BY rid),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars, n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, CAST(coalesce(s, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (rid)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines AS failed FROM m),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS k FROM f GROUP BY source),
+a AS (SELECT sum(k) / sum(n) AS m, sum(n) AS n, sum(k * k / n) AS k2, sum(n) - sum(n * n) / sum(n) AS between_, count(*) AS hosts FROM h),
+v AS (SELECT m, CASE WHEN between_ > 0 THEN (k2 - n * m * m - (hosts - 1) * m * (1 - m)) / between_ ELSE 0 END AS v FROM a),
+b AS (SELECT m, CASE WHEN v > 1e-12 AND m > 0 AND m < 1 THEN greatest(1, m * (1 - m) / v - 1) END AS strength FROM v),
+r AS (SELECT source, rate, CASE WHEN rate > m THEN greatest(0.5, m / rate) ELSE 1.0 END AS share
+  FROM (SELECT source, m, CASE WHEN strength IS NULL THEN m ELSE (k + m * strength) / (n + strength) END AS rate FROM h, b))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND rate <= 0.5 AND 100 * n_repeat_words <= 20 * share * n_words
+  AND 100 * n_symbols <= 10 * share * word_chars AND 100 * n_dup_lines <= 50 * share * n_lines AS kept
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""",
     "op10_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings
 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)

@@ -95,3 +95,26 @@ def test_pipeline_on_nothing(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         now = materialize(stage(spark, now, sf_dir))
     assert now.count() == 0
+
+
+def test_registered_quality_equals_its_sql(spark, docs, sf_dir, tmp_path):
+    """On the fixture's documents and awkward ones, and hosts whose failures decide on borderline documents."""
+    import duckdb
+
+    from parley.llm import queries
+
+    names = spark.read.parquet(f"{sf_dir}/documents.parquet").columns
+    good, border = "every word here stands once so nothing at all repeats in it", "twelve words and two signs # # that a strict host rejects"
+    planted = [(700_000 + i, "short" if i % 100 < 70 else border if i % 100 < 80 else good, "bad") for i in range(100)]
+    planted += [(710_000 + 1000 * h + i, good if i else border, f"fine{h}") for h in range(8) for i in range(40)]
+    both = docs.select(*names).unionByName(spark.createDataFrame(planted, "doc_id long, text string, source string"), allowMissingColumns=True)
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_quality"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op6_quality"])
+    order = [want.columns.index(c) for c in got.columns]
+    assert sorted(want.columns) == sorted(got.columns)
+    rows = got.collect()
+    assert Counter(map(tuple, rows)) == Counter(tuple(r[i] for i in order) for r in want.fetchall())
+    assert any(not r.kept and not r.base_failed for r in rows if r.doc_id and 700_000 <= r.doc_id < 700_100)
