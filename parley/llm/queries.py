@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parley.llm import fst, licenses, linededup, mixing, neardup, packing, quality, sharding, topk, wavelet
+from parley.llm import fst, licenses, linededup, mixing, neardup, packing, quality, sharding, topk, wavelet, wordtable
 from parley.llm.text import tables
 from parley.plans.shared import materialize, work_folder
 
@@ -57,6 +58,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(tables(spark, sf_dir, "embeddings"))
 
 
+def op12_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = wordtable.decode(wordtable.encode(tables(spark, sf_dir, "documents"), path), path)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_pack": op2_pack,
@@ -68,6 +76,7 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_license": op9_license,
     "op10_topk": op10_topk,
+    "op12_words": op12_words,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_quality": r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
