@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import fst, licenses, linededup, mixing, neardup, packing, quality, sharding, topk, wavelet, wordtable
+from parley.llm import fst, licenses, linededup, mixing, neardup, packing, quality, sharding, spelling, topk, wavelet, wordtable
 from parley.llm.text import tables
 from parley.plans.shared import materialize, work_folder
 
@@ -65,6 +65,10 @@ def op12_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.forms(spelling.vocabulary(tables(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_pack": op2_pack,
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_license": op9_license,
     "op10_topk": op10_topk,
     "op12_words": op12_words,
+    "op13_variants": op13_variants,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_quality": r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
