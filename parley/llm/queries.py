@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import fst, licenses, linededup, mixing, neardup, packing, quality, sharding, spelling, topk, wavelet, wordtable
+from parley.llm import fst, licenses, linededup, mixing, neardup, packing, quality, repair, sharding, spelling, topk, wavelet, wordtable
 from parley.llm.text import tables
 from parley.plans.shared import materialize, work_folder
 
@@ -58,6 +58,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(tables(spark, sf_dir, "embeddings"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables(spark, sf_dir, "conversations")
+    return repair.report(rows, repair.damaged(rows))
+
+
 def op12_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     found = wordtable.decode(wordtable.encode(tables(spark, sf_dir, "documents"), path), path)
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_license": op9_license,
     "op10_topk": op10_topk,
+    "op11_repair": op11_repair,
     "op12_words": op12_words,
     "op13_variants": op13_variants,
 }
