@@ -34,6 +34,16 @@ SLOTS = 2048
 ROWS = 256
 
 
+def _small(text: str) -> bytes:
+    """A text as zstd behind its length in bytes."""
+    data = text.encode()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+
+
+def _large(data: bytes) -> str:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode()
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Unsigned 32-bit integers as zstd over their byte planes, behind their count."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -69,8 +79,8 @@ def _tokenizer(path: str):
     return found
 
 
-def _block(texts: pa.Array, slots: int) -> tuple[np.ndarray, bytes, pa.Array]:
-    """Words of each text, the numbers of the words at all places, and the distinct words by slot, joined by spaces."""
+def _block(texts: pa.Array, slots: int) -> tuple[np.ndarray, bytes, bytes]:
+    """Words of each text, the numbers of the words at all places, and the distinct words: a line for each slot."""
     cut = pc.ascii_split_whitespace(texts)
     begin, words = cut.offsets.to_numpy(), cut.flatten()
     real = pc.not_equal(words, "")  # white space at the ends of a text gives empty strings
@@ -83,9 +93,9 @@ def _block(texts: pa.Array, slots: int) -> tuple[np.ndarray, bytes, pa.Array]:
     number[order] = np.arange(len(distinct))
     ends = np.searchsorted(slot[order], np.arange(slots + 1))
     dealt = [distinct[i] for i in order.tolist()]
-    parts = [" ".join(dealt[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    parts = "\n".join(" ".join(dealt[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
     places = number[words.indices.to_numpy()]
-    return np.diff(upto[begin]), _packed(places), pa.array(parts, pa.string())
+    return np.diff(upto[begin]), _packed(places), _small(parts)
 
 
 def _split(batches: Iterator[pa.RecordBatch], names: list[str], slots: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -102,7 +112,7 @@ def _split(batches: Iterator[pa.RecordBatch], names: list[str], slots: int, size
             sizes, places, parts = _block(rows.column(rows.num_columns - 1).cast(pa.large_string()), slots)
             one = lambda values: pa.ListArray.from_arrays([0, len(values)], values)
             kept = [one(c) for c in rows.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array([at]), *kept, one(pa.array(sizes, pa.int64())), pa.array([places], pa.binary()), one(parts)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([at]), *kept, one(pa.array(sizes, pa.int64())), pa.array([places], pa.binary()), pa.array([parts], pa.binary())], names=names)
             at += 1
 
 
@@ -110,9 +120,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, slot, words) for the slots of a block that hold words."""
     for batch in batches:
         for block, parts in zip(batch.column("block"), batch.column("words"), strict=True):
-            words = parts.values
-            some = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)
-            yield pa.RecordBatch.from_arrays([pa.repeat(block, len(some)), pa.array(some, pa.int32()), words.take(pa.array(some))], names=["block", "slot", "words"])
+            some = [(i, _small(words)) for i, words in enumerate(_large(parts.as_py()).split("\n")) if words]
+            yield pa.RecordBatch.from_arrays([pa.repeat(block, len(some)), pa.array([i for i, _ in some], pa.int32()), pa.array([w for _, w in some], pa.binary())], names=["block", "slot", "words"])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -120,7 +129,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     encode, current, known = _tokenizer(path).encode_batch_fast, -1, {}
     for batch in batches:
         sizes, flat = [], []
-        slots, bundles = batch.column(1).to_pylist(), [w.split(" ") for w in batch.column(2).to_pylist()]
+        slots, bundles = batch.column(1).to_pylist(), [_large(w).split(" ") for w in batch.column(2).to_pylist()]
         at = 0
         while at < len(slots):
             upto = at
@@ -165,10 +174,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     slim = docs.select(*[F.col(c) for c in keep], whole(text).alias("__text"))
     names = [f"__k{i}" for i in range(len(keep))]
     kept = [T.StructField(n, T.ArrayType(slim.schema[c].dataType)) for n, c in zip(names, keep, strict=True)]
-    schema = T.StructType([T.StructField("block", T.LongType()), *kept, T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("places", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("block", T.LongType()), *kept, T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("places", T.BinaryType()), T.StructField("words", T.BinaryType())])
     # Both readers of the blocks take every column, so they share one exchange and texts are split once.
     blocks = slim.mapInArrow(partial(_split, names=schema.names, slots=slots, size=block), schema).repartition("block")
-    words = blocks.mapInArrow(_spread, "block long, slot int, words string").repartition("slot").sortWithinPartitions("slot")
+    words = blocks.mapInArrow(_spread, "block long, slot int, words binary").repartition("slot").sortWithinPartitions("slot")
     ids = words.mapInArrow(partial(_encode, path=path), "block long, slot int, sizes binary, ids binary")
     found = T.StructType([*[T.StructField(n, slim.schema[c].dataType) for n, c in zip(names, keep, strict=True)], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     joined = blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(lambda left, right: _gathered(left, right, names), found)
