@@ -190,27 +190,3 @@ def active_runs(frames: DataFrame, least: int = 1) -> DataFrame:
     run = F.col("frame") - F.row_number().over(Window.partitionBy("meeting_id", "speaker").orderBy("frame"))
     runs = frames.withColumn("run", run).groupBy("meeting_id", "speaker", "run").agg(F.min("frame").alias("first"), (F.max("frame") + 1).alias("last"))
     return runs.filter(F.col("last") - F.col("first") >= least).drop("run")
-
-
-def cap_speakers(active: DataFrame, most: int = 4) -> DataFrame:
-    """Each speaker's channel after the cap: the ``most`` with most active frames stay, another goes to the kept one
-    that is active in most of its frames (equal: the lower label)."""
-    n = active.groupBy("meeting_id", "speaker").agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("rank", F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.desc("n"), "speaker")))
-    kept, gone = n.filter(F.col("rank") <= most), n.filter(F.col("rank") > most)
-    frames = lambda some, name: active.join(some.select("meeting_id", "speaker"), ["meeting_id", "speaker"]).select("meeting_id", "frame", F.col("speaker").alias(name))
-    both = frames(gone, "speaker").join(frames(kept, "target"), ["meeting_id", "frame"]).groupBy("meeting_id", "speaker", "target").agg(F.count(F.lit(1)).alias("both"))
-    choice = gone.select("meeting_id", "speaker").join(kept.select("meeting_id", F.col("speaker").alias("target")), "meeting_id").join(both, ["meeting_id", "speaker", "target"], "left")
-    to = choice.groupBy("meeting_id", "speaker").agg(F.min_by("target", F.struct(-F.coalesce("both", F.lit(0)), F.col("target"))).alias("target"))
-    return kept.select("meeting_id", "speaker", F.col("speaker").alias("target")).unionByName(to)
-
-
-def diarization_turns(turns: DataFrame, frame_ms: int = 10_000, window: int = 3, least: int = 1, gap: int = 2, least_overlap: int = 1) -> DataFrame:
-    """The chain raster, median filter, runs, drop short, merge gaps, relabel, overlap flag; times in frames."""
-    runs = active_runs(median_filter(raster(turns, frame_ms), window), least)
-    spans = runs.select("meeting_id", "speaker", F.col("first").alias("start_ms"), F.col("last").alias("end_ms"), F.xxhash64("meeting_id", "speaker", "first").alias("turn_id"))
-    spans = merge_gaps(spans, gap).withColumn("turn_id", F.xxhash64("meeting_id", "speaker", "start_ms"))
-    flags = overlap_flag(spans, least_overlap).select("turn_id", "overlap")
-    names = relabel_speakers(spans).select("meeting_id", "speaker", "label")
-    out = spans.join(names, ["meeting_id", "speaker"]).join(flags, "turn_id")
-    return out.select("meeting_id", F.col("label").alias("speaker"), F.col("start_ms").alias("first_frame"), F.col("end_ms").alias("last_frame"), "overlap")

@@ -95,14 +95,6 @@ on_turns("median_filter", lambda t: intervals.median_filter(intervals.raster(t))
 on_turns("active_runs", lambda t: intervals.active_runs(intervals.median_filter(intervals.raster(t)), 2), f""", {_MEDIAN},
 r AS (SELECT *, frame - row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY frame) AS run FROM med)
 SELECT meeting_id, speaker, min(frame) AS first, max(frame) + 1 AS last FROM r GROUP BY meeting_id, speaker, run HAVING count(*) >= 2""")
-on_turns("cap_speakers", lambda t: intervals.cap_speakers(intervals.raster(t)), f""", {_RASTER},
-n AS (SELECT meeting_id, speaker, row_number() OVER (PARTITION BY meeting_id ORDER BY count(*) DESC, speaker) AS rank FROM frames GROUP BY 1, 2),
-k AS (SELECT g.meeting_id, g.speaker, k.speaker AS target, (SELECT count(*) FROM frames x JOIN frames y USING (meeting_id, frame) WHERE x.meeting_id = g.meeting_id AND x.speaker = g.speaker AND y.speaker = k.speaker) AS both_n
-FROM n g JOIN n k ON g.meeting_id = k.meeting_id AND g.rank > 4 AND k.rank <= 4)
-SELECT meeting_id, speaker, speaker AS target FROM n WHERE rank <= 4
-UNION ALL SELECT meeting_id, speaker, target FROM k QUALIFY row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY both_n DESC, target) = 1""")
-on_turns("diarization_turns", intervals.diarization_turns)
-
 _CLOCK = "lpad(CAST({0} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 1000 % 60 AS VARCHAR), 2, '0')"
 _MARKED = _CLOCK + " || '{1}' || lpad(CAST({0} % 1000 AS VARCHAR), 3, '0')"
 on_lines("export_txt", exports.txt, f"\nSELECT meeting_id, line_id, '[' || {_CLOCK.format('start_ms')} || '] ' || speaker || ': ' || text AS line FROM lines")
@@ -312,4 +304,4 @@ def _(spark, sf_dir):
     return writes.cascade_delete({"lines": table(spark, sf_dir, "lineitem")}, gone, "l_orderkey")["lines"].select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
-from parley import queries  # noqa: E402, F401  registers the other queries
+from parley import audio, queries  # noqa: E402, F401  registers the other queries
