@@ -1,72 +1,11 @@
-"""Ranked text search: postings, prefix matching, BM25, access filtering, snippets, grounding of claims."""
+"""Search without an index: substrings, snippets around the first match, highlights, grounding of claims."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import words
-from parley.plans.joins import join_small
-
-K1, B = 1.2, 0.75
-
-
-def terms(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def query_terms(query: str) -> list[str]:
-    """The first 12 words of a query, lower-cased; a word shorter than 2 in all gives none."""
-    import regex
-
-    words = regex.findall(r"[\p{L}\p{N}]+", query.lower())[:12] if len(query.strip()) >= 2 else []
-    return list(dict.fromkeys(words))
-
-
-def matches(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_terms, tf per query prefix as an array) of the documents that hold a word for every query prefix.
-
-    Texts are scanned in place and only counts leave a row, so no posting is shuffled for a query.
-    """
-    asked = query_terms(query)
-    w = terms(F.col(text))
-    rows = docs.select(key, w.alias("w"))
-    beginning = lambda p: F.size(F.filter("w", lambda x: x.startswith(p)))
-    tf = F.array(*map(beginning, asked)) if asked else F.array().cast("array<int>")
-    rows = rows.select(key, F.size("w").alias("n_terms"), tf.alias("tf"))
-    return rows
-
-
-def prefix_and(docs: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
-    if not query_terms(query):
-        return docs.select(key).limit(0)
-    return matches(docs, query, key).filter(F.forall("tf", lambda n: n > 0)).select(key)
-
-
-def bm25(docs: DataFrame, query: str, top: int | None = 50, key: str = "doc_id") -> DataFrame:
-    """(key, score, rank): BM25 over prefixes, statistics of the whole index, best first, ties to the smaller key."""
-    asked = query_terms(query)
-    rows = matches(docs, query, key)
-    df = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(asked))]
-    stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"), *df)
-    hits = rows.filter(F.forall("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))  # stats is one row
-    norm = K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms"))
-    score = F.lit(0.0)
-    for i in range(len(asked)):
-        idf = F.log((F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score += F.greatest(idf, F.lit(1e-6)) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + norm)
-    ranked = hits.select(key, score.alias("score")).orderBy(F.desc("score"), key)
-    ranked = ranked.limit(top) if top else ranked
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
-
-
-def visible(docs: DataFrame, shares: DataFrame, user: int) -> DataFrame:
-    """Documents a user owns, that are for everyone, or that are shared with the user."""
-    mine = shares.filter(F.col("user_id") == user).select(F.col("doc_id").alias("__shared")).distinct()
-    out = join_small(docs, mine, F.col("doc_id") == F.col("__shared"))
-    return out.filter((F.col("owner_id") == user) | F.col("everyone") | F.col("__shared").isNotNull()).drop("__shared")
-
 
 def substring_search(lines: DataFrame, query: str) -> DataFrame:
     needle = query.strip().lower()
@@ -125,59 +64,3 @@ def highlight(text: Column, query: str) -> Column:
 def markers(snippet_: Column) -> Column:
     """The texts between [[ and ]] of a snippet."""
     return F.regexp_extract_all(snippet_, F.lit(r"\[\[(.*?)\]\]"), F.lit(1))
-
-
-def window_snippet(text: Column, query: str, width: int = 16) -> Column:
-    """``width`` words around the first one that begins with a word of the query, hits in [[ ]], dots where words are missing."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    alike = lambda t: F.lit(False) if not query_terms(query) else _any([fold(t).startswith(q) for q in query_terms(query)])
-    hits = F.transform(tokens, alike)
-    at = F.coalesce(F.nullif(F.array_position(hits, True), F.lit(0)), F.lit(1)).cast("int")
-    first = F.greatest(F.lit(1), at - width // 2)
-    shown = F.transform(F.slice(tokens, first, width), lambda t: F.when(alike(t), F.concat(F.lit("[["), t, F.lit("]]"))).otherwise(t))
-    return F.concat(F.when(first > 1, "…").otherwise(""), F.array_join(shown, " "), F.when(F.size(tokens) >= first + width, "…").otherwise(""))
-
-
-def fold(word: Column) -> Column:
-    """Lower case, without diacritics of Latin letters and without marks before the word."""
-    plain = F.translate(F.lower(word), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_replace(plain, r"^[^\p{L}\p{N}]+", "")
-
-
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", letters: int = 2) -> DataFrame:
-    """(head, term, key, tf, n_terms): the index of a corpus. head, the first ``letters`` of a term, is what a written index is partitioned by."""
-    w = terms(F.translate(F.lower(F.col(text)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"))
-    rows = docs.select(key, w.alias("w")).select(key, F.size("w").alias("n_terms"), F.explode("w").alias("term"))
-    rows = rows.groupBy(key, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return rows.select(F.substring("term", 1, letters).alias("head"), "term", key, "tf", "n_terms")
-
-
-def write_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> None:
-    """Postings under ``folder``, partitioned by the terms' heads and sorted by term, so a prefix reads a few files' ranges."""
-    rows = postings(docs, key, text)
-    rows.repartition("head", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("head", "term").write.partitionBy("head").mode("overwrite").parquet(folder)
-
-
-def indexed_prefix_and(index: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
-    """Documents with a term for every prefix of the query, from written ``postings``: partition and row group filters reach the files."""
-    import unicodedata
-
-    asked = ["".join(c for c in unicodedata.normalize("NFD", q) if not unicodedata.combining(c)) for q in query_terms(query)]
-    if not asked:
-        return index.select(key).limit(0)
-    hit = lambda q: F.col("head").startswith(q[:2]) & F.col("term").startswith(q)
-    rows = index.filter(_any([hit(q) for q in asked]))
-    return rows.groupBy(key).agg(*[F.bool_or(hit(q)).alias(f"q{i}") for i, q in enumerate(asked)]).filter(" and ".join(f"q{i}" for i in range(len(asked)))).select(key)
-
-
-def maintained(index: DataFrame, changed: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings after documents were changed or added (``changed``) and deleted (``gone``), as triggers would keep them."""
-    out = changed.select(key).unionByName(gone.select(key)).distinct()
-    return index.join(out, key, "left_anti").select(*index.columns).unionByName(postings(changed, key, text).select(*index.columns))

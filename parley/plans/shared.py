@@ -61,6 +61,11 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, file: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this application. Call it once no result is read any more."""
     _delete(spark, work_folder(spark))

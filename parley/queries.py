@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from parley.functions import times, words
-from parley.operators import context, errors, exports, intervals, library, moments, notes, search, segments, writes
+from parley.operators import context, errors, exports, fulltext, intervals, library, moments, notes, search, segments, writes
 from parley.plans.derive import table
 from parley.registry import _ENDS, _ends, on_lines, on_turns, query
 
@@ -323,7 +323,7 @@ SELECT meeting_id, substring(regexp_replace(coalesce(nullif(p, ''), nullif(regex
 on_lines("set_overlap", lambda t: t.alias("a").join(t.alias("b"), (F.col("a.meeting_id") == F.col("b.meeting_id")) & (F.col("a.line_id") + 1 == F.col("b.line_id"))).select(F.col("a.meeting_id").alias("meeting_id"), F.col("a.line_id").alias("line_id"), F.size(F.array_intersect(F.split(F.lower("a.text"), " "), F.split(F.lower("b.text"), " "))).alias("shared")), """
 SELECT a.meeting_id, a.line_id, CAST(len(list_intersect(string_split(lower(a.text), ' '), string_split(lower(b.text), ' '))) AS INT) AS shared FROM lines a JOIN lines b ON a.meeting_id = b.meeting_id AND a.line_id + 1 = b.line_id""")
 on_lines("highlight", lambda t: t.select("meeting_id", "line_id", F.size(F.filter(search.highlight(F.col("text"), "the"), lambda p: p["hit"])).alias("n_hits"), F.array_join(F.transform(search.highlight(F.col("text"), "the"), lambda p: p["text"]), "").alias("whole")), "\nSELECT meeting_id, line_id, CAST(len(regexp_extract_all(lower(text), 'the')) AS INT) AS n_hits, text AS whole FROM lines")
-on_lines("window_snippet", lambda t: t.select("meeting_id", "line_id", search.window_snippet(F.col("text"), "the").alias("snippet")))
+on_lines("window_snippet", lambda t: fulltext.snippets(t.select("meeting_id", "line_id", "speaker", "text"), ["speaker", "text"], "the_o an us").select("meeting_id", "line_id", "snippet"))
 
 # ---- writes
 

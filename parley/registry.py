@@ -1,10 +1,14 @@
 """Registered queries, (spark, sf_dir) -> DataFrame over whole tables, and the same results in DuckDB's SQL."""
 
+import hashlib
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parley.functions import words
-from parley.operators import exports, intervals, library, moments, search, writes
+from parley.operators import exports, fulltext, intervals, library, moments, search, writes
 from parley.plans.derive import LINES_SQL, TURNS_SQL, lines, table, turns
+from parley.plans.shared import exists, work_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -105,30 +109,62 @@ SELECT meeting_id, line_id, {_MARKED.format('start_ms', '.')} || ' --> ' || {_MA
 on_turns("export_rttm", exports.rttm, """
 SELECT turn_id, 'SPEAKER ' || meeting_id || ' 1 ' || (start_ms // 1000) || '.' || lpad(CAST(start_ms % 1000 AS VARCHAR), 3, '0') || ' ' || (greatest(0, end_ms - start_ms) // 1000) || '.' || lpad(CAST(greatest(0, end_ms - start_ms) % 1000 AS VARCHAR), 3, '0') || ' <NA> <NA> ' || speaker || ' <NA> <NA>' AS row FROM turns""")
 
-#: The words that the search queries ask for.
-ASKED = "the er"
-_TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
-_HITS = f"""w AS (SELECT doc_id, {_TERMS} AS w FROM documents),
-h AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: starts_with(x, 'the'))) AS t0, len(list_filter(w, lambda x: starts_with(x, 'er'))) AS t1 FROM w)"""
+#: What the search queries ask for: two words, and a phrase beside a word.
+ASKED, PHRASE = "the er", "the_o an"
+_TERMS = "regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{N}}]+')"
+_HITS = f"""w AS (SELECT doc_id, {_TERMS.format('text')} AS w FROM documents),
+h AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: starts_with(x, 'the'))) AS t0, len(list_filter(w, lambda x: starts_with(x, 'er'))) AS t1,
+  len(list_filter(range(1, len(w)), lambda i: w[i] = 'the' AND starts_with(w[i + 1], 'o'))) AS p0, len(list_filter(w, lambda x: starts_with(x, 'an'))) AS p1 FROM w)"""
+_BM25 = """, s AS (SELECT count(*) AS n_docs, avg(n) AS avg_n, count(*) FILTER ({0}0 > 0) AS d0, count(*) FILTER ({0}1 > 0) AS d1 FROM h),
+k AS (SELECT doc_id, greatest(ln((n_docs - d0 + 0.5) / (d0 + 0.5)), 1e-6) * {0}0 * 2.2 / ({0}0 + 1.2 * (0.25 + 0.75 * n / avg_n)) + greatest(ln((n_docs - d1 + 0.5) / (d1 + 0.5)), 1e-6) * {0}1 * 2.2 / ({0}1 + 1.2 * (0.25 + 0.75 * n / avg_n)) AS score FROM h, s WHERE {0}0 > 0 AND {0}1 > 0)
+SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM k QUALIFY rank <= 50"""
+
+
+def index(spark, sf_dir, name="documents", key="doc_id", columns=("text",)):
+    """The written index of a table: made by the first query of a session that asks for it, read by all."""
+    folder = f"{work_folder(spark)}/index-{hashlib.md5(f'{sf_dir} {name} {columns}'.encode()).hexdigest()}"
+    if not exists(spark, f"{folder}/documents/_SUCCESS"):
+        fulltext.write_index(table(spark, sf_dir, name), folder, key, columns)
+    return fulltext.read_index(spark, folder)
+
+
+def _ranked(found):
+    return found.select(F.col("key").alias("doc_id"), F.row_number().over(Window.orderBy(F.desc("score"), "key")).alias("rank"))  # at most 50 rows
 
 
 @query("fts_prefix_and", f"WITH {_HITS} SELECT doc_id FROM h WHERE t0 > 0 AND t1 > 0")
 def _(spark, sf_dir):
-    return search.prefix_and(table(spark, sf_dir, "documents"), ASKED)
+    return fulltext.matching(index(spark, sf_dir)[0], ASKED).withColumnRenamed("key", "doc_id")
 
 
-@query("fts_bm25_topk", f"""WITH {_HITS}, s AS (SELECT count(*) AS n_docs, avg(n) AS avg_n, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM h),
-k AS (SELECT doc_id, greatest(ln((n_docs - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / avg_n)) + greatest(ln((n_docs - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / avg_n)) AS score FROM h, s WHERE t0 > 0 AND t1 > 0)
-SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM k QUALIFY rank <= 50""")
+@query("fts_bm25_topk", f"WITH {_HITS}{_BM25.format('t')}")
 def _(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), ASKED).select("doc_id", "rank")
+    return _ranked(fulltext.search(*index(spark, sf_dir), ASKED))
 
 
-@query("fts_acl", f"WITH {_HITS} SELECT doc_id FROM h JOIN documents d USING (doc_id) WHERE t0 > 0 AND t1 > 0 AND (doc_id % 7 = 3 OR lang = 'en' OR doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))")
+@query("fts_phrase_topk", f"WITH {_HITS}{_BM25.format('p')}")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("owner_id", F.col("doc_id") % 7).withColumn("everyone", F.col("lang") == "en")
+    return _ranked(fulltext.search(*index(spark, sf_dir), PHRASE))
+
+
+@query("fts_acl", f"""WITH {_HITS} SELECT doc_id FROM h JOIN documents d USING (doc_id)
+WHERE t0 > 0 AND t1 > 0 AND (doc_id % 7 = 3 OR lang = 'en' OR doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AND source NOT LIKE '%1%'""")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 7).alias("owner_id"), (F.col("lang") == "en").alias("everyone"))
     shares = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(3).alias("user_id"))
-    return search.prefix_and(search.visible(docs, shares, 3), ASKED)
+    may = fulltext.visible(docs, shares, 3, ~F.col("source").contains("1"))
+    return fulltext.search(*index(spark, sf_dir), ASKED, top=None, visible=may).select(F.col("key").alias("doc_id"))
+
+
+_PARTS = ("p_name", "p_type", "p_brand")
+
+
+@query("fts_columns", f"""WITH t AS (SELECT p_partkey, {_TERMS.format('p_name')} AS a, {_TERMS.format('p_type')} AS b, {_TERMS.format('p_brand')} AS c FROM part),
+h AS (SELECT p_partkey, len(a) + len(b) + len(c) AS n, len(list_filter(a || b || c, lambda x: starts_with(x, 's'))) AS t0,
+  len(list_filter(range(1, len(a)), lambda i: a[i] = 'brand' AND starts_with(a[i + 1], '1'))) + len(list_filter(range(1, len(b)), lambda i: b[i] = 'brand' AND starts_with(b[i + 1], '1'))) + len(list_filter(range(1, len(c)), lambda i: c[i] = 'brand' AND starts_with(c[i + 1], '1'))) AS t1 FROM t)
+SELECT p_partkey FROM h WHERE t0 > 0 AND t1 > 0""")
+def _(spark, sf_dir):
+    return fulltext.matching(index(spark, sf_dir, "part", "p_partkey", _PARTS)[0], "S brand_1").withColumnRenamed("key", "p_partkey")
 
 
 on_lines("substring_search", search.substring_search, "\nSELECT meeting_id, line_id FROM lines WHERE contains(lower(text), 'the')", query=" The ")

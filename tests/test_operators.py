@@ -184,18 +184,6 @@ def test_context_and_clamped_lines(spark):
     assert [(r.start_ms, r.end_ms) for r in out] == [(1000, 9000), (1500, 5000), (5000, 9000)]
 
 
-def test_index(spark, sf_dir, tmp_path):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    search.write_index(docs, str(tmp_path / "index"))
-    index = spark.read.parquet(str(tmp_path / "index"))
-    assert sorted(r.doc_id for r in search.indexed_prefix_and(index, "the er").collect()) == sorted(r.doc_id for r in search.prefix_and(docs, "the er").collect())
-    plan = search.indexed_prefix_and(index, "the er")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [" in plan and "head" in plan.split("PartitionFilters")[-1]
-    new = spark.createDataFrame([(10**9, "zebra crossing")], "doc_id long, text string")
-    after = search.maintained(index, new, docs.limit(1))
-    assert [r.doc_id for r in search.indexed_prefix_and(after, "zebra").collect()] == [10**9]
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"duration": 10, "segments": [{"speaker": "x", "start": 5, "end": 20}, {"speaker": "y", "start": 1, "end": 2}, {"speaker": "y", "start": 3, "end": 3}, {"speaker": "x", "start": "NaN", "end": 4}]}))
     assert sorted(tuple(r)[1:] for r in sources.diarizer_json(spark, str(tmp_path / "d.json")).collect()) == [("S1", 1.0, 2.0), ("S2", 5.0, 10.0)]
