@@ -1,116 +1,172 @@
-"""Segments for transcription: neighbouring turns of a speaker, with micro turns absorbed, long ones split, and padded.
+"""Segments for transcription: a speaker's neighbouring turns, with micro segments absorbed, long ones cut, and padded.
 
-Times are integer milliseconds. Merging turns is a window operator; absorbing changes hosts as it goes and splitting is
-recursive, so these are folds over one meeting's merged segments.
+Times are integer milliseconds. Everything is windows, joins and column expressions:
+
+* Absorbing depends on an order, as hosts grow by what they absorb, but nothing reaches further than ``near_ms``. So a
+  meeting falls apart into clusters with wider gaps between them, and only a cluster is folded, as a column expression.
+* Cutting the widest gap again and again needs no recursion. A gap is cut exactly if the nearest wider gaps on its two
+  sides (of equals the earlier is the wider) are more than ``most_ms`` apart, and those can be looked for in a range of
+  that width. What has no gap left is cut into equal parts, as many as halving makes.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = ["start_ms", "end_ms", "turn_id"]
-_OUT = "meeting_id string, idx long, speaker string, start_ms long, end_ms long, n_turns long, n_interjections long, cut_start boolean, cut_end boolean"
-
+from parley.operators.intervals import range_join
 
-def absorb(segments: list[dict], micro: int = 1200, near: int = 1000, merge: int = 30_000) -> list[dict]:
-    """Segments in time order without those shorter than ``micro``: each becomes an interjection of a neighbouring host.
-
-    A segment has speaker, start, end, turns [(start, end)] and extra [(start, end, speaker)]. The best host speaks
-    otherwise and is at most ``near`` away: one that contains the micro first, then the nearest, then one that began
-    no later, then the earliest. Without one, a host of the same speaker takes it as speech of its own; without that
-    it stays. Hosts grow as they absorb. If all are micro, nothing changes.
+ORDER = ["start_ms", "end_ms", "turn_id"]
+_BEFORE = (Window.unboundedPreceding, -1)
+
+
+def clamped(turns: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """Turns (meeting_id, speaker, start_ms, end_ms, turn_id, overlap) inside their recording, with its length ``until`` where it is known."""
+    overlap = F.coalesce("overlap", F.lit(False)) if "overlap" in turns.columns else F.lit(False)
+    rows = turns.select("meeting_id", "speaker", "start_ms", "end_ms", "turn_id", overlap.alias("overlap"))
+    if ends is None:
+        return rows.withColumn("until", F.lit(None).cast("long"))
+    known = ends.groupBy("meeting_id").agg(F.max(F.when(F.col("end_ms") > 0, F.col("end_ms"))).alias("until"))
+    rows = rows.join(known, "meeting_id", "left")
+    inside = lambda c: F.when(F.col("until").isNull(), F.col(c)).otherwise(F.greatest(F.lit(0), F.least(F.col(c), F.col("until"))))
+    return rows.withColumns({"start_ms": inside("start_ms"), "end_ms": inside("end_ms")})
+
+
+def numbered(rows: DataFrame, order: list[str], gap_ms: int, out: str, apart: Column | None = None) -> DataFrame:
+    """``rows`` with the number ``out`` of their run of one speaker: a new one begins where another speaks, behind a gap of more
+    than ``gap_ms``, or where ``apart`` holds."""
+    time = Window.partitionBy("meeting_id").orderBy(*order)
+    rows = rows.withColumn("__other", ~F.col("speaker").eqNullSafe(F.lag("speaker").over(time)) | (F.row_number().over(time) == 1))
+    rows = rows.withColumn("__run", F.sum(F.col("__other").cast("int")).over(time))
+    reach = F.max("end_ms").over(Window.partitionBy("meeting_id", "__run").orderBy(*order).rowsBetween(*_BEFORE))
+    begins = F.col("__other") | (F.col("start_ms") - reach > gap_ms)
+    begins = begins if apart is None else begins | apart
+    rows = rows.withColumn("__begins", F.coalesce(begins, F.lit(True)).cast("long"))
+    return rows.withColumn(out, F.sum("__begins").over(time)).drop("__other", "__run", "__begins")
+
+
+def _spans(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy("meeting_id", *keys).agg(F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.bool_or("overlap").alias("overlap"))
+
+
+def _picks(hosts: Column, micros: Column, near_ms: int) -> Column:
+    """For each micro in order the place of its host, -1 without one. A host's bounds grow with what it absorbs."""
+    empty = F.array().cast("array<int>")
+    state = F.struct(F.transform(hosts, lambda h: F.struct(h["start_ms"].alias("a"), h["end_ms"].alias("z"))).alias("at"), empty.alias("picks"))
+
+    def step(s: Column, m: Column) -> Column:
+        def key(b: Column, i: Column) -> Column:
+            gap = F.greatest(F.lit(0).cast("long"), F.greatest(b["a"], m["start_ms"]) - F.least(b["z"], m["end_ms"]))
+            other = ~F.get(hosts, i)["speaker"].eqNullSafe(m["speaker"])
+            around = (b["a"] <= m["start_ms"]) & (m["end_ms"] <= b["z"])
+            if_other = lambda c: F.when(other, c.cast("long")).otherwise(F.lit(0).cast("long"))
+            parts = (~other, if_other(~around), if_other(gap), if_other(b["a"] > m["start_ms"]), if_other(b["a"]))
+            return F.when(gap <= near_ms, F.struct(*[p.alias(f"k{n}") for n, p in enumerate(parts)], i.alias("i")))
+
+        best = F.array_min(F.array_compact(F.transform(s["at"], key)))["i"]
+        grown = lambda b, p, i: F.when(i == p, F.struct(F.least(b["a"], m["start_ms"]).alias("a"), F.greatest(b["z"], m["end_ms"]).alias("z"))).otherwise(b)
+        # The one-element array names the best host, so it is looked for once a micro.
+        return F.aggregate(F.array(best), s, lambda t, p: F.struct(F.transform(t["at"], lambda b, i: grown(b, p, i)).alias("at"), F.concat(t["picks"], F.array(F.coalesce(p, F.lit(-1)))).alias("picks")))
+
+    return F.aggregate(micros, state, step, lambda s: s["picks"])
+
+
+def hosts(islands: DataFrame, micro_ms: int = 1200, near_ms: int = 1000) -> DataFrame:
+    """``islands`` (meeting_id, island, speaker, start_ms, end_ms, ...) with ``owner``, the island that each becomes part of,
+    and ``own``: whether as its speech (else as an interjection).
+
+    A segment under ``micro_ms`` goes to a host that is ``near_ms`` away at most: first to one of another speaker, which
+    contains it before others, then the nearest, then one that began no later, then the earliest; else to the first host
+    of its own speaker; else it stays. If all segments of a meeting are micro, all stay.
+    """
+    time = Window.partitionBy("meeting_id").orderBy("start_ms", "end_ms", "island")
+    rows = islands.withColumn("__micro", F.col("end_ms") - F.col("start_ms") < micro_ms)
+    rows = rows.withColumn("__apart", F.coalesce(F.col("start_ms") - F.max("end_ms").over(time.rowsBetween(*_BEFORE)) > near_ms, F.lit(True)))
+    rows = rows.withColumn("__cluster", F.sum(F.col("__apart").cast("long")).over(time))
+    one = F.struct("island", "start_ms", "end_ms", "speaker")
+    some = rows.groupBy("meeting_id", "__cluster").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("__micro"), one))).alias("hosts"), F.sort_array(F.collect_list(F.when(F.col("__micro"), one))).alias("micros")
+    )
+    some = some.filter((F.size("hosts") > 0) & (F.size("micros") > 0)).withColumn("picks", _picks(F.col("hosts"), F.col("micros"), near_ms))
+    gone = some.select("meeting_id", "hosts", F.explode(F.arrays_zip(F.col("micros").alias("m"), F.col("picks").alias("p"))).alias("e")).filter("e.p >= 0")
+    host = F.get("hosts", F.col("e.p"))
+    gone = gone.select("meeting_id", F.col("e.m.island").alias("island"), host["island"].alias("owner"), host["speaker"].eqNullSafe(F.col("e.m.speaker")).alias("own"))
+    return islands.join(gone, ["meeting_id", "island"], "left").withColumns({"owner": F.coalesce("owner", "island"), "own": F.coalesce("own", F.lit(True))})
+
+
+def cuts(segments: DataFrame, turns: DataFrame, most_ms: int = 600_000) -> DataFrame:
+    """Pieces (meeting_id, segment, start_ms, end_ms, cut_start, cut_end) of ``most_ms`` or less.
+
+    segments: meeting_id, segment, start_ms, end_ms; turns: own speech of the segments. Twice the times are compared,
+    so the middle of a gap is exact.
     """
-    if all(s["end"] - s["start"] < micro for s in segments):
-        return segments
-    hosts = [dict(s, turns=list(s["turns"]), extra=list(s["extra"])) for s in segments if s["end"] - s["start"] >= micro]
-    stay = []
-    for m in segments:
-        if m["end"] - m["start"] >= micro:
-            continue
-        away = lambda h, m=m: max(0, max(h["start"], m["start"]) - min(h["end"], m["end"]))
-        close = [h for h in hosts if away(h) <= near]
-        others = [h for h in close if h["speaker"] != m["speaker"]]
-        if others:
-            host = min(others, key=lambda h: (not (h["start"] <= m["start"] and m["end"] <= h["end"]), away(h), h["start"] > m["start"], h["start"]))
-            host["extra"] += [(m["start"], m["end"], m["speaker"]), *m["extra"]]
-        elif close:
-            host = close[0]
-            host["turns"] = sorted(host["turns"] + list(m["turns"]))
-        else:
-            stay.append(m)
-            continue
-        host["start"], host["end"] = min(host["start"], m["start"]), max(host["end"], m["end"])
-    out: list[dict] = []
-    for s in sorted(hosts + stay, key=lambda s: (s["start"], s["end"])):
-        last = out[-1] if out else None
-        if last and last["speaker"] == s["speaker"] and s["start"] - last["end"] <= merge:
-            last["end"], last["turns"], last["extra"] = max(last["end"], s["end"]), last["turns"] + list(s["turns"]), last["extra"] + list(s["extra"])
-        else:
-            out.append(dict(s))
-    for s in out:
-        s["extra"] = sorted(s["extra"])
-    return out
-
-
-def split(segment: dict, most: int = 600_000) -> list[dict]:
-    """Pieces of ``most`` or less, cut in the middle of the widest gap between own turns, or in the middle of the segment."""
-    todo, done = [dict(segment, cut_start=False, cut_end=False)], []
-    while todo:
-        s = todo.pop()
-        if s["end"] - s["start"] <= most:
-            done.append(s)
-            continue
-        reach, widest, at = None, 0, None
-        for a, z in sorted(s["turns"]):
-            if reach is not None and a - reach > widest and s["start"] < (a + reach) / 2 < s["end"]:
-                widest, at = a - reach, (a + reach) // 2
-            reach = z if reach is None else max(reach, z)
-        at = (s["start"] + s["end"]) // 2 if at is None else at
-        left = dict(s, end=at, cut_end=True, turns=[(a, min(z, at)) for a, z in s["turns"] if a < at], extra=[x for x in s["extra"] if x[0] < at])
-        right = dict(s, start=at, cut_start=True, turns=[(max(a, at), z) for a, z in s["turns"] if z > at], extra=[x for x in s["extra"] if x[0] >= at])
-        todo += [right, left]
-    return done
-
-
-def merged_turns(turns: DataFrame, gap_ms: int = 30_000) -> DataFrame:
-    """Neighbouring turns of a speaker joined, with the list of own turns: meeting_id, speaker, start_ms, end_ms, turns."""
-    order = Window.partitionBy("meeting_id").orderBy(*ORDER)
-    rows = turns.filter("end_ms > start_ms").withColumn("new", F.coalesce(F.col("speaker") != F.lag("speaker").over(order), F.lit(True)))
-    rows = rows.withColumn("run", F.sum(F.col("new").cast("int")).over(order))
-    reach = F.max("end_ms").over(Window.partitionBy("meeting_id", "run").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("begins", F.col("new") | (F.col("start_ms") - reach > gap_ms))
-    rows = rows.withColumn("island", F.sum(F.col("begins").cast("int")).over(order))
-    return rows.groupBy("meeting_id", "island", "speaker").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sort_array(F.collect_list(F.struct("start_ms", "end_ms"))).alias("turns")).drop("island")
-
-
-def build_segments(turns: DataFrame, ends: DataFrame | None = None, micro_ms: int = 1200, most_ms: int = 600_000, pad_ms: int = 250, gap_ms: int = 30_000) -> DataFrame:
-    """Segments of every meeting: turns clamped to the recording, merged, absorbed, split and padded, numbered from 0.
-
-    ``ends`` (meeting_id, end_ms) gives the recordings' lengths where they are known. Pads never cross a cut, zero or
-    the end. No turn gives no segment. A meeting's merged segments are folded in one task.
+    key = ["meeting_id", "segment"]
+    long_ = segments.filter(F.col("end_ms") - F.col("start_ms") > most_ms).select(*key, F.col("start_ms").alias("a"), F.col("end_ms").alias("z"))
+    own = turns.join(long_, key)
+    order = Window.partitionBy(*key).orderBy("start_ms", "end_ms")
+    reach = F.max("end_ms").over(order.rowsBetween(*_BEFORE))
+    gaps = own.select(*key, "a", "z", (F.col("start_ms") + reach).alias("c"), (F.col("start_ms") - reach).alias("w")).filter("w > 0")
+    near = Window.partitionBy(*key).orderBy("c")
+    one = F.struct("c", "w")
+    gaps = gaps.withColumn("__left", F.collect_list(one).over(near.rangeBetween(-2 * most_ms, -1))).withColumn("__right", F.collect_list(one).over(near.rangeBetween(1, 2 * most_ms)))
+    wider = lambda side, more: F.transform(F.filter(side, more), lambda x: x["c"])
+    left = F.array_max(wider("__left", lambda x: x["w"] >= F.col("w")))
+    right = F.array_min(wider("__right", lambda x: x["w"] > F.col("w")))
+    # Without a wider gap in reach the side goes on to the segment's end, or to a gap that is too far to matter.
+    left = F.coalesce(left, F.greatest(2 * F.col("a"), F.col("c") - 2 * most_ms - 1))
+    right = F.coalesce(right, F.least(2 * F.col("z"), F.col("c") + 2 * most_ms + 1))
+    used = gaps.filter(right - left > 2 * most_ms).select(*key, F.col("c").alias("at"))
+    edges = used.union(segments.select(*key, (2 * F.col("end_ms")).alias("at"))).join(segments.select(*key, F.col("start_ms").alias("a"), F.col("end_ms").alias("z")), key)
+    edges = edges.withColumn("from", F.coalesce(F.lag("at").over(Window.partitionBy(*key).orderBy("at")), 2 * F.col("a")))
+    # Halves of halves: the least power of two that brings the parts under the limit.
+    wide = (F.col("at") - F.col("from")) / F.lit(2.0 * most_ms)
+    parts = F.when(wide > 1, F.pow(2.0, F.ceil(F.log2(wide)))).otherwise(1.0).cast("long")
+    parts = edges.select(*key, "a", "z", F.expr("from div 2").alias("from"), F.expr("at div 2").alias("at"), parts.alias("n"))
+    parts = parts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    bound = lambda i: F.expr(f"(from * (n - ({i})) + at * ({i})) div n")
+    pieces = parts.select(*key, "a", "z", bound("i").alias("start_ms"), bound("i + 1").alias("end_ms"))
+    return pieces.select(*key, "start_ms", "end_ms", (F.col("start_ms") > F.col("a")).alias("cut_start"), (F.col("end_ms") < F.col("z")).alias("cut_end"))
+
+
+def build_segments(turns: DataFrame, ends: DataFrame | None = None, micro_ms: int = 1200, most_ms: int = 600_000, pad_ms: int = 250, gap_ms: int = 30_000, near_ms: int = 1000) -> DataFrame:
+    """Segments of every meeting, numbered by ``idx`` from 0: turns clamped, merged, absorbed, merged again, cut and padded.
+
+    turns: meeting_id, speaker, start_ms, end_ms, turn_id, and overlap if it is known; ``ends`` (meeting_id, end_ms) the
+    recordings' lengths, where a null or 0 is unknown. speech_start_ms and speech_end_ms are without pads, which never
+    stand at an inner cut nor beyond zero and the end. ``turns`` are the own turns in a piece, straddling ones cut,
+    ``interjections`` what began in it. overlap: of any turn that went into the segment. Null speakers are one speaker;
+    empty turns are left out; a meeting without others has no segment.
     """
-    if ends is not None:
-        known = F.col("until").isNotNull() & (F.col("until") > 0)
-        turns = turns.join(ends.select("meeting_id", F.col("end_ms").alias("until")), "meeting_id", "left")
-        clamp = lambda c: F.when(known, F.greatest(F.lit(0), F.least(F.col(c), F.col("until")))).otherwise(F.col(c))
-        turns = turns.withColumns({"start_ms": clamp("start_ms"), "end_ms": clamp("end_ms")})
-    else:
-        turns = turns.withColumn("until", F.lit(None).cast("long"))
-    until = turns.groupBy("meeting_id").agg(F.max("until").alias("until"))
-    rows = merged_turns(turns, gap_ms).join(until, "meeting_id")
-
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["start_ms", "end_ms", "speaker"])
-        until = x["until"].iloc[0]
-        segments = [{"speaker": r.speaker, "start": int(r.start_ms), "end": int(r.end_ms), "turns": [(int(t["start_ms"]), int(t["end_ms"])) for t in r.turns], "extra": []} for r in x.itertuples()]
-        out = []
-        for s in (p for s in absorb(segments, micro_ms, merge=gap_ms) for p in split(s, most_ms)):
-            a = s["start"] if s["cut_start"] else max(0, s["start"] - pad_ms)
-            z = s["end"] if s["cut_end"] else s["end"] + pad_ms
-            z = z if pd.isna(until) or until <= 0 else min(int(until), z)
-            out.append((x["meeting_id"].iloc[0], len(out), s["speaker"], a, z, len(s["turns"]), len(s["extra"]), s["cut_start"], s["cut_end"]))
-        return pd.DataFrame(out, columns=["meeting_id", "idx", "speaker", "start_ms", "end_ms", "n_turns", "n_interjections", "cut_start", "cut_end"])
-
-    return rows.groupBy("meeting_id").applyInPandas(fold, _OUT)
+    rows = clamped(turns, ends).filter("end_ms > start_ms")
+    rows = numbered(rows, ORDER, gap_ms, "island")
+    islands = hosts(_spans(rows, "island"), micro_ms, near_ms)
+    all_micro = islands.groupBy("meeting_id").agg((F.max(F.col("end_ms") - F.col("start_ms")) < micro_ms).alias("all_micro"))
+    owners = _spans(islands.withColumn("speaker", F.when(F.col("island") == F.col("owner"), F.col("speaker"))).withColumn("__named", F.col("island") == F.col("owner")), "owner").drop("speaker")
+    named = islands.filter("island = owner").select("meeting_id", "owner", "speaker")
+    merged = numbered(owners.join(named, ["meeting_id", "owner"]).join(all_micro, "meeting_id"), ["start_ms", "end_ms", "owner"], gap_ms, "segment", F.col("all_micro"))
+    to = islands.select("meeting_id", "island", "owner", "own").join(merged.select("meeting_id", "owner", "segment"), ["meeting_id", "owner"])
+    segments = _spans(merged, "segment")
+    spoken = rows.join(to.filter("own"), ["meeting_id", "island"]).select("meeting_id", "segment", "start_ms", "end_ms")
+    pieces = cuts(segments, spoken, most_ms)
+    # Pieces of a segment meet its turns and interjections by time, not all by all.
+    name = F.to_json(F.struct("meeting_id", "segment"))
+    keyed = lambda df: df.withColumn("__m", F.col("meeting_id")).withColumn("meeting_id", name)
+    piece = keyed(pieces.select("meeting_id", "segment", "start_ms", "end_ms"))
+    own = range_join(keyed(spoken), piece)
+    own = own.select("r.*", F.struct(F.greatest("l.start_ms", "r.start_ms").alias("start_ms"), F.least("l.end_ms", "r.end_ms").alias("end_ms")).alias("turn")).groupBy("__m", "segment", "start_ms").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    said = islands.select("meeting_id", "island", "speaker", "start_ms", "end_ms").join(to.filter("NOT own"), ["meeting_id", "island"])
+    said = said.select("meeting_id", "segment", "start_ms", (F.col("start_ms") + 1).alias("end_ms"), F.struct("start_ms", "end_ms", "speaker").alias("said"))
+    said = range_join(keyed(said), piece).select("r.*", "l.said").groupBy("__m", "segment", "start_ms").agg(F.sort_array(F.collect_list("said")).alias("interjections"))
+    back = lambda df: df.withColumnRenamed("__m", "meeting_id")
+    out = pieces.join(segments.select("meeting_id", "segment", "speaker", "overlap"), ["meeting_id", "segment"])
+    out = out.join(back(own), ["meeting_id", "segment", "start_ms"], "left").join(back(said), ["meeting_id", "segment", "start_ms"], "left")
+    out = out.join(rows.groupBy("meeting_id").agg(F.max("until").alias("until")), "meeting_id")
+    start = F.when(F.col("cut_start"), F.col("start_ms")).otherwise(F.greatest(F.lit(0), F.col("start_ms") - pad_ms))
+    end = F.when(F.col("cut_end"), F.col("end_ms")).otherwise(F.col("end_ms") + pad_ms)
+    idx = F.row_number().over(Window.partitionBy("meeting_id").orderBy("segment", "start_ms")) - 1
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select(
+        "meeting_id", idx.cast("long").alias("idx"), "speaker", start.alias("start_ms"), F.least(end, "until").alias("end_ms"),
+        F.col("start_ms").alias("speech_start_ms"), F.col("end_ms").alias("speech_end_ms"), "cut_start", "cut_end", "overlap",
+        none("turns", "array<struct<start_ms:bigint,end_ms:bigint>>"), none("interjections", "array<struct<start_ms:bigint,end_ms:bigint,speaker:string>>"),
+    )

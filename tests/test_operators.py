@@ -11,57 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley import sources, streaming
-from parley.operators import context, errors, intervals, moments, search, segments
+from parley.operators import context, errors, intervals, moments
 from parley.plans.derive import turns
 
 
-def seg(speaker, start, end, *spoken):
-    return {"speaker": speaker, "start": start, "end": end, "turns": list(spoken) or [(start, end)], "extra": []}
-
-
-def test_absorb():
-    a, m, b = seg("A", 0, 10_000), seg("B", 4000, 4800), seg("A", 11_000, 20_000)
-    got = segments.absorb([a, m, b])
-    assert [(s["speaker"], s["start"], s["end"], s["extra"]) for s in got] == [("A", 0, 20_000, [(4000, 4800, "B")])]
-    assert segments.absorb([m, seg("A", 5000, 5500)]) == [m, seg("A", 5000, 5500)]  # all micro: unchanged
-    far = segments.absorb([a, seg("B", 15_000, 15_500), seg("C", 30_000, 40_000)])
-    assert [s["speaker"] for s in far] == ["A", "B", "C"]
-    own = segments.absorb([seg("A", 0, 10_000), seg("A", 10_500, 11_000)])
-    assert [(s["start"], s["end"], len(s["turns"])) for s in own] == [(0, 11_000, 2)]
-    # A host that grew reaches the next micro.
-    grown = segments.absorb([seg("A", 0, 10_000), seg("B", 10_900, 11_400), seg("B", 12_300, 12_800)])
-    assert [(s["start"], s["end"], len(s["extra"])) for s in grown] == [(0, 12_800, 2)]
-
-
-def test_split():
-    long = seg("A", 0, 1_000_000, (0, 300_000), (310_000, 500_000), (560_000, 1_000_000))
-    got = segments.split(long)
-    assert [(s["start"], s["end"]) for s in got] == [(0, 530_000), (530_000, 1_000_000)] and got[0]["cut_end"] and got[1]["cut_start"] and not got[0]["cut_start"]
-    assert [(s["start"], s["end"]) for s in segments.split(seg("A", 0, 1_300_000))] == [(0, 325_000), (325_000, 650_000), (650_000, 975_000), (975_000, 1_300_000)]
-
-
-def test_build_segments(spark, sf_dir):
-    t = turns(spark, sf_dir)
-    ends = t.groupBy("meeting_id").agg((F.max("end_ms") - 5000).alias("end_ms"))
-    got = segments.build_segments(t, ends, micro_ms=20_000, most_ms=120_000).collect()
-    until = {r.meeting_id: r.end_ms for r in ends.collect()}
-    by = defaultdict(list)
-    for r in got:
-        by[r.meeting_id].append(r)
-        assert 0 <= r.start_ms < r.end_ms <= until[r.meeting_id] and r.end_ms - r.start_ms <= 120_500
-    for rows in by.values():
-        assert sorted(r.idx for r in rows) == list(range(len(rows)))
-    spoken = defaultdict(int)
-    for r in t.collect():
-        spoken[r.meeting_id] += 1
-    assert set(by) == set(spoken)
-    for r in t.collect():  # every turn's middle lies in some segment
-        if r.start_ms >= until[r.meeting_id]:
-            continue
-        mid = (r.start_ms + min(r.end_ms, until[r.meeting_id])) // 2
-        assert any(s.start_ms <= mid <= s.end_ms for s in by[r.meeting_id])
-
-
 def halving(n):
     """The order that repeated halving gives, told from its definition: round by round, part by part, what was not yet seen."""
     if n <= 2:
