@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,26 +126,14 @@ def clamped_lines(chunks: DataFrame) -> DataFrame:
 
     chunks: segment_id, n (their order), clip_ms, lo, hi, start_ms, end_ms, text; times are within the clip and null
     where they could not be read, which stands for the whole span. A segment with no line but a text of its own is
-    left to the caller. The state is the end of the line before, so rows stream by in sorted partitions.
+    left to the caller. A line never ends later than it is clamped to, so the line before tells where it may begin.
     """
     rows = chunks.filter(F.regexp_like("text", F.lit(r"(?U)\S")))
     a = F.least(F.greatest(F.coalesce(F.col("clip_ms") + F.col("start_ms"), "lo"), "lo"), "hi")
     b = F.coalesce(F.col("clip_ms") + F.col("end_ms"), "hi")
     rows = rows.select("segment_id", "n", "lo", "hi", a.alias("a"), F.least(F.greatest(b, a), "hi").alias("b"), "text")
     of = Window.partitionBy("segment_id").orderBy("n")
-    rows = rows.withColumns({"first": F.row_number().over(of) == 1, "last": F.lead("n").over(of).isNull()})
-    dealt = rows.repartition("segment_id").sortWithinPartitions("segment_id", "n")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, end = None, 0
-        for x in batches:
-            out = []
-            for r in x.itertuples(index=False):
-                if r.segment_id != now:
-                    now, end = r.segment_id, None
-                a = end if end is not None and r.a < end <= r.b else r.a
-                end = r.b
-                out.append((r.segment_id, r.n, r.lo if r.first else a, r.hi if r.last else r.b, r.text))
-            yield pd.DataFrame(out, columns=["segment_id", "n", "start_ms", "end_ms", "text"])
-
-    return dealt.mapInPandas(run, "segment_id long, n long, start_ms long, end_ms long, text string")
+    before = F.lag("b").over(of)
+    start = F.when(before.isNull(), F.col("lo")).when((F.col("a") < before) & (before <= F.col("b")), before).otherwise(F.col("a"))
+    end = F.when(F.lead("n").over(of).isNull(), F.col("hi")).otherwise(F.col("b"))
+    return rows.select("segment_id", "n", start.alias("start_ms"), end.alias("end_ms"), "text")

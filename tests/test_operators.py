@@ -57,14 +57,6 @@ def test_select_moments(spark):
         assert sorted((k[1], k[5]) for k in kept) == sorted((r.t, r.why) for r in got if r.meeting_id == m)
 
 
-def test_fuse(spark):
-    texts = [("m", 1, 5000, "a", "x"), ("m", 2, 40_000, "b", "x"), ("m", 3, 200_000, "c", "z"), ("m", 4, None, "d", ""), ("m", 5, 900_000, "e", "")]
-    spans = [("m", 0, 100_000), ("m", 130_000, 180_000), ("m", 190_000, 300_000)]
-    got = moments.fuse(spark.createDataFrame(texts, "meeting_id string, n long, t long, why string, look_for string"), spark.createDataFrame([("m", 195_000)], "meeting_id string, t long"), spark.createDataFrame(spans, "meeting_id string, start_ms long, end_ms long"), spark.createDataFrame([("m", 300_000)], "meeting_id string, end_ms long"))
-    found = {(r.t, r.source, r.why, r.look_for) for r in got.collect()}
-    assert found == {(5000, "text", "a; b", "x"), (191_500, "text+scene", "c", "z"), (133_000, "scene", None, None)}
-
-
 def test_der(spark):
     rng = np.random.default_rng(7)
     ref = {(f"r{k}", int(f)) for k in range(4) for f in rng.choice(60, 20, replace=False)}
