@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parley.operators import diarize
+from parley.operators import diarize, pictures
 from parley.plans.derive import table
 from parley.registry import query
 
@@ -64,3 +64,31 @@ def _(spark, sf_dir):
 FROM spans s JOIN (SELECT meeting_id, count(DISTINCT number) AS k FROM final GROUP BY 1) n ON s.meeting_id = n.meeting_id GROUP BY 1""")
 def _(spark, sf_dir):
     return diarize.diarize(probs(spark, sf_dir), MOST, **SETTINGS)["meetings"]
+
+
+_GREY = "pmod(floor(4000D * cast(embedding[p div 32] as double) * cast(embedding[(3 * (p % 32) + p div 32) % 64] as double)), 256)"
+
+
+@query("picture_phash", """WITH px AS (SELECT vec_id, p // 32 AS i, p % 32 AS j, (CAST(floor(4000 * CAST(embedding[p // 32 + 1] AS DOUBLE) * CAST(embedding[(3 * (p % 32) + p // 32) % 64 + 1] AS DOUBLE)) AS BIGINT) % 256 + 256) % 256 AS v FROM embeddings, range(1024) t(p)),
+d AS (SELECT k, i, sqrt((CASE WHEN k = 0 THEN 1.0 ELSE 2.0 END) / 32) * cos(pi() * (2 * i + 1) * k / 64) AS w FROM range(8) a(k), range(32) b(i)),
+t AS (SELECT vec_id, k AS r, j, sum(w * v) AS v FROM px JOIN d USING (i) GROUP BY 1, 2, 3),
+l AS (SELECT vec_id, r, k AS c, sum(w * v) AS v FROM t JOIN d ON t.j = d.i GROUP BY 1, 2, 3),
+m AS (SELECT vec_id, median(v) AS m FROM l WHERE r + c > 0 GROUP BY 1)
+SELECT vec_id, lower(lpad(to_hex(CAST(sum(CASE WHEN v > m THEN CAST(1 AS HUGEINT) << CAST(63 - 8 * r - c AS INT) ELSE 0 END) AS UBIGINT)), 16, '0')) AS phash FROM l JOIN m USING (vec_id) GROUP BY 1""")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(f"transform(sequence(0, 1023), p -> {_GREY})").alias("grey"))
+    return pictures.perceptual_hash(e).select("vec_id", "phash")
+
+
+@query("picture_dhash", """WITH g AS (SELECT vec_id, list_transform(range(72), lambda p: floor(1000 * CAST(embedding[(7 * p) % 64 + 1] AS DOUBLE))) AS g FROM embeddings),
+b AS (SELECT vec_id, i, g[(i // 8) * 9 + i % 8 + 2] > g[(i // 8) * 9 + i % 8 + 1] AS on_ FROM g, range(64) t(i))
+SELECT vec_id, lower(lpad(to_hex(CAST(sum(CASE WHEN on_ THEN CAST(1 AS HUGEINT) << CAST(63 - i AS INT) ELSE 0 END) AS UBIGINT)), 16, '0')) AS dhash FROM b GROUP BY 1""")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(sequence(0, 71), p -> floor(1000D * cast(embedding[(7 * p) % 64] as double)))").alias("grey"))
+    return e.select("vec_id", pictures.difference_hash(F.col("grey")).alias("dhash"))
+
+
+@query("binarized", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > CAST(0.1 AS FLOAT) THEN '1' ELSE '0' END), '') AS bits FROM embeddings")
+def _(spark, sf_dir):
+    bits = F.transform(pictures.binarized(F.col("embedding"), 0.1), lambda b: b.cast("int").cast("string"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(bits, "").alias("bits"))

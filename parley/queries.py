@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parley.functions import times, words
+from parley.functions import loose, times, words
 from parley.operators import context, errors, exports, fulltext, intervals, library, moments, notes, search, segments, writes
 from parley.plans.derive import table
 from parley.registry import _ENDS, _ends, on_lines, on_turns, query
@@ -447,3 +447,25 @@ def _(spark, sf_dir):
 @query("file_names", """SELECT page_id, coalesce(nullif(substring(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'meeting') AS name, coalesce(nullif(lower(regexp_extract(url || '.MP4', '\\.([A-Za-z0-9]{1,8})$', 1)), ''), 'bin') AS ending FROM pages""")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", exports.filename(F.col("url")).alias("name"), words.extension(F.concat("url", F.lit(".MP4"))).alias("ending"))
+
+
+# ---- what models write, and keyed digests
+
+def _section_text(t):
+    """A section as a model might write it: fenced or with words around it, entries of all kinds."""
+    plain = F.regexp_replace("text", "[^A-Za-z ]", "")
+    body = F.concat(
+        F.lit('{"title": "  '), F.col("speaker"), F.lit(' ", "action_items": [{"task": "'), plain, F.lit('", "owner": "speaker '), (F.col("line_id") % 3).cast("string"),
+        F.lit('", "t": "'), F.col("line_id").cast("string"), F.lit(':05"}, {"task": "  ", "t": 3}, 7, {"task": "next", "owner": "none", "due": "", "t": '), F.col("start_ms").cast("string"), F.lit("}]}"),
+    )
+    return F.when(F.col("line_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("line_id") % 3 == 1, F.concat(F.lit("Here: "), body, F.lit(" Bye."))).otherwise(body)
+
+
+on_lines("clean_sections", lambda t: t.select("meeting_id", "line_id", loose.section(loose.parsed(_section_text(t)), F.col("start_ms"), F.col("end_ms")).alias("s")).select("meeting_id", "line_id", "s.title", F.posexplode("s.action_items").alias("n", "a")).select("meeting_id", "line_id", "title", "n", F.col("a.owner").alias("owner"), F.col("a.task").alias("task"), F.col("a.due").alias("due"), F.floor("a.t").cast("long").alias("t")), """,
+c AS (SELECT *, trim(substring(trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')), 1, 600), '') AS said FROM lines)
+SELECT meeting_id, line_id, speaker AS title, 0 AS n, 'S' || (line_id % 3) AS owner, said AS task, CAST(NULL AS VARCHAR) AS due, line_id * 60 + 5 AS t FROM c WHERE said <> ''
+UNION ALL SELECT meeting_id, line_id, speaker, CASE WHEN said <> '' THEN 1 ELSE 0 END, NULL, 'next', NULL, start_ms FROM c""")
+on_lines("keyed_digests", lambda t: t.select("meeting_id", "line_id", loose.keyed_digest(F.col("text"), "s3cret").alias("digest")), """,
+k AS (SELECT rpad('733363726574', 128, '0') AS k), x AS (SELECT list_transform(range(64), lambda i: CAST('0x' || substring(k, 2 * i + 1, 2) AS INT)) AS b FROM k),
+p AS (SELECT unhex(array_to_string(list_transform(b, lambda v: lpad(to_hex(xor(v, 54)), 2, '0')), '')) AS i, unhex(array_to_string(list_transform(b, lambda v: lpad(to_hex(xor(v, 92)), 2, '0')), '')) AS o FROM x)
+SELECT meeting_id, line_id, sha256(o || unhex(sha256(i || encode(text)))) AS digest FROM lines, p""")
