@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from parley.functions import loose, times, words
 from parley.operators import context, errors, exports, fulltext, intervals, library, moments, notes, search, segments, writes
-from parley.plans.derive import table
-from parley.registry import _ENDS, _ends, on_lines, on_turns, query
+from parley.plans.derive import LINES_SQL, lines, table
+from parley.registry import _CLOCK, _ENDS, NAMES_SQL, _ends, names, on_lines, on_turns, query
 
 # ---- meetings from orders, people from customers, stages by arithmetic
 
@@ -303,20 +303,68 @@ def _(spark, sf_dir):
 on_lines("render_transcript", notes.transcript, "\nSELECT meeting_id, line_id, '[' || CASE WHEN s >= 3600 THEN (s // 3600) || ':' ELSE '' END || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || '] ' || speaker || ': ' || trim(text, ' \t\r\n') AS line FROM (SELECT *, CAST(round_even(start_ms / 1000.0, 0) AS BIGINT) AS s FROM lines) WHERE trim(text, ' \t\r\n') <> ''")
 
 
-@query("export_md", f"""WITH {_ITEMS}, ln AS (SELECT meeting_id, CASE kind WHEN 'decision' THEN 1 WHEN 'action' THEN 2 ELSE 3 END AS part, n,
-CASE WHEN kind = 'action' THEN '- [ ] **' || coalesce(owner, 'Unassigned') || '**: ' || text || coalesce(' (due ' || due || ')', '') ELSE '- ' || text END || coalesce(' [' || CASE WHEN t // 1000 >= 3600 THEN (t // 3600000) || ':' || lpad(CAST(t // 60000 % 60 AS VARCHAR), 2, '0') ELSE CAST(t // 60000 AS VARCHAR) END || ':' || lpad(CAST(t // 1000 % 60 AS VARCHAR), 2, '0') || ']', '') || CASE WHEN n % 4 = 0 THEN ' _(unverified)_' ELSE '' END AS line FROM it),
-pt AS (SELECT meeting_id, part, ['## Decisions', '## Action items', '## Open questions'][part] || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY n) || chr(10) AS text FROM ln GROUP BY 1, 2),
-bd AS (SELECT meeting_id, string_agg(text, chr(10) ORDER BY part) AS body FROM pt GROUP BY 1)
-SELECT meeting_id, '# ' || 'Meeting ' || meeting_id || chr(10) || chr(10) || '- Date: 2024-01-01' || chr(10) || chr(10) || body AS markdown FROM bd""")
+_STAMP = "'[' || " + _CLOCK.format("{0}") + " || ']'"
+_PROMPT = "CASE WHEN {0} >= 3600 THEN ({0} // 3600) || ':' ELSE '' END || lpad(CAST({0} // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0')"
+_SECONDS = "CAST(round_even({0} / 1000.0, 0) AS BIGINT)"
+
+
+@query("export_md", f"""WITH {LINES_SQL}, {_ITEMS}, {NAMES_SQL}, i AS (SELECT *, CASE WHEN n % 4 = 0 THEN ' _(unverified)_' ELSE '' END AS flag, coalesce({_STAMP.format('t')}, '') AS stamp FROM (SELECT * REPLACE (meeting_id % 40 AS meeting_id) FROM it)),
+m AS (SELECT meeting_id, max(end_ms) AS length_ms, min(text) AS summary FROM lines GROUP BY 1),
+r AS (SELECT meeting_id, 1 AS part, 0 AS n, trim(summary, ' ' || chr(9) || chr(10) || chr(13)) AS line FROM m WHERE summary <> ''
+UNION ALL SELECT meeting_id, 0, line_id, '- ' || text FROM lines WHERE line_id < 2
+UNION ALL SELECT meeting_id, 2, line_id, '- ' || {_STAMP.format('start_ms')} || ' **' || speaker || '**: ' || text FROM lines WHERE line_id % 3 = 0
+UNION ALL SELECT i.meeting_id, CASE kind WHEN 'decision' THEN 3 WHEN 'action' THEN 4 ELSE 5 END, n, CASE WHEN kind = 'action' THEN '- [ ] **' || coalesce(owner, 'Unassigned') || '**: ' || text || coalesce(' (due ' || due || ')', '') ELSE '- ' || text END || ' ' || stamp || flag FROM i JOIN m ON i.meeting_id = m.meeting_id
+UNION ALL SELECT meeting_id, 6, line_id, '- ' || {_STAMP.format('start_ms')} || ' ' || text FROM lines WHERE line_id % 4 = 1
+UNION ALL SELECT l.meeting_id, 7, line_id, '**' || coalesce(display, speaker) || '** ' || {_STAMP.format('start_ms')} || ': ' || text || '  ' FROM lines l LEFT JOIN names ON l.meeting_id = names.meeting_id AND l.speaker = label),
+pt AS (SELECT meeting_id, part, chr(10) || '## ' || ['TL;DR', 'Summary', 'Chapters', 'Decisions', 'Action items', 'Open questions', 'Key visuals', 'Transcript'][part + 1] || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY n, line) || chr(10) AS text FROM r GROUP BY 1, 2),
+b AS (SELECT meeting_id, string_agg(text, '' ORDER BY part) AS body FROM pt GROUP BY 1)
+SELECT m.meeting_id, '# Meeting ' || m.meeting_id || chr(10) || chr(10) || '- Date: 2024-01-01' || chr(10) || '- Duration: ' || {_CLOCK.format('length_ms')} || coalesce(chr(10) || '- Speakers: ' || display, '') || chr(10) || body AS markdown
+FROM m JOIN b USING (meeting_id) LEFT JOIN names ON m.meeting_id = names.meeting_id""")
+def _(spark, sf_dir):
+    t = lines(spark, sf_dir)
+    it = _items(spark, sf_dir).withColumn("grounded", F.col("n") % 4 != 0)
+    m = t.groupBy("meeting_id").agg(F.max("end_ms").alias("length_ms"), F.min("text").alias("summary"))
+    it = it.join(m.select("meeting_id"), "meeting_id", "left_semi")
+    m = m.withColumns({"title": F.concat(F.lit("Meeting "), F.col("meeting_id").cast("string")), "day": F.lit("2024-01-01T10:00:00")})
+    at = lambda cond: t.filter(cond).withColumnRenamed("line_id", "n")
+    return notes.markdown(
+        m, names(t).withColumn("n", F.lit(1)), t, at("line_id < 2"), at("line_id % 3 = 0").select("meeting_id", "n", "start_ms", F.col("speaker").alias("title"), F.col("text").alias("summary")),
+        it, at("line_id % 4 = 1").select("meeting_id", "n", F.col("start_ms").alias("t"), F.col("text").alias("caption")),
+    )
+
+
+@query("reduce_input", f"""WITH {_ITEMS}, {_NUMBERED}, i AS (SELECT *, '[' || item_id || '] ' || CASE kind WHEN 'question' THEN 'open question' ELSE kind END || ': ' || text || CASE WHEN kind = 'action' THEN ' (owner: ' || coalesce(owner, 'unassigned') || coalesce(', due: ' || due, '') || ')' ELSE '' END AS line FROM num),
+b AS (SELECT meeting_id, section, string_agg(line, chr(10) ORDER BY CASE kind WHEN 'decision' THEN 0 WHEN 'action' THEN 1 ELSE 2 END, n) AS block FROM i GROUP BY 1, 2),
+w AS (SELECT *, greatest(200, CAST(floor((700 - (sum(CAST(ceil(length(block) / 3.5) AS BIGINT)) OVER (PARTITION BY meeting_id) + 50 * count(*) OVER (PARTITION BY meeting_id))) * 3.5 / count(*) OVER (PARTITION BY meeting_id)) AS BIGINT)) AS budget, repeat('summary ' || section || ' ', 60) AS summary FROM b)
+SELECT meeting_id, string_agg('## [' || lpad(CAST(section * 10 AS VARCHAR), 2, '0') || ':00–' || lpad(CAST(section * 10 + 10 AS VARCHAR), 2, '0') || ':00] ' || CASE WHEN section % 2 = 0 THEN 'Part ' || section ELSE 'Section' END || chr(10) || CASE WHEN length(summary) > budget THEN substring(summary, 1, budget) || '…' ELSE summary END || chr(10) || block, chr(10) || chr(10) ORDER BY section) AS text FROM w GROUP BY 1""")
 def _(spark, sf_dir):
-    it = _items(spark, sf_dir).withColumn("item", F.col("n")).withColumn("grounded", F.col("n") % 4 != 0)
-    m = it.select("meeting_id").distinct().select("meeting_id", F.concat(F.lit("Meeting "), F.col("meeting_id").cast("string")).alias("title"), F.lit("2024-01-01").alias("day"))
-    return notes.markdown(m, it, it.limit(0).select("meeting_id", "n", "text"))
+    it, k = _items(spark, sf_dir), F.col("section")
+    sections = it.select("meeting_id", "section").distinct().select("meeting_id", "section", F.when(k % 2 == 0, F.concat(F.lit("Part "), k.cast("string"))).alias("title"), F.repeat(F.concat(F.lit("summary "), k.cast("string"), F.lit(" ")), 60).alias("summary"), (k * 600_000).alias("start_ms"), ((k + 1) * 600_000).alias("end_ms"))
+    return notes.reduce_input(sections, it, 700)
+
+
+def _shots(t):
+    frame = F.struct(F.col("start_ms").alias("t"), F.when(F.col("line_id") % 2 == 0, "slide").alias("kind"), F.lit("Title").alias("title"), F.col("speaker").alias("caption"), F.col("text").alias("visible_text"), F.when(F.col("line_id") % 3 == 0, F.array(F.lit("one"), F.lit("two"))).alias("facts"))
+    return t.filter("line_id % 2 = 1 OR line_id % 3 = 0").select("meeting_id", frame.alias("frame"))
+
+
+_SHOT = "'[' || " + _PROMPT.format(_SECONDS.format("start_ms")) + " || '] ' || CASE WHEN line_id % 2 = 0 THEN 'slide' ELSE 'frame' END || ': Title — ' || speaker || ' Visible text: ' || CASE WHEN length(text) > 400 THEN replace(substring(text, 1, 400), chr(10), ' ') || '…' ELSE replace(text, chr(10), ' ') END || CASE WHEN line_id % 3 = 0 THEN ' Facts: one; two' ELSE '' END"
+_SAID = "'[' || " + _PROMPT.format(_SECONDS.format("start_ms")) + " || '] ' || speaker || ': ' || trim(text, ' ' || chr(9) || chr(10) || chr(13))"
+on_lines("map_messages", lambda t: notes.map_messages(t.select("meeting_id", "line_id", F.expr("line_id div 4").alias("window")), t, _shots(t), names(t)), f""", {NAMES_SQL},
+w AS (SELECT meeting_id, line_id // 4 AS window, min(start_ms) AS a, max(end_ms) AS z, string_agg({_SAID}, chr(10) ORDER BY start_ms, line_id) AS said FROM lines GROUP BY 1, 2),
+f AS (SELECT meeting_id, start_ms, {_SHOT} AS line FROM lines WHERE line_id % 2 = 1 OR line_id % 3 = 0),
+s AS (SELECT w.meeting_id, w.window, string_agg(f.line, chr(10) ORDER BY f.start_ms, f.line) AS seen FROM w JOIN f ON f.meeting_id = w.meeting_id AND f.start_ms BETWEEN a AND z GROUP BY 1, 2)
+SELECT w.meeting_id, w.window, 'Section ' || (w.window + 1) || ' of ' || (max(w.window) OVER (PARTITION BY w.meeting_id) + 1) || ', [' || {_PROMPT.format(_SECONDS.format('a'))} || '] to [' || {_PROMPT.format(_SECONDS.format('z'))} || '].' || coalesce(chr(10) || chr(10) || 'Speakers confirmed by the user: ' || label || ' = ' || display, '')
+|| coalesce(chr(10) || chr(10) || 'Frames (what was on screen):' || chr(10) || seen, '') || chr(10) || chr(10) || 'Transcript:' || chr(10) || said AS message
+FROM w LEFT JOIN s ON w.meeting_id = s.meeting_id AND w.window = s.window LEFT JOIN names n ON w.meeting_id = n.meeting_id""")
+on_lines("frame_prompts", lambda t: notes.frame_prompts(t.select("meeting_id", F.col("line_id").alias("point_id"), F.col("end_ms").alias("t"), F.when(F.col("line_id") % 2 == 0, "a chart").alias("look_for"), F.when(F.col("line_id") % 3 == 0, F.lit("said so")).otherwise("").alias("why")), t.select("meeting_id", F.col("line_id").alias("point_id"), F.explode(F.array(F.col("line_id") - 1, F.col("line_id") - 2)).alias("line_id")), t), f""",
+l AS (SELECT meeting_id, line_id, {_SAID} AS line, end_ms FROM lines)
+SELECT p.meeting_id, p.line_id AS point_id, 'Frame time: [' || {_PROMPT.format(_SECONDS.format('p.end_ms'))} || ']' || CASE WHEN p.line_id % 2 = 0 THEN chr(10) || chr(10) || 'Hint, what might be on screen: a chart' ELSE '' END || CASE WHEN p.line_id % 3 = 0 THEN chr(10) || chr(10) || 'Why this moment was picked: said so' ELSE '' END
+|| chr(10) || chr(10) || 'Transcript around this moment:' || chr(10) || coalesce((SELECT string_agg(a.line, chr(10) ORDER BY a.line_id) FROM l a WHERE a.meeting_id = p.meeting_id AND a.line_id IN (p.line_id - 1, p.line_id - 2)), '(no transcript)') AS prompt FROM l p""")
 
 
 on_lines("export_json", lambda t: notes.bundle(t.select("meeting_id").distinct(), lines=t.select("meeting_id", "line_id", "speaker", "start_ms"), long=t.filter("end_ms - start_ms > 20000").select("meeting_id", "line_id")), """
 SELECT meeting_id, '{"meeting":{"meeting_id":' || meeting_id || '},"lines":[' || string_agg('{"line_id":' || line_id || ',"speaker":"' || speaker || '","start_ms":' || start_ms || '}', ',' ORDER BY line_id) || '],"long":[' || coalesce(string_agg('{"line_id":' || line_id || '}', ',' ORDER BY line_id) FILTER (end_ms - start_ms > 20000), '') || ']}' AS json FROM lines GROUP BY meeting_id""")
-on_lines("export_documents", lambda t: exports.document(exports.txt(t), "line"), None)
 on_lines("card_extras", lambda t: notes.card(t.groupBy("meeting_id").agg(F.min_by("text", "line_id").alias("summary")), t.filter("line_id = 1 and meeting_id % 2 = 0").select("meeting_id", F.col("line_id").alias("n"), "text"), t.filter("speaker = 'user'")), """,
 f AS (SELECT meeting_id, arg_min(text, line_id) AS summary, max(text) FILTER (line_id = 1 AND meeting_id % 2 = 0) AS p, count(*) FILTER (speaker = 'user') AS n_actions FROM lines GROUP BY 1)
 SELECT meeting_id, substring(regexp_replace(coalesce(nullif(p, ''), nullif(regexp_extract(summary, '^((?s).*?[.!?])(?:\\s|$)', 1), ''), summary, ''), '[*_`#]', '', 'g'), 1, 280) AS gist, n_actions FROM f""")

@@ -101,11 +101,27 @@ r AS (SELECT *, frame - row_number() OVER (PARTITION BY meeting_id, speaker ORDE
 SELECT meeting_id, speaker, min(frame) AS first, max(frame) + 1 AS last FROM r GROUP BY meeting_id, speaker, run HAVING count(*) >= 2""")
 _CLOCK = "lpad(CAST({0} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 1000 % 60 AS VARCHAR), 2, '0')"
 _MARKED = _CLOCK + " || '{1}' || lpad(CAST({0} % 1000 AS VARCHAR), 3, '0')"
-on_lines("export_txt", exports.txt, f"\nSELECT meeting_id, line_id, '[' || {_CLOCK.format('start_ms')} || '] ' || speaker || ': ' || text AS line FROM lines")
-on_lines("export_srt", exports.srt, f"""
-SELECT meeting_id, line_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, line_id) || chr(10) || {_MARKED.format('start_ms', ',')} || ' --> ' || {_MARKED.format('end_ms', ',')} || chr(10) || speaker || ': ' || text || chr(10) AS cue FROM lines""")
-on_lines("export_vtt", exports.vtt, f"""
-SELECT meeting_id, line_id, {_MARKED.format('start_ms', '.')} || ' --> ' || {_MARKED.format('end_ms', '.')} || chr(10) || '<v ' || replace(speaker, '>', '') || '>' || replace(text, '-->', '->') || chr(10) AS cue FROM lines""")
+#: Names that speakers were given; the other labels are shown as they are.
+NAMES_SQL = "names AS (SELECT DISTINCT meeting_id, speaker AS label, 'Bot <' || meeting_id || '>' AS display FROM lines WHERE speaker = 'assistant' AND meeting_id % 2 = 0)"
+_WHO = f""", {NAMES_SQL},
+said AS (SELECT l.*, coalesce(display, speaker) AS who, row_number() OVER (PARTITION BY l.meeting_id ORDER BY start_ms, line_id) AS place FROM lines l LEFT JOIN names n ON l.meeting_id = n.meeting_id AND l.speaker = n.label)"""
+
+
+def names(t):
+    named = t.filter("speaker = 'assistant' AND meeting_id % 2 = 0").select("meeting_id", F.col("speaker").alias("label")).distinct()
+    return named.withColumn("display", F.concat(F.lit("Bot <"), F.col("meeting_id").cast("string"), F.lit(">")))
+
+
+_TXT = f"'[' || {_CLOCK.format('start_ms')} || '] ' || who || ': ' || text"
+_SRT = f"place || chr(10) || {_MARKED.format('start_ms', ',')} || ' --> ' || {_MARKED.format('end_ms', ',')} || chr(10) || who || ': ' || text || chr(10)"
+_VTT = f"{_MARKED.format('start_ms', '.')} || ' --> ' || {_MARKED.format('end_ms', '.')} || chr(10) || '<v ' || replace(who, '>', '') || '>' || replace(text, '-->', '->') || chr(10)"
+on_lines("export_txt", lambda t: exports.txt(t, names(t)), f"{_WHO} SELECT meeting_id, line_id, {_TXT} AS line FROM said")
+on_lines("export_srt", lambda t: exports.srt(t, names(t)), f"{_WHO} SELECT meeting_id, line_id, {_SRT} AS cue FROM said")
+on_lines("export_vtt", lambda t: exports.vtt(t, names(t)), f"{_WHO} SELECT meeting_id, line_id, {_VTT} AS cue FROM said")
+on_lines("export_documents", lambda t: exports.documents(t, names(t)), f"""{_WHO}
+SELECT meeting_id, 'txt' AS format, string_agg({_TXT}, chr(10) ORDER BY line_id) || chr(10) AS document FROM said GROUP BY 1
+UNION ALL SELECT meeting_id, 'srt', string_agg({_SRT}, chr(10) ORDER BY line_id) FROM said GROUP BY 1
+UNION ALL SELECT meeting_id, 'vtt', 'WEBVTT' || chr(10) || chr(10) || string_agg({_VTT}, chr(10) ORDER BY line_id) FROM said GROUP BY 1""")
 on_turns("export_rttm", exports.rttm, """
 SELECT turn_id, 'SPEAKER ' || meeting_id || ' 1 ' || (start_ms // 1000) || '.' || lpad(CAST(start_ms % 1000 AS VARCHAR), 3, '0') || ' ' || (greatest(0, end_ms - start_ms) // 1000) || '.' || lpad(CAST(greatest(0, end_ms - start_ms) % 1000 AS VARCHAR), 3, '0') || ' <NA> <NA> ' || speaker || ' <NA> <NA>' AS row FROM turns""")
 
