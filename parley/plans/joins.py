@@ -12,8 +12,8 @@ from parley.plans.shared import materialize
 
 #: A side is broadcast only if it is known to have no more rows and bytes (as JSON) than this.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
-#: Bits of a sieve: 4 MB of longs, whatever the size of the table that it stands for.
-SIEVE_BITS = 1 << 24
+#: Bits of a sieve for each key, and in all: 2 MB of bits at least, 16 MB at most, whatever the size of the table.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 24, 1 << 27
 
 _JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -40,17 +40,24 @@ def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str] | Colum
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 
+def sieve_bits(n: int) -> int:
+    """Bits of a sieve for ``n`` keys: a power of two that gives each BITS_A_KEY of them, as far as a broadcast may hold them."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, (BITS_A_KEY * n - 1).bit_length())))
+
+
 def sieved(rows: DataFrame, keys: DataFrame, key: str, of: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows`` in two parts: those whose ``of`` (``key``) may be a ``key`` of the written ``keys``, and the others.
 
-    A bitmap of SIEVE_BITS bits, 64 to a row, is broadcast: its size is bounded whatever the size of ``keys``. With
-    few keys nearly all rows are spared the shuffle of a join; with very many all may go through it, and the join
-    behind it gives the same result.
+    A bitmap, 64 bits to a row, is broadcast. Its size follows the number of keys up to a bound: up to some 8 million
+    keys about one in 16 rows without a key goes through with the others, and they are spared the shuffle of a join.
+    With many more keys most rows go through; the join behind it gives the same result in any case.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    bits = sieve_bits(keys.count())
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     words = keys.select(bit(key).alias("b")).groupBy(F.expr("b div 64").alias("__word"))
     words = materialize(words.agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("__bits")))
     marked = rows.withColumn("__bit", bit(of or key))
+    # Of few keys the words are few; of many they are MOST_BITS / 64 rows at most, which is what the bound is for.
     marked = marked.join(F.broadcast(words), F.expr("__bit div 64") == F.col("__word"), "left")
     hit = F.coalesce(F.getbit("__bits", F.expr("cast(__bit % 64 as int)")) == 1, F.lit(False))
     return marked.filter(hit).select(*rows.columns), marked.filter(~hit).select(*rows.columns)
