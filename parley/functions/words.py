@@ -145,6 +145,7 @@ def model_status(raw: Column) -> Column:
 
 def device(agent: Column) -> Column:
     """Browser and system of a user agent: "Safari on iPhone"."""
+    # What browsers and systems call themselves, the first that fits.
     system = _first(agent, [("iPhone", "iPhone"), ("iPad", "iPad"), ("Android", "Android"), ("Mac OS X|Macintosh", "macOS"), ("Windows", "Windows"), ("CrOS", "ChromeOS"), ("Linux", "Linux")], "")
     browser = _first(agent, [("Edg/", "Edge"), ("OPR/", "Opera"), ("Firefox/|FxiOS", "Firefox"), ("Chrome/|CriOS", "Chrome"), ("Safari/", "Safari"), ("(?i)curl|python|httpx", "Script")], "Browser")
     return F.when(F.coalesce(agent, F.lit("")) == "", "Unknown device").when(system == "", browser).otherwise(F.concat(browser, F.lit(" on "), system))

@@ -294,15 +294,18 @@ s AS (SELECT meeting_id, unnest(range(least(90000, end_ms // 2), greatest(end_ms
 SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM turns x WHERE x.end_ms - x.start_ms > 450000 AND x.meeting_id = s.meeting_id AND abs(x.start_ms - s.t) < 30000)""")
 
 
-@query("hamming_neardup", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
-p AS (SELECT x.vec_id AS frame_id, len(list_filter(range(1, 65), lambda i: x.b[i] <> y.b[i])) AS bits FROM e x JOIN e y ON x.vec_id <> y.vec_id)
-SELECT frame_id, count(*) AS n_near, CAST(min(bits) AS INT) AS least_bits FROM p WHERE bits <= 20 GROUP BY 1""")
+@query("hamming_neardup", """WITH e AS (SELECT 2 * vec_id + k AS frame_id, list_transform(range(1, 65), lambda i: (embedding[i] > 0) <> (k = 1 AND i <= vec_id % 9)) AS b FROM embeddings, range(2) t(k)),
+p AS (SELECT x.frame_id, len(list_filter(range(1, 65), lambda i: x.b[i] <> y.b[i])) AS bits FROM e x JOIN e y ON x.frame_id <> y.frame_id)
+SELECT frame_id, count(*) AS n_near, CAST(min(bits) AS INT) AS least_bits FROM p WHERE bits <= 6 GROUP BY 1""")
 def _(spark, sf_dir):
-    bits = [F.when(F.col("embedding")[i] > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    hash_ = bits[0]
-    for b in bits[1:]:
-        hash_ = hash_.bitwiseOR(b)
-    return moments.hamming_neardup(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), hash_.alias("phash")), 20)
+    """Every vector's signs are a frame's hash; a second frame differs from it in up to eight bits."""
+    one = lambda i: F.shiftleft(F.lit(1).cast("long"), i)
+    hash_ = F.lit(0).cast("long")
+    for i in range(64):
+        hash_ = hash_.bitwiseOR(F.when(F.col("embedding")[i] > 0, one(i)).otherwise(F.lit(0).cast("long")))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", hash_.alias("bits"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    flipped = F.when(F.col("k") == 1, F.expr("shiftleft(1L, cast(vec_id % 9 as int)) - 1")).otherwise(F.lit(0).cast("long"))
+    return moments.hamming_neardup(e.select((2 * F.col("vec_id") + F.col("k")).alias("frame_id"), F.col("bits").bitwiseXOR(flipped).alias("phash")), 6)
 
 
 on_lines("greedy_windows", moments.greedy_windows, window_ms=60_000, most=400)

@@ -1,4 +1,7 @@
-"""Readers of the formats that recordings' tools write, as DataFrames. Bad rows are dropped by rule, never by failure."""
+"""Readers of the formats that recordings' tools write, as DataFrames. Bad rows are dropped by rule, never by failure.
+
+``file`` is a file's whole path, so files of one name in two folders are two recordings.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ def diarizer_json(spark: SparkSession, path: str) -> DataFrame:
     known, and speakers are named S1, S2, ... in the order in which they first speak.
     """
     rows = spark.read.schema("duration double, segments array<struct<speaker:string,start:string,end:string>>").option("multiLine", True).json(path)
-    rows = rows.select(F.col("_metadata.file_name").alias("file"), "duration", F.explode("segments").alias("s"))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), "duration", F.explode("segments").alias("s"))
     time = lambda c: F.when(F.col(c).rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), F.col(c).try_cast("double"))
     end = F.when(F.col("duration") > 0, F.least(time("s.end"), "duration")).otherwise(time("s.end"))
     rows = rows.select("file", F.col("s.speaker").alias("raw"), F.greatest(F.lit(0.0), time("s.start")).alias("start_s"), end.alias("end_s"), time("s.start").alias("given"))
@@ -45,7 +48,7 @@ def transcription_json(spark: SparkSession, path: str) -> DataFrame:
     none = F.lit(None).cast("double")
     alone = F.array(F.struct(none.alias("start"), none.alias("end"), F.col("text")))
     some = F.when(F.coalesce(F.size("segments"), F.lit(0)) > 0, F.col("segments")).otherwise(alone)
-    rows = rows.select(F.col("_metadata.file_name").alias("file"), F.posexplode(some).alias("n", "s"))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode(some).alias("n", "s"))
     return rows.select("file", "n", F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), F.trim("s.text").alias("text")).filter("text <> ''")
 
 
@@ -67,7 +70,7 @@ def probe_json(spark: SparkSession, path: str) -> DataFrame:
     turned = F.coalesce(F.pmod(video["tags"]["rotate"].try_cast("int"), F.lit(180)) == 90, F.lit(False))
     w, h = video["width"], video["height"]
     return rows.select(
-        F.col("_metadata.file_name").alias("file"), F.greatest(F.col("format.duration").try_cast("double"), longest).alias("duration_s"),
+        F.col("_metadata.file_path").alias("file"), F.greatest(F.col("format.duration").try_cast("double"), longest).alias("duration_s"),
         F.exists("streams", lambda s: s["codec_type"] == "audio").alias("sound"), F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"),
     )
 
@@ -83,16 +86,19 @@ def progress_lines(spark: SparkSession, path: str, duration_s: float) -> DataFra
 
 
 def metadata_header(header: Column) -> Column:
-    """The pairs of a header "key b64,key2 b64" as a map; a key without a value has an empty one, a value that doesn't decode is left out."""
+    """The pairs of a header "key b64,key2 b64" as a map; a key without a value has an empty one. Null for a header with a value
+    that doesn't decode, with more than a key and a value in a pair, or with a key twice: it is refused as a whole."""
     pair = F.filter(F.transform(F.split(header, ","), lambda p: F.split(F.trim(p), r"\s+")), lambda p: F.get(p, F.lit(0)) != "")
     value = lambda p: F.coalesce(F.get(p, F.lit(1)), F.lit(""))
-    fine = F.filter(pair, lambda p: value(p).rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"))
-    return F.map_from_entries(F.transform(fine, lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), F.decode(F.unbase64(value(p)), "utf-8").alias("value"))))
+    fine = F.forall(pair, lambda p: (F.size(p) <= 2) & value(p).rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"))
+    once = F.size(F.array_distinct(F.transform(pair, lambda p: F.get(p, F.lit(0))))) == F.size(pair)
+    whole = F.transform(pair, lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), F.decode(F.unbase64(value(p)), "utf-8").alias("value")))
+    return F.when(fine & once, F.map_from_entries(F.when(fine & once, whole)))
 
 
 def scene_scores(spark: SparkSession, path: str) -> DataFrame:
     """(t_s, score) of a metadata stream that names a frame's time and then its score: each time takes the next score before another time."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_name").alias("file"))
+    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_path").alias("file"))
     number = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("double")
     rows = rows.select("file", "n", number(r"pts_time:\s*(-?\d+(?:\.\d+)?)").alias("t_s"), number(r"scene_score=(\d+(?:\.\d+)?)").alias("score")).filter("t_s is not null or score is not null")
     order = Window.partitionBy("file").orderBy("n")

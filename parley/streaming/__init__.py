@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 def change_feed(rows: DataFrame, key: str = "user_id", value: str = "event_type") -> DataFrame:
     """(key, value, change) each time a key's value is new or differs from the last one seen, by keyed state.
 
-    ``rows`` is a stream with key, value and ``seq``, the order inside a key.
+    ``rows`` is a stream with key, value and ``seq``, the order inside a key. Null values are as none.
     """
 
     def step(keys: tuple, batches, state):
         last = state.get[0] if state.exists else None
-        rows = sorted((s, v) for b in batches for s, v in zip(b["seq"], b["value"], strict=True))
+        rows = sorted(((s, None if pd.isna(v) else v) for b in batches for s, v in zip(b["seq"], b["value"], strict=True)), key=lambda p: p[0])
         out = []
         for _, v in rows:
             if v != last:

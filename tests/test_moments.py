@@ -172,3 +172,25 @@ def test_clamped_lines(spark, seed):
     given = spark.createDataFrame(rows, "segment_id long, n long, clip_ms long, lo long, hi long, start_ms long, end_ms long, text string")
     assert sorted(map(tuple, context.clamped_lines(given).collect())) == sorted(want)
     assert context.clamped_lines(given.filter(F.lit(False))).collect() == []
+
+
+def test_votes_said_nearby(spark):
+    from parley.operators import notes
+
+    votes = spark.createDataFrame([("m", "S1", "Ann", 100_000), ("m", "S2", "Bo", 100_000), ("m", "S1", "Cy", 400_000), ("n", "S1", "Ann", 100_000)], "meeting_id string, label string, name string, t long")
+    lines = spark.createDataFrame([("m", 10_000, 12_000, "hi ANN!"), ("m", 191_000, 192_000, "bo"), ("m", 0, 310_000, "so cy said"), ("n", 9000, 9999, "ann")], "meeting_id string, start_ms long, end_ms long, text string")
+    got = sorted(tuple(r) for r in notes.vote_near(votes, lines).collect())
+    assert got == [("m", "S1", "Ann", 100_000), ("m", "S1", "Cy", 400_000)]
+
+
+def test_grounded_items_and_tldr(spark):
+    from parley.operators import notes
+
+    items = spark.createDataFrame([("m", 1, 5), ("m", 2, None), ("m", 3, 7)], "meeting_id string, item long, t long")
+    sources_ = spark.createDataFrame([("m", 1, 10), ("m", 1, 11), ("m", 2, 10), ("m", 3, 11)], "meeting_id string, item long, claim_id long")
+    verdicts = spark.createDataFrame([("m", 10, True), ("m", 11, False)], "meeting_id string, claim_id long, grounded boolean")
+    assert sorted(tuple(r) for r in notes.grounded_items(items, sources_, verdicts).collect()) == [("m", 1, 5, True), ("m", 2, 0, False), ("m", 3, 7, False)]
+    points = spark.createDataFrame([("m", k, f"p{k}") for k in range(8)] + [("n", 0, " ")], "meeting_id string, n long, text string")
+    chapters = spark.createDataFrame([(m, k, "" if k == 1 else f"c{k}") for m in ("m", "n") for k in range(8)], "meeting_id string, n long, title string")
+    got = sorted(tuple(r) for r in notes.tldr(points, chapters).collect())
+    assert got == [("m", k + 1, f"p{k}") for k in range(6)] + [("n", i + 1, f"c{k}") for i, k in enumerate((0, 2, 3, 4, 5))]

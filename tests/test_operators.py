@@ -144,8 +144,10 @@ def test_sources(spark, tmp_path):
     assert [r.permille for r in sources.progress_lines(spark, str(tmp_path / "log.txt"), 100).orderBy("n").collect()] == [50, 1000]
     (tmp_path / "sc.txt").write_text("pts_time:1.5\nlavfi.scene_score=0.25\npts_time:2\npts_time:3\nlavfi.scene_score=0.5\n")
     assert [tuple(r)[1:] for r in sources.scene_scores(spark, str(tmp_path / "sc.txt")).collect()] == [(1.5, 0.25), (3.0, 0.5)]
-    head = f"name {base64.b64encode('é'.encode()).decode()},empty,bad !!"
+    head = f"name {base64.b64encode('é'.encode()).decode()},empty"
     assert spark.range(1).select(sources.metadata_header(F.lit(head)).alias("m")).first().m == {"name": "é", "empty": ""}
+    for bad in ("name !!!", "a YQ==,b Y", "a YQ== x", "a YQ==,a Yg=="):
+        assert spark.range(1).select(sources.metadata_header(F.lit(bad)).alias("m")).first().m is None
 
 
 def stream(spark, tmp_path, name, rows, schema, f, mode="append", parts=3):
