@@ -57,9 +57,10 @@ def first_frames(chapters: DataFrame, frames: DataFrame) -> DataFrame:
     return spans.select("meeting_id", "idx", F.col("start_ms").alias("span_ms")).join(best, ["meeting_id", "span_ms"], "left").select("meeting_id", "idx", "frame_id")
 
 
-def preview(points: DataFrame, lines: DataFrame, frames: DataFrame, reach_ms: int = 600_000) -> DataFrame:
-    """What hovering over a time shows: the latest frame up to a second later, at most ``reach_ms`` old, and the speaker of
-    the latest line begun by then, unless it ended more than two seconds before. Each is one as-of pass."""
+def preview(points: DataFrame, lines: DataFrame, frames: DataFrame, chapters: DataFrame, reach_ms: int = 600_000) -> DataFrame:
+    """What hovering over a time shows: the latest frame up to a second later, at most ``reach_ms`` old, the latest chapter
+    begun by then, and the speaker of the latest line begun by then, unless it ended more than two seconds before. Each is
+    one as-of pass. chapters: meeting_id, idx, start_ms."""
 
     def latest(facts: DataFrame, at: Column, name: str, value: Column) -> DataFrame:
         none = F.lit(None)
@@ -70,9 +71,10 @@ def preview(points: DataFrame, lines: DataFrame, frames: DataFrame, reach_ms: in
 
     seen = latest(frames, F.col("t") + 1000, "frame", F.struct("t", "frame_id"))
     said = latest(lines.withColumn("t", F.col("start_ms")), F.col("t"), "line", F.struct("start_ms", "end_ms", "speaker"))
-    out = points.join(seen, ["meeting_id", "point_id"]).join(said, ["meeting_id", "point_id"])
+    under = latest(chapters.withColumn("t", F.col("start_ms")), F.col("t"), "chapter", F.struct("start_ms", F.col("idx").cast("long").alias("idx")))
+    out = points.join(seen, ["meeting_id", "point_id"]).join(said, ["meeting_id", "point_id"]).join(under, ["meeting_id", "point_id"])
     fresh, going = F.col("t") - F.col("frame.t") <= reach_ms, F.col("line.end_ms") >= F.col("t") - 2000
-    return out.select("meeting_id", "point_id", F.when(fresh, F.col("frame.frame_id")).alias("frame_id"), F.when(going, F.col("line.speaker")).alias("speaker"))
+    return out.select("meeting_id", "point_id", F.when(fresh, F.col("frame.frame_id")).alias("frame_id"), F.when(going, F.col("line.speaker")).alias("speaker"), F.col("chapter.idx").alias("chapter"))
 
 
 def without_frames(moments: DataFrame, frames: DataFrame, near_ms: int = 1000) -> DataFrame:
@@ -121,6 +123,21 @@ def concatenated(recordings: DataFrame) -> DataFrame:
     return recordings.withColumn("offset_ms", F.coalesce(F.sum("length_ms").over(before), F.lit(0)))
 
 
+def joined_recordings(recordings: DataFrame, turns: DataFrame, head_ms: int | None = None, times: int = 1) -> DataFrame:
+    """Turns (group_id, speaker, start_ms, end_ms) of each group's recordings put one behind another, the whole ``times`` times over.
+
+    With ``head_ms`` only the first so many milliseconds of every recording count: turns behind go, those across its
+    end are cut. recordings: group_id, part, length_ms; turns: group_id, part, speaker, start_ms, end_ms.
+    """
+    length = F.col("length_ms") if head_ms is None else F.least(F.col("length_ms"), F.lit(head_ms))
+    placed = concatenated(recordings.withColumn("length_ms", length))
+    total = placed.groupBy("group_id").agg(F.sum("length_ms").alias("total"))
+    rows = turns.join(placed, ["group_id", "part"]).join(total, "group_id").withColumn("end_ms", F.least("end_ms", "length_ms")).filter("end_ms > start_ms")
+    rows = rows.withColumn("__again", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    shift = F.col("offset_ms") + F.col("__again") * F.col("total")
+    return rows.select("group_id", "speaker", (F.col("start_ms") + shift).alias("start_ms"), (F.col("end_ms") + shift).alias("end_ms"))
+
+
 def clamped_lines(chunks: DataFrame) -> DataFrame:
     """Lines of a segment's speech span [lo, hi]: clamped, in order, without steps back; the first begins at lo, the last ends at hi.
 

@@ -23,10 +23,12 @@ def access_levels(meetings: DataFrame, shares: DataFrame) -> DataFrame:
     return best.select("meeting_id", "user_id", F.element_at(F.array(*map(F.lit, ("view", "edit", "owner"))), F.col("rank")).alias("access"))
 
 
-def people_list(users: DataFrame, meetings: DataFrame) -> DataFrame:
-    """Every user with the number and sum of own meetings, 0 for none."""
+def people_list(users: DataFrame, meetings: DataFrame, shares: DataFrame) -> DataFrame:
+    """Every user with the number and sum of own meetings and the number of meetings shared with them, 0 for none."""
     own = meetings.groupBy(F.col("owner_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n_meetings"), F.sum("cents").alias("cents"))
-    return users.join(own, "user_id", "left").select("user_id", "name", F.coalesce("n_meetings", F.lit(0)).alias("n_meetings"), F.coalesce("cents", F.lit(0)).alias("cents"))
+    given = shares.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return users.join(own, "user_id", "left").join(given, "user_id", "left").select("user_id", "name", none("n_meetings"), none("cents"), none("n_shared"))
 
 
 def day_group(day: Column, today: Column) -> Column:
@@ -110,6 +112,16 @@ def totals(meetings: DataFrame) -> DataFrame:
     return live.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), n(F.col("status").isin("queued", "running")).alias("busy"), n(F.col("everyone").isNotNull()).alias("shared"), F.coalesce(F.sum("length_ms"), F.lit(0)).alias("length_ms"))
 
 
+def next_meetings(meetings: DataFrame, retries: DataFrame, now: Column, key: str) -> DataFrame:
+    """For each worker's ``key`` the meeting to work on next: the first in the order of ``queue`` whose time to try again, if it
+    is paused and has one, has come. retries: meeting_id, retry_at; the least counts."""
+    due = retries.groupBy("meeting_id").agg(F.min("retry_at").alias("retry_at"))
+    rank = F.when(F.col("status") == "running", 0).when(F.col("status") == "queued", 1).when(F.col("status") == "paused", 2)
+    rows = meetings.withColumn("rank", rank).filter("rank IS NOT NULL").join(due, "meeting_id", "left")
+    rows = rows.filter((F.col("rank") < 2) | F.col("retry_at").isNull() | (F.col("retry_at") <= now))
+    return rows.groupBy(key).agg(F.min_by(F.struct("meeting_id", "status"), F.struct("rank", "created", "meeting_id")).alias("m")).select(key, "m.meeting_id", "m.status")
+
+
 def queue_stats(meetings: DataFrame, uploads: DataFrame) -> DataFrame:
     """One row: queued meetings, open uploads, and the bytes that open uploads still need (unknown ones count as none)."""
     q = meetings.agg(F.count(F.when(F.col("status").isin("running", "queued", "paused"), 1)).alias("queued"))

@@ -220,10 +220,11 @@ FROM turns t ASOF LEFT JOIN ch c ON c.meeting_id = t.meeting_id AND t.end_ms >=
 on_turns("first_frames", lambda t: context.first_frames(_chapters(t), t.filter("turn_id % 3 = 0").select("meeting_id", F.col("turn_id").alias("frame_id"), F.col("start_ms").alias("t"))), f""", {_CH},
 s AS (SELECT meeting_id, idx, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY meeting_id ORDER BY idx), end_ms) AS until FROM ch)
 SELECT s.meeting_id, s.idx, arg_min(t.turn_id, (t.start_ms, t.turn_id)) AS frame_id FROM s LEFT JOIN turns t ON t.turn_id % 3 = 0 AND t.meeting_id = s.meeting_id AND t.start_ms >= s.start_ms AND t.start_ms < s.until GROUP BY 1, 2""")
-on_turns("hover_preview", lambda t: context.preview(_points(t), t, t.filter("turn_id % 9 = 0").select("meeting_id", F.col("turn_id").alias("frame_id"), F.col("start_ms").alias("t"))), """,
+on_turns("hover_preview", lambda t: context.preview(_points(t), t, t.filter("turn_id % 9 = 0").select("meeting_id", F.col("turn_id").alias("frame_id"), F.col("start_ms").alias("t")), _chapters(t)), f""", {_CH},
 f AS (SELECT * FROM turns WHERE turn_id % 9 = 0),
-a AS (SELECT t.meeting_id, t.turn_id, t.end_ms, CASE WHEN t.end_ms - f.start_ms <= 600000 THEN f.turn_id END AS frame_id FROM turns t ASOF LEFT JOIN f ON f.meeting_id = t.meeting_id AND t.end_ms + 1000 >= f.start_ms)
-SELECT a.meeting_id, a.turn_id AS point_id, frame_id, CASE WHEN l.end_ms >= a.end_ms - 2000 THEN l.speaker END AS speaker FROM a ASOF LEFT JOIN turns l ON l.meeting_id = a.meeting_id AND a.end_ms >= l.start_ms""")
+a AS (SELECT t.meeting_id, t.turn_id, t.end_ms, CASE WHEN t.end_ms - f.start_ms <= 600000 THEN f.turn_id END AS frame_id FROM turns t ASOF LEFT JOIN f ON f.meeting_id = t.meeting_id AND t.end_ms + 1000 >= f.start_ms),
+b AS (SELECT a.*, ch.idx AS chapter FROM a ASOF LEFT JOIN ch ON ch.meeting_id = a.meeting_id AND a.end_ms >= ch.start_ms)
+SELECT b.meeting_id, b.turn_id AS point_id, frame_id, CASE WHEN l.end_ms >= b.end_ms - 2000 THEN l.speaker END AS speaker, CAST(chapter AS BIGINT) AS chapter FROM b ASOF LEFT JOIN turns l ON l.meeting_id = b.meeting_id AND b.end_ms >= l.start_ms""")
 on_turns("text_only_moments", lambda t: context.without_frames(t.filter("turn_id % 2 = 0").select("meeting_id", F.col("turn_id").alias("moment_id"), F.col("start_ms").alias("t")), t.filter("turn_id % 2 = 1").select("meeting_id", F.when(F.col("turn_id") % 5 == 0, F.col("turn_id") + 1).alias("moment_id"), F.col("start_ms").alias("t"))).select("moment_id"), """,
 f AS (SELECT meeting_id, CASE WHEN turn_id % 5 = 0 THEN turn_id + 1 END AS moment_id, start_ms AS t FROM turns WHERE turn_id % 2 = 1)
 SELECT turn_id AS moment_id FROM turns m WHERE turn_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM f WHERE f.moment_id = m.turn_id) AND NOT EXISTS (SELECT 1 FROM f WHERE f.meeting_id = m.meeting_id AND abs(f.t - m.start_ms) < 1000)""")
@@ -237,6 +238,14 @@ def _(spark, sf_dir):
     return context.concatenated(c)
 
 
+@query("recordings_joined", f"""WITH {LINES_SQL}, r AS (SELECT meeting_id % 20 AS group_id, meeting_id AS part, least(max(end_ms), 60000) AS length_ms FROM lines GROUP BY 1, 2),
+p AS (SELECT *, coalesce(sum(length_ms) OVER (PARTITION BY group_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, sum(length_ms) OVER (PARTITION BY group_id) AS total FROM r)
+SELECT p.group_id, speaker, CAST(start_ms + off + k * total AS BIGINT) AS start_ms, CAST(least(end_ms, length_ms) + off + k * total AS BIGINT) AS end_ms FROM lines JOIN p ON meeting_id = part, range(3) t(k) WHERE least(end_ms, length_ms) > start_ms""")
+def _(spark, sf_dir):
+    t = lines(spark, sf_dir).withColumns({"group_id": F.col("meeting_id") % 20, "part": F.col("meeting_id")})
+    return context.joined_recordings(t.groupBy("group_id", "part").agg(F.max("end_ms").alias("length_ms")), t.select("group_id", "part", "speaker", "start_ms", "end_ms"), 60_000, 3)
+
+
 on_turns("line_clamp", lambda t: context.clamped_lines(t.select(F.expr("turn_id div 6").alias("segment_id"), F.col("turn_id").alias("n"), F.lit(0).cast("long").alias("clip_ms"), F.lit(0).cast("long").alias("lo"), F.lit(14_400_000).cast("long").alias("hi"), F.when(F.col("turn_id") % 8 > 0, F.col("start_ms")).alias("start_ms"), "end_ms", F.when(F.col("turn_id") % 11 > 0, "said").otherwise(" ").alias("text"))))
 on_turns("scene_samples", lambda t: moments.scene_samples(moments.scene_spans(t.withColumn("t", F.col("start_ms")), _ends(t))), f""", {_ENDS},
 c AS (SELECT meeting_id, start_ms AS t FROM turns WHERE start_ms > 0 UNION ALL SELECT meeting_id, 0 FROM ends),

@@ -211,11 +211,24 @@ def _(spark, sf_dir):
     return library.access_levels(_meetings(spark, sf_dir).withColumn("everyone", everyone), shares)
 
 
-@query("people_list", """SELECT c_custkey AS user_id, c_name AS name, coalesce(n, 0) AS n_meetings, CAST(coalesce(cents, 0) AS BIGINT) AS cents FROM customer
-LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+@query("people_list", """SELECT c_custkey AS user_id, c_name AS name, coalesce(n, 0) AS n_meetings, CAST(coalesce(cents, 0) AS BIGINT) AS cents, coalesce(k, 0) AS n_shared FROM customer
+LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY 1) ON c_custkey = o_custkey
+LEFT JOIN (SELECT l_suppkey, count(*) AS k FROM lineitem GROUP BY 1) ON c_custkey = l_suppkey""")
 def _(spark, sf_dir):
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
-    return library.people_list(users, _meetings(spark, sf_dir))
+    shares = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"))
+    return library.people_list(users, _meetings(spark, sf_dir), shares)
+
+
+@query("queue_pick", """WITH r AS (SELECT l_orderkey, min(l_linenumber * 7 + l_suppkey % 5) AS due FROM lineitem WHERE l_linenumber > 1 GROUP BY 1),
+q AS (SELECT o_orderkey AS meeting_id, o_custkey % 50 AS worker, CASE WHEN o_orderkey % 5 > 0 THEN 'paused' WHEN o_orderstatus = 'P' THEN 'running' WHEN o_orderstatus = 'O' THEN 'queued' ELSE 'done' END AS status, o_orderdate AS created FROM orders)
+SELECT worker, meeting_id, status FROM q LEFT JOIN r ON l_orderkey = meeting_id WHERE status IN ('running', 'queued') OR (status = 'paused' AND coalesce(due, 0) <= 16)
+QUALIFY row_number() OVER (PARTITION BY worker ORDER BY CASE status WHEN 'running' THEN 0 WHEN 'queued' THEN 1 ELSE 2 END, created, meeting_id) = 1""")
+def _(spark, sf_dir):
+    status = F.when(F.col("meeting_id") % 5 > 0, "paused").when(F.col("state") == "P", "running").when(F.col("state") == "O", "queued").otherwise("done")
+    m = _meetings(spark, sf_dir).withColumns({"status": status, "worker": F.col("owner_id") % 50})
+    retries = table(spark, sf_dir, "lineitem").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("meeting_id"), F.expr("l_linenumber * 7 + l_suppkey % 5").alias("retry_at"))
+    return library.next_meetings(m, retries, F.lit(16), "worker")
 
 
 @query("day_groups", """WITH t AS (SELECT max(CAST(o_orderdate AS DATE)) AS today FROM orders), a AS (SELECT o_orderkey AS meeting_id, CAST(o_orderdate AS DATE) AS day, today, today - CAST(o_orderdate AS DATE) AS age FROM orders, t)
