@@ -72,3 +72,8 @@ def documents(lines: DataFrame, names: DataFrame | None = None) -> DataFrame:
     made = {"txt": document(txt(lines, names), "line", end="\n"), "srt": document(srt(lines, names), "cue"), "vtt": document(vtt(lines, names), "cue", head="WEBVTT\n\n")}
     out = [d.select("meeting_id", F.lit(kind).alias("format"), "document") for kind, d in made.items()]
     return out[0].union(out[1]).union(out[2])
+
+
+def event_frame(event: Column, data: Column) -> Column:
+    """An event as a stream of server-sent events holds it: its name, and its row (a struct) as JSON on one line; null fields stay."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(data, {"ignoreNullFields": "false"}), F.lit("\n\n"))

@@ -267,6 +267,25 @@ def usable(status: Column) -> Column:
     return status.isin("ready", "degraded")
 
 
+def blocked(needed: DataFrame, statuses: DataFrame) -> DataFrame:
+    """(meeting_id, model, reason) of meetings that have to wait: the first of their models, by name, that can't be used, and why.
+
+    needed: meeting_id, model; statuses: model, status; a model without one is missing.
+    """
+    rows = needed.join(statuses, "model", "left").withColumn("status", F.coalesce("status", F.lit("missing"))).filter(~usable(F.col("status")))
+    rows = rows.groupBy("meeting_id").agg(F.min(F.struct("model", "status")).alias("m")).select("meeting_id", "m.*")
+    at = lambda before, after="": F.concat(F.lit(before), "model", F.lit(after))
+    reason = F.when(F.col("status") == "unknown", at("STT paused: llm-proxy catalog unreachable (model ", ")")).when(F.col("status") == "missing", at("STT model ", " is missing from llm-proxy"))
+    return rows.select("meeting_id", "model", reason.otherwise(F.concat(at("STT model ", " is "), "status", F.lit(" in llm-proxy"))).alias("reason"))
+
+
+def run_figures(runs: DataFrame) -> DataFrame:
+    """(run, rtf, minutes_per_hour, peak_mib) of runs (run, wall_s, duration_s, peak_bytes): time spent for each second and hour of
+    sound, and the largest memory. Without sound the first two are null."""
+    ratio = F.col("wall_s") / F.nullif("duration_s", F.lit(0.0))
+    return runs.select("run", F.round(ratio, 4).alias("rtf"), F.round(ratio * 60, 2).alias("minutes_per_hour"), F.round(F.col("peak_bytes") / 2**20).cast("long").alias("peak_mib"))
+
+
 def worker_detail(meetings: DataFrame, user: int) -> DataFrame:
     """What the worker says of its meeting, for the meeting's owner alone; others see that it is busy."""
     own = F.col("owner_id") == user

@@ -30,8 +30,17 @@ def next_version(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new, key, "left_anti").select(*old.columns).unionByName(fresh)
 
 
-def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
-    return {name: t.join(gone.select(key).distinct(), key, "left_anti").select(*t.columns) for name, t in tables.items()}
+def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame, key: str, unlinked: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """``tables`` without the rows of the keys in ``gone``; those named in ``unlinked`` keep their rows and lose the link."""
+    keys = gone.select(F.col(key).alias("__gone")).distinct()
+    out = {}
+    for name, t in tables.items():
+        if name in unlinked:
+            both = t.join(keys, F.col(key) == F.col("__gone"), "left")
+            out[name] = both.withColumn(key, F.when(F.col("__gone").isNull(), F.col(key))).select(*t.columns)
+        else:
+            out[name] = t.join(keys, F.col(key) == F.col("__gone"), "left_anti").select(*t.columns)
+    return out
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -108,6 +117,13 @@ def superseded(invites: DataFrame, fresh: DataFrame) -> DataFrame:
     return out.select(*[F.coalesce("revoked", F.when(pending, F.col("at"))).alias(c) if c == "revoked" else F.col(c) for c in invites.columns])
 
 
+def renewed(tokens: DataFrame, fresh: DataFrame, key: str = "user_id", used: str = "used_at") -> DataFrame:
+    """One-time tokens after ``fresh`` ones were issued: earlier ones of the same user that weren't used are gone."""
+    again = fresh.select(F.col(key).alias("__key")).distinct()
+    stale = tokens.join(again, F.col(key) == F.col("__key"), "left").withColumn("__again", F.col("__key").isNotNull())
+    return stale.filter(~(F.col("__again") & F.col(used).isNull())).select(*tokens.columns).unionByName(fresh.select(*tokens.columns))
+
+
 def guard_last_admin(users: DataFrame, changes: DataFrame) -> DataFrame:
     """Users after ``changes`` (user_id, admin, active); refused if no active admin of the team would be left.
 

@@ -97,3 +97,21 @@ def test_speakers_merged(spark):
     notes = frame([(1, [("S2", "do"), (None, "x")], [("S3", "Cy"), ("S1", "Al")]), (3, [("S2", "y")], [])], "meeting_id int, action_items array<struct<owner:string,task:string>>, speaker_suggestions array<struct<label:string,name:string>>")
     after = {r.meeting_id: ([a.owner for a in r.action_items], [s.label for s in r.speaker_suggestions]) for r in people.notes_after_merge(notes, merges).collect()}
     assert after == {1: (["S1", None], ["S1"]), 3: (["S2"], [])}
+
+
+def test_cascade_tokens_models_and_frames(spark):
+    from parley.operators import exports, library, writes
+
+    frame = spark.createDataFrame
+    tables = {"lines": frame([(1, "a"), (2, "b")], "meeting_id int, x string"), "uploads": frame([(1, "u"), (2, "v"), (None, "w")], "meeting_id int, x string")}
+    out = writes.cascade_delete(tables, frame([(1,), (1,)], "meeting_id int"), "meeting_id", unlinked=("uploads",))
+    assert rows(out["lines"]) == [(2, "b")] and rows(out["uploads"]) == [(2, "v"), (None, "u"), (None, "w")]
+    tokens = frame([("a", 1, None), ("b", 1, 5), ("c", 2, None), ("d", None, None)], "token string, user_id int, used_at int")
+    assert rows(writes.renewed(tokens, frame([("e", 1, None)], tokens.schema))) == [("b", 1, 5), ("c", 2, None), ("d", None, None), ("e", 1, None)]
+    needed = frame([(1, "b"), (1, "a"), (2, "c"), (3, "d"), (4, "e")], "meeting_id int, model string")
+    got = rows(library.blocked(needed, frame([("a", "ready"), ("b", "off"), ("c", "degraded"), ("d", "unknown")], "model string, status string")))
+    assert got == [(1, "b", "STT model b is off in llm-proxy"), (3, "d", "STT paused: llm-proxy catalog unreachable (model d)"), (4, "e", "STT model e is missing from llm-proxy")]
+    runs = frame([("x", 12.0, 600.0, 3 << 20), ("y", 1.0, 0.0, None)], "run string, wall_s double, duration_s double, peak_bytes long")
+    assert rows(library.run_figures(runs)) == [("x", 0.02, 1.2, 3), ("y", None, None, None)]
+    made = frame([(1, "é", None)], "id int, status string, progress double").select(exports.event_frame(F.lit("meeting"), F.struct("id", "status", "progress"))).first()[0]
+    assert made == 'event: meeting\ndata: {"id":1,"status":"é","progress":null}\n\n'
