@@ -9,7 +9,7 @@ rest are verified by their bits. A cell gives a spanning forest of its links, ne
 For a similarity of whole shingle sets (``one_of_each`` with ``similarity``) the bits that differ are too many for
 equal blocks or for pivots, so texts meet by shingles: of two sets with Jaccard similarity t, each holds a common
 shingle among its first n - ceil(t n) + 1 in any fixed order. The order puts shingles last that a bitmap marks as
-common, so that passages which many texts share bring few of them together. Bits, sizes and a bound of the common
+common, so that passages which many texts share bring few of them together. Sizes and a bound of the common
 shingles by small bitmaps discard pairs where they meet, and the sets decide.
 """
 
@@ -31,8 +31,8 @@ from parley.plans.shared import materialize, scratch
 
 LIMIT = 2
 SHINGLE = 3
-#: For near copies by similarity: words of a shingle, the similarity, and a bit limit for it. At similarity 0.8 about
-#: ten bits differ, with a deviation of three.
+#: For near copies by similarity: words of a shingle, the similarity, and the differing bits up to which two texts are
+#: looked at first. At similarity 0.8 about ten bits differ, with a deviation of three.
 WORDS_NEAR, SIMILARITY, LIMIT_NEAR = 5, 0.8, 22
 #: Fingerprints of a cell above which it is cut by further pivots, the cells' width in bits of distance, and pivots a cut.
 HOT_KEY, CELL, AT_ONCE = 1000, 6, 2
@@ -43,6 +43,8 @@ COMMON, COMMON_BITS, HELD = 8, 1 << 24, 1 << 22
 ROWS = 256
 #: 64-bit words of the bitmap of a text's shingles, and texts from which those that share a shingle meet in blocks.
 SKETCH, BLOCK = 32, 1024
+#: Least tokens that a text is known by, and what stands for none: the greatest long, before which all others come.
+LEAST, _NONE = 8, (1 << 63) - 1
 
 
 def pivots() -> np.ndarray:
@@ -344,9 +346,10 @@ def _near(fp, size, i, j, limit: int, similarity: float):
 
 
 def meetings(tokens: DataFrame, limit: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of names that meet by a shingle of (token, size, name, fp) and pass sizes and bits.
+    """Pairs (a, b) of names that meet by a shingle of (token, size, name, fp) and whose sizes and bits make them worth a look.
 
-    The first name with each other, and neighbours by size, so the rows follow the input.
+    The first name with each other, and neighbours by size, so the rows follow the input. What these pairs link is
+    out of the way when ``other_meetings`` looks at all the others, so the bits decide what comes first, not what is lost.
     """
 
     def pairs(sizes, name):
@@ -367,39 +370,50 @@ def meetings(tokens: DataFrame, limit: int, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def other_meetings(tokens: DataFrame, sketches: DataFrame, limit: int, similarity: float) -> DataFrame:
+def other_meetings(tokens: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b) of names of different roots that meet by a shingle of (token, size, name, root, fp) and may be similar.
 
-    Tokens of one root, or of two names, have no such pair that ``meetings`` hasn't given. The others' rows get the
-    bitmaps of the written ``sketches`` (name, sketch), so only pairs that these let pass leave the task, nearly all of
-    them similar. Names of a token beyond BLOCK are dealt into blocks by a hash, and each two blocks are a group of
-    their own: no task holds more than about two blocks, whatever the number of names.
+    Tokens of one root have no such pair. The others' rows get the bitmaps of the written ``sketches`` (name, sketch), so
+    only pairs that these let pass leave the task, nearly all of them similar; bits of fingerprints decide nothing here.
+    Names of a token beyond BLOCK are dealt into blocks by a hash, and each two blocks are a group of their own, formed
+    as rows are shuffled: no task holds more than about two blocks, whatever the number of names.
     """
-    by_token = Window.partitionBy("token")
-    open_ = tokens.withColumns({"__n": F.count(F.lit(1)).over(by_token), "__lo": F.min("root").over(by_token), "__hi": F.max("root").over(by_token)})
-    open_ = open_.filter("__n > 2 and __lo < __hi").withColumn("__k", F.ceil(F.col("__n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("name"), F.col("__k")).cast("int")
-    rows = open_.withColumn("__b", own).withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    split = F.when(F.col("__k") > 1, F.xxhash64("token", F.least("__b", "__c"), F.greatest("__b", "__c"))).otherwise(F.col("token"))
-    side = F.when(F.expr("__b = __c"), -1).otherwise(F.expr("__b > __c").cast("int")).cast("long")
-    rows = materialize(rows.select(split.alias("token"), "size", "name", "root", "fp", side.alias("side")))
+    open_ = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("__n"), F.min("root").alias("__lo"), F.max("root").alias("__hi")).filter("__lo < __hi")
+    open_ = materialize(open_.select("token", F.ceil(F.col("__n") / BLOCK).cast("int").alias("__k")))
+    some = sieved(tokens, open_, "token")[0]
+    rows = materialize(some.join(open_.hint("merge"), "token").select("token", "size", "name", "root", "__k"))
     asked = sieved(sketches, rows, "name")[0].groupBy("name").agg(F.first("sketch").alias("sketch"))
+    least = rows.groupBy("name").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LEAST).alias("least"))
+    filled = F.concat("sketch", "least", F.array_repeat(F.lit(_NONE), LEAST - F.size("least")))
+    asked = asked.join(least.hint("merge"), "name").select("name", filled.alias("facts"))
     rows = rows.join(asked.hint("merge"), "name")
+    rows = rows.withColumn("__b", F.pmod(F.xxhash64("name"), F.col("__k")).cast("int")).withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    split = F.when(F.col("__k") > 1, F.xxhash64("token", F.least("__b", "__c"), F.greatest("__b", "__c"))).otherwise(F.col("token"))
+    side = F.when(F.expr("__b = __c"), -1).otherwise(F.expr("__b > __c").cast("int")).cast("long")
+    rows = rows.select(split.alias("group"), "size", "name", "root", side.alias("side"), "token", "facts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for starts, sizes, (_, size, name, root, fp, side, sketch) in _groups(batches, [1, 1, 1, 1, 1, 1, SKETCH]):
-            bits = fp.view(np.uint64)
-            sketch = sketch.view(np.uint64)  # bits of a negative number would be counted by its absolute value
-            for s, n in zip(starts, sizes, strict=True):
-                if n < 2 or (root[s : s + n] == root[s]).all():
+        for starts, sizes, (_, size, name, root, side, token, facts) in _groups(batches, [1, 1, 1, 1, 1, 1, SKETCH + LEAST]):
+            least = facts[:, SKETCH:]
+            sketch = np.ascontiguousarray(facts[:, :SKETCH]).view(np.uint64)  # bits of a negative number would be counted by its absolute value
+            two = starts[sizes == 2]  # most groups hold two: one step for all of them
+            two = two[(root[two] != root[two + 1]) & (size[two] >= similarity * size[two + 1] - 1e-9) & ((side[two] != side[two + 1]) | (side[two] < 0))]
+            two = two[may_be_similar(size[two], sketch[two], size[two + 1], sketch[two + 1], similarity)]
+            two = two[_first_here(least[two], least[two + 1], token[two])]
+            if len(two):
+                out.append(_ordered(name, two, two + 1))
+                held += len(two)
+            many = sizes > 2
+            for s, n in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
+                if (root[s : s + n] == root[s]).all():
                     continue
                 ends = s + np.searchsorted(size[s : s + n], np.floor(size[s : s + n] / similarity + 1e-9), side="right")
                 for i in range(s, s + n - 1):
                     j = np.arange(i + 1, ends[i - s])
                     j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (side[i] < 0))]
-                    j = j[_near(bits, size, i, j, limit, similarity)]
                     j = j[may_be_similar(size[i], sketch[i], size[j], sketch[j], similarity)]
+                    j = j[_first_here(least[i][None, :], least[j], token[j])]
                     if len(j):
                         out.append(_ordered(name, np.full(len(j), i), j))
                         held += len(j)
@@ -409,10 +423,16 @@ def other_meetings(tokens: DataFrame, sketches: DataFrame, limit: int, similarit
         if held:
             yield _pairs(out)
 
-    dealt = rows.select("token", "size", "name", "root", "fp", "side", "sketch").repartition("token").sortWithinPartitions("token", "size", "name")
+    dealt = rows.repartition("group").sortWithinPartitions("group", "size", "name")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _first_here(a: np.ndarray, b: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Of pairs with these least tokens, which have none in common before the token at which they meet."""
+    before = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] < token[:, None, None])
+    return ~before.any(axis=(1, 2))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], width: list[int]) -> Iterator[tuple]:
     """(starts, sizes, columns) of the whole groups by the first column of sorted batches; columns wider than 1 are lists of that length."""
 
@@ -471,7 +491,7 @@ def similar_classes(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
         links_ = similar_pairs(tried, sets_of, similarity)
         found = materialize(components(links_).distinct())
         known = tokens.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        others = other_meetings(known, prints.select("name", "sketch"), limit, similarity)
+        others = other_meetings(materialize(known), prints.select("name", "sketch"), similarity)
         others = materialize(others.join(tried, ["a", "b"], "left_anti"))
         if not others.isEmpty():
             more = similar_pairs(others, sets_of, similarity)
@@ -499,7 +519,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT, shi
 def one_of_each(docs: DataFrame, text: str = "text", limit: int = LIMIT, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each class: the one with the smallest doc_id (nulls last), then text.
 
-    Links are at most ``limit`` differing bits; with ``similarity``, also that Jaccard similarity of the sets of shingles.
+    Links are at most ``limit`` differing bits; with ``similarity``, that Jaccard similarity of the sets of shingles instead.
     Rows that are equal in every column are one document, of which one row stays. Null and empty texts are one class;
     other columns, maps too, go through as they are; an empty table gives no rows.
 

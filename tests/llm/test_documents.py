@@ -432,6 +432,24 @@ def test_near_copies_by_similarity(spark, docs, rows, sf_dir):
     assert sorted(r.doc_id for r in got if r.doc_id and r.doc_id >= 500_000) == [500_000, 500_005, 500_006]
 
 
+def test_near_copies_with_any_bits(spark, monkeypatch):
+    """Texts whose shingle sets are alike but whose fingerprints are not, as one repeats a paragraph many times, and short ones."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(40):
+        own = " ".join(f"w{k}x{i}" for i in range(400))
+        passage = " ".join(f"p{k}x{i}" for i in range(40))
+        rows += [(4 * k, f"{own} {passage}"), (4 * k + 1, f"{own} " + " ".join([passage] * 12))]
+        word = [f"s{k}x{i}" for i in rng.permutation(12)]  # 8 shingles, and the 9 of a text with a word more: 0.89
+        rows += [(4 * k + 2, " ".join(word)), (4 * k + 3, " ".join([*word, "more"]))]
+    bits = neardup.fingerprint([t for _, t in rows], 5)
+    assert max(int(bits[4 * k] ^ bits[4 * k + 1]).bit_count() for k in range(40)) > neardup.LIMIT_NEAR
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id for r in neardup.one_of_each(docs, limit=neardup.LIMIT_NEAR, shingle=5, similarity=0.8).collect()}
+    assert got == {i for i, _ in rows if i % 2 == 0}
+
+
 def test_near_copies_around_the_similarity(spark, monkeypatch):
     """A large group just around 0.8, in blocks of a few names: bitmaps lose no pair, and the classes are those of brute force."""
     monkeypatch.setattr(neardup, "BLOCK", 7)
