@@ -103,6 +103,17 @@ def test_fuse_query(spark, sf_dir):
     assert not got
 
 
+def test_fuse_many_moments_of_a_span(spark):
+    """Moments of a span stream by, with only its views held, though thousands lie in one; also those that lie together outside."""
+    rng, until = random.Random(9), 14_400_000
+    cuts, spans = [5000, 9_000_000, 14_399_900], [(0, 4000), (10_000, 14_000_000)]
+    texts = [(n, t, f"why {t // 1_000_000} " if n % 3 else None, f"look {t // 40_000}") for n, t in enumerate(rng.choices(range(until), k=4000))]
+    frame = spark.createDataFrame
+    found = moments.fuse(frame([("m", *r) for r in texts], TEXTS), frame([("m", c) for c in cuts], "meeting_id string, t long"), frame([("m", *x) for x in spans], "meeting_id string, start_ms long, end_ms long"), frame([("m", until)], "meeting_id string, end_ms long"))
+    assert fused(found)["m"] == plain_fuse(texts, cuts, spans, until)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
 def test_dedupe_joins_texts(spark):
     rows = [("m", 0, "a", 1), ("m", 5000, "b", 2), ("m", 9999, "a", 3), ("m", 10_000, None, 4), ("m", 12_000, "x", 5), ("n", 3, "z", 6), ("n", None, "y", 7), (None, 1, "p", 8), (None, 2, "q", 9)]
     got = moments.dedupe_close(spark.createDataFrame(rows, "meeting_id string, t long, why string, k long")).collect()
