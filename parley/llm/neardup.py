@@ -6,8 +6,9 @@ space of coordinates is cut into overlapping cells, pivot after pivot and only w
 linked fingerprints share a cell. Inside a cell, pairs with a larger coordinate difference are discarded and the
 rest are verified by their bits. A cell gives a spanning forest of its links, never all pairs.
 
-For a similarity of whole shingle sets (``one_of_each`` with ``similarity``) the bits that differ are too many for
-equal blocks or for pivots, so texts meet by shingles: of two sets with Jaccard similarity t, each holds a common
+For a similarity of whole shingle sets (``one_of_each`` with ``similarity``) the fingerprints that pivots link come
+first, and the sets decide on them. Most similar texts differ in more bits than pivots can discard by, so these meet
+by shingles as well: of two sets with Jaccard similarity t, each holds a common
 shingle among its first n - ceil(t n) + 1 in any fixed order. The order puts shingles last that a bitmap marks as
 common, so that passages which many texts share bring few of them together. Sizes and a bound of the common
 shingles by small bitmaps discard pairs where they meet, and the sets decide.
@@ -345,6 +346,23 @@ def _near(fp, size, i, j, limit: int, similarity: float):
     return (small >= similarity * large - 1e-9) & (np.bitwise_count(fp[i] ^ fp[j]) <= limit)
 
 
+def close_names(texts: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Pairs (a, b) of names of (name, fp) whose fingerprints pivot tables link: at most ``limit`` differing bits.
+
+    Names of one fingerprint are paired with the least of them, and these by a spanning forest of the links, so the rows
+    follow the names.
+    """
+    texts = materialize(texts.select("name", "fp"))
+    heads = materialize(texts.groupBy("fp").agg(F.min("name").alias("head")))
+    same = texts.join(heads.hint("merge"), "fp").filter("name <> head").select(F.col("head").alias("a"), F.col("name").alias("b")).distinct()
+    found = materialize(links(heads.select("fp"), limit))
+    ends = materialize(found.select(F.col("a").alias("fp")).union(found.select("b")).distinct())
+    some = materialize(sieved(heads, ends, "fp")[0])
+    side = lambda c: some.select(F.col("fp").alias(c), F.col("head").alias(f"name_{c}"))
+    named = found.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    return same.unionByName(named.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")))
+
+
 def meetings(tokens: DataFrame, limit: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of names that meet by a shingle of (token, size, name, fp) and whose sizes and bits make them worth a look.
 
@@ -473,8 +491,8 @@ def similar_classes(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     """Written (name, root) for every distinct name of a written table of ``shingle_sets``: root is the smallest it reaches.
 
     Tokens are counted first; a bounded sieve of those that stand in two texts lets few others into the join by
-    token. First the pairs of a linear scan of each meeting are verified, then all others that these have not joined
-    and that bitmaps of the sets let pass.
+    token. First the pairs that pivot tables link and those of a linear scan of each meeting are verified, then all
+    others that these have not joined and that bitmaps of the sets let pass.
     """
     with scratch(prints.sparkSession):
         # Copies of a text are one text: all its rows but the one of the least tag are left out.
@@ -487,7 +505,9 @@ def similar_classes(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
         shared = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"))
         tokens = sieved(tokens, shared, "token")[0]
         tokens = materialize(tokens.join(shared.hint("merge"), "token", "left_semi"))
-        tried = materialize(meetings(tokens, limit, similarity))
+        with scratch(prints.sparkSession):
+            close = materialize(close_names(texts, min(limit, LIMIT)), keep=True)
+        tried = materialize(close.union(meetings(tokens, limit, similarity)).distinct())
         links_ = similar_pairs(tried, sets_of, similarity)
         found = materialize(components(links_).distinct())
         known = tokens.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))

@@ -450,6 +450,27 @@ def test_near_copies_with_any_bits(spark, monkeypatch):
     assert got == {i for i, _ in rows if i % 2 == 0}
 
 
+def test_near_copies_by_pivots(spark, monkeypatch):
+    """Pivot tables alone give the near copies of few bits, those of one fingerprint too; the sets refuse what only looks alike."""
+    words = lambda k: [f"w{k}x{i}" for i in range(1500)]
+    rows = []
+    for k in range(30):
+        changed = words(k)
+        changed[700] = "new"
+        rows += [(2 * k, " ".join(words(k))), (2 * k + 1, " ".join(changed))]
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows += [(60, " ".join([passage] * 12)), (61, " ".join([passage] * 12 + [f"q{i}" for i in range(60)]))]
+    bits = neardup.fingerprint([t for _, t in rows], 5)
+    differ = [int(bits[2 * k] ^ bits[2 * k + 1]).bit_count() for k in range(31)]
+    assert 0 in differ[:30] and 1 <= sum(0 < x <= neardup.LIMIT for x in differ[:30]) and differ[30] <= neardup.LIMIT
+    meet = lambda *_: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(neardup, "meetings", meet)
+    monkeypatch.setattr(neardup, "other_meetings", meet)
+    monkeypatch.setattr(neardup, "HOT_KEY", 10)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {i for i, _ in rows if i % 2 == 0 or i == 61 or differ[i // 2] > neardup.LIMIT}
+
+
 def test_near_copies_around_the_similarity(spark, monkeypatch):
     """A large group just around 0.8, in blocks of a few names: bitmaps lose no pair, and the classes are those of brute force."""
     monkeypatch.setattr(neardup, "BLOCK", 7)
