@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from parley.llm import linededup, mixing, neardup, packing, quality
 from parley.plans.shared import materialize
 
+#: Words that a packing worker keeps encoded: two workers share an executor with a heap that the stages before have filled.
+WORDS_HELD = 100_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their host's verdict reject go.
@@ -60,7 +63,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is the end id alone; equal rows are packed each; a long text is cut into pieces; an empty table
     gives no pieces; only doc_id and text are read.
     """
-    return packing.pack(materialize(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))))
+    return packing.pack(materialize(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), held=WORDS_HELD)))
 
 
 STAGES = [

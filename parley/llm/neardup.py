@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from parley.llm.text import whole
 from parley.llm.tokens import slices
 from parley.plans.joins import join_small, row_hash, sieved
-from parley.plans.shared import materialize, scratch
+from parley.plans.shared import materialize, scratch, small_batches
 
 LIMIT = 2
 SHINGLE = 3
@@ -274,7 +274,8 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     seen = docs.select(whole(text).alias("__text")).mapInArrow(run, "token long, n long")
     often = seen.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     bit = F.col("token").bitwiseAND(F.lit(COMMON_BITS - 1)) + 1
-    rows = often.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    with small_batches(docs.sparkSession):
+        rows = often.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     found = np.zeros(COMMON_BITS // 8, dtype=np.uint8)
     for r in rows:
         found[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)

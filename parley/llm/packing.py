@@ -28,17 +28,18 @@ GAP = 1e-3
 MOST_ROUNDS = 4000
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, text: str = "text", keep: tuple[str, ...] = ("doc_id",), held: int = tokens.PIECES) -> DataFrame:
     """Per document its ids and ``end_id``, cut every ``capacity`` ids: keep, start, length, ids_crc32, doc_tokens.
 
     ids_crc32 is of the piece's ids as little-endian unsigned 32-bit integers. A null text is empty: one piece.
+    ``held`` words stay encoded in a worker; the rest is encoded anew, so it trades memory for time and changes no id.
     """
     slim = docs.select(*keep, whole(text).alias("__text"))
     names = ("start", "length", "ids_crc32", "doc_tokens")
     schema = slim.select(*keep, *[F.lit(0).cast("long").alias(n) for n in names]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(path)
+        encoder = tokens.encoder(path, held)
         for b in tokens.slices(batches):
             ids, sizes = encoder.encode(b.column(b.num_columns - 1).to_pylist())
             row, start, length, crc, total = [], [], [], [], []
@@ -197,7 +198,9 @@ def pack(table: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFr
     table = table.withColumn("p_units", F.ceil(F.col("length") / unit).cast("long"))
     histogram = {r["p_units"]: r["count"] for r in table.groupBy("p_units").count().collect()}
     rows = places(patterns(histogram, capacity // unit))
-    plan = spark.createDataFrame(rows, "units long, lo long, hi long, first long, times long, nth long")
+    # as an Arrow table: a list of rows would go through Python workers, which then stay on every executor
+    columns = np.array(rows, dtype=np.int64).reshape(-1, 6).T
+    plan = spark.createDataFrame(pa.table([pa.array(c) for c in columns], names=["units", "lo", "hi", "first", "times", "nth"]))
     names = [c for c in table.columns if c != "p_units"]
     ranked = gapless_rank(table, ["p_units"], names, "p_rank")
     fits = (F.col("p_units") == F.col("units")) & (F.col("p_rank") >= F.col("lo")) & (F.col("p_rank") < F.col("hi"))

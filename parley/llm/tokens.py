@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept in the table; when there are more, those seen only once go.
+#: Pieces kept in the table; when there are more, those seen only once go. An encoder of fewer keeps less of all below in proportion.
 PIECES = 700_000
 #: Characters of all pieces in the table; text without spaces makes long ones.
 CHARACTERS = 14_000_000
@@ -71,6 +71,7 @@ class WordEncoder:
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.letters = _byte_letters()
         self.pieces = pieces
+        self.characters, self.most_pretokens = (x * pieces // PIECES for x in (CHARACTERS, PRETOKENS))
         self._empty()
 
     def _empty(self) -> None:
@@ -87,7 +88,7 @@ class WordEncoder:
         """Keep the pieces seen most often: twice or more, then four times or more, until half of the table is free."""
         least, n = 2, len(self.of)
         chars = np.fromiter(map(_letters, self.of), dtype=np.int64, count=n)
-        while (keep := self.hits[:n] >= least).sum() > self.pieces // 2 or chars[keep].sum() > CHARACTERS // 2:
+        while (keep := self.hits[:n] >= least).sum() > self.pieces // 2 or chars[keep].sum() > self.characters // 2:
             least *= 2
         self.chars = int(chars[keep].sum())
         size = self.size[:n][keep].astype(np.int64)
@@ -101,7 +102,7 @@ class WordEncoder:
         self.hits[: len(size)] = hits
         self.used = total
 
-    def _ids(self, pretoken: str | tuple[str]) -> array:
+    def _ids(self, pretoken: str | tuple[str]) -> bytes:
         """Ids of one pretoken: as it stands in a text, or (a 1-tuple) in the byte-level alphabet."""
         if isinstance(pretoken, tuple):
             shown = pretoken[0]
@@ -109,20 +110,20 @@ class WordEncoder:
             shown = pretoken.replace(" ", self.letters[32])
         else:
             shown = pretoken.encode().decode("latin-1").translate(self.letters)
-        found = array("I", [t.id for t in self.tokenize(shown)])
+        found = array("I", [t.id for t in self.tokenize(shown)]).tobytes()  # a third of the array's memory
         if _letters(pretoken) <= LONG:
             self.pretokens[pretoken] = found
         return found
 
     def _learn(self, new: list) -> None:
         """The ids of the pieces numbered last: a string stands for itself behind a space, a 1-tuple for the start of a text."""
-        known, ids_of, cut, sure, size, flat = self.pretokens.get, self._ids, _PRETOKENS, _SAFE, [], array("I")
+        known, ids_of, cut, sure, size, flat = self.pretokens.get, self._ids, _PRETOKENS, _SAFE, [], bytearray()
         for p in new:
             text, at = (p[0], 0) if isinstance(p, tuple) else (" " + p, 1)
             before = len(flat)
             for x in cut(text) if sure(text, at) else [(x,) for x, _ in self.split(text)]:
                 flat += known(x) or ids_of(x)
-            size.append(len(flat) - before)
+            size.append((len(flat) - before) // 4)
         at, used = len(self.of) - len(new), self.used
         self.chars += sum(map(len, new)) + sum(len(p[0]) for p in new if isinstance(p, tuple))
         while len(self.of) > len(self.start):
@@ -130,16 +131,16 @@ class WordEncoder:
         size = np.array(size, dtype=np.int32)
         self.size[at : at + len(new)] = size
         self.start[at : at + len(new)] = used + np.cumsum(size) - size
-        self.used += len(flat)
+        self.used += len(flat) // 4
         while self.used > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         if flat:
             self.flat[used : self.used] = np.frombuffer(flat, dtype=np.uint32)
 
     def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.of) > self.pieces or self.chars > CHARACTERS:
+        if len(self.of) > self.pieces or self.chars > self.characters:
             self._thin_out()
-        if len(self.pretokens) > PRETOKENS:
+        if len(self.pretokens) > self.most_pretokens:
             self.pretokens = {}
         # Every distinct word of these texts is looked up once; a word not yet known gets the next number.
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
@@ -195,13 +196,20 @@ class WordEncoder:
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in parts of ROWS rows, so a worker's memory does not follow the session's batch size."""
+    _release()  # what other stages left in the worker
     for b in batches:
         for k in range(0, b.num_rows, ROWS):
             yield b.slice(k, ROWS)
-    pa.default_memory_pool().release_unused()  # the worker stays and waits beside other stages
+    _release()  # the worker stays and waits beside other stages
+
+
+def _release() -> None:
+    """Unused memory goes back to the system: Arrow's and, by Arrow's pool over malloc, what numpy freed."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, pieces: int = PIECES) -> WordEncoder:
     """The worker's encoder: Python workers serve many tasks, and what one has learnt serves the next."""
-    return WordEncoder(path)
+    return WordEncoder(path, pieces)
