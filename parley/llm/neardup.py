@@ -1,10 +1,11 @@
 """SimHash near-duplicates by pivot distance tables: precomputed distances deal pairs out and discard them, survivors are verified.
 
 Every distinct fingerprint has a row of Hamming distances to fixed reference fingerprints, written once. By the
-triangle inequality two linked fingerprints differ by at most ``LIMIT`` in every one of these coordinates. So the
-space of coordinates is cut into overlapping cells, pivot after pivot and only where a cell still holds too many:
-linked fingerprints share a cell. Inside a cell, pairs with a larger coordinate difference are discarded and the
-rest are verified by their bits. A cell gives a spanning forest of its links, never all pairs.
+triangle inequality two linked fingerprints differ by at most ``LIMIT`` in every one of these coordinates. A distance
+is the sum of those within the parts that the 64 bits are cut into; of ``LIMIT`` + 1 parts one has no differing bit,
+so there all pivot distances of two linked fingerprints are equal, and these name the cell that they share. Only where a
+cell still holds too many, the other bits are cut again. Inside a cell, pairs with a larger coordinate difference are
+discarded and the rest are verified by their bits. A cell gives a spanning forest of its links, never all pairs.
 
 For a similarity of whole shingle sets (``one_of_each`` with ``similarity``) the fingerprints that pivots link come
 first, and the sets decide on them. Most similar texts differ in more bits than pivots can discard by, so these meet
@@ -35,8 +36,8 @@ SHINGLE = 3
 #: For near copies by similarity: words of a shingle, the similarity, and the differing bits up to which two texts are
 #: looked at first. At similarity 0.8 about ten bits differ, with a deviation of three.
 WORDS_NEAR, SIMILARITY, LIMIT_NEAR = 5, 0.8, 22
-#: Fingerprints of a cell above which it is cut by further pivots, the cells' width in bits of distance, and pivots a cut.
-HOT_KEY, CELL, AT_ONCE = 1000, 6, 2
+#: Fingerprints of a cell above which it is cut, and how often at most: a cut gives limit + 1 copies of what it cuts.
+HOT_KEY, CUTS = 1000, 3
 N_PIVOTS = 24
 #: Reports from which a shingle counts as common, bits of the bitmap of common ones, and shingles that a task holds to find them.
 COMMON, COMMON_BITS, HELD = 8, 1 << 24, 1 << 22
@@ -142,31 +143,39 @@ def pivot_table(distinct: DataFrame) -> DataFrame:
 def cells(table: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(cell, fp, table): the written pivot ``table`` dealt into cells, so that linked fingerprints share one.
 
-    Distances of linked ones differ by ``limit`` at most; each takes all cells within half of that of its own, so
-    both take the cell of a distance between theirs. A cell with more than HOT_KEY is cut again by the next pivots
-    until it is small or the pivots are used up; then its fingerprints are all within a few bits of each other.
+    A cell with more than HOT_KEY, at first that of all, is cut: the bits at which its fingerprints may still differ are
+    dealt into ``limit`` + 1 parts, and each fingerprint goes to one cell a part, named by its distances to all pivots
+    within that part. Linked ones have all these distances equal in a part without a differing bit. So copies don't grow
+    with the table: ``limit`` + 1 a cut, and only what is still crowded is cut again, CUTS times at most.
     """
-    reach = (limit + 1) // 2
-    now, small = table.withColumn("cell", F.lit(0).cast("long")), []
-    for i in range(0, N_PIVOTS, AT_ONCE):
+    now, small, open_ = table.withColumns({"cell": F.lit(0).cast("long"), "__open": F.lit(0)}), [], [(1 << 64) - 1]
+    for _ in range(CUTS):
         hot = materialize(now.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select(F.col("cell").alias("hot")))
         if hot.isEmpty():
             break
         marked = join_small(now, hot, F.col("cell") == F.col("hot"))
         small.append(marked.filter("hot is null").select("cell", "fp", "table"))
-        cut = F.array(F.col("cell"))
-        for k in range(i, i + AT_ONCE):
-            d = F.get("table", F.lit(k)).cast("int") + 64
-            span = F.sequence(F.floor((d - reach) / CELL), F.floor((d + reach) / CELL))
-            cut = _within(cut, span)  # a hash names the cell in the cell; should two names agree, more pairs are looked at
-        now = materialize(marked.filter("hot is not null").select("fp", "table", F.explode(cut).alias("cell")))
+        dealt = [_parts(bits, limit + 1) for bits in open_]
+        masks = F.array(*[F.lit(_long(part)) for parts in dealt for part in parts])
+        open_ = [bits & ~part for bits, parts in zip(open_, dealt, strict=True) for part in parts]
+        cut = marked.filter("hot is not null").select("fp", "table", "cell", "__open", F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("__part"))
+        cut = cut.withColumn("__open", F.col("__open") * (limit + 1) + F.col("__part")).withColumn("__mask", F.get(masks, F.col("__open")))
+        within = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p))).bitwiseAND(F.col("__mask"))) for p in pivots().view(np.int64)]
+        # A hash names the cell in the cell; should two names agree, more pairs are looked at.
+        now = materialize(cut.select("fp", "table", F.xxhash64("cell", "__open", *within).alias("cell"), "__open"))
     for x in small:
-        now = now.unionByName(x)
+        now = now.select("cell", "fp", "table").unionByName(x)
     return now.select("cell", "fp", "table")
 
 
-def _within(outer, span):
-    return F.flatten(F.transform(outer, lambda c: F.transform(span, lambda s: F.xxhash64(c, s))))
+def _parts(bits: int, n: int) -> list[int]:
+    """The set bits of a mask dealt in turn to ``n`` masks."""
+    at = [1 << i for i in range(64) if bits >> i & 1]
+    return [sum(at[k::n]) for k in range(n)]
+
+
+def _long(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:

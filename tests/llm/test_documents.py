@@ -622,3 +622,26 @@ def test_cells_stay_small(spark, monkeypatch):
         if near.any():
             want.add(int(v.view(np.int64)))
     assert linked == want
+
+
+@pytest.mark.parametrize("n", [3000, 12000])
+def test_copies_in_cells_do_not_grow(spark, monkeypatch, n):
+    """A fingerprint stands in as many cells as the limit asks for, however many there are, and cells are small."""
+    monkeypatch.setattr(neardup, "HOT_KEY", 30)
+    x = np.unique(np.random.default_rng(11).integers(0, 1 << 63, n, dtype=np.uint64))
+    table = materialize(spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long"))
+    sizes = [r["count"] for r in neardup.cells(materialize(neardup.pivot_table(table))).groupBy("cell").count().collect()]
+    assert sum(sizes) == 3 * len(x) and max(sizes) <= 30
+
+
+def test_links_where_cells_are_cut_to_the_end(spark, monkeypatch):
+    """Any two differing bits are found in crowded cells, cut as often as cuts go; three bits are no link."""
+    monkeypatch.setattr(neardup, "HOT_KEY", 5)
+    base = 0x0F1E2D3C4B5A6978
+    x = [base] + [base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)]
+    far = base ^ (1 << 64) - 1
+    x += [far, far ^ 0b111 << 30]
+    longs = np.array(x, dtype=np.uint64).view(np.int64).tolist()
+    table = materialize(spark.createDataFrame([(v,) for v in longs], "fp long"))
+    root = {r.node: r.root for r in neardup.components(neardup.links(table)).collect()}
+    assert set(root) == set(longs[:-2]) and set(root.values()) == {min(longs[:-2])}
